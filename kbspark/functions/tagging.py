@@ -190,3 +190,20 @@ def np_vp_segments(toks: Column) -> Column:
         s["label"].alias("label"),
         F.try_element_at(items, s["first"])["start"].alias("start"),
         F.aggregate(F.slice(items, s["first"], s["count"]), F.lit(0), lambda a, it: a + it["len"]).alias("len")))
+
+
+def question_score(toks: Column, text: Column) -> Column:
+    """T15 on a flat tree (root S, then one node per tag, breadth first):
+    mean over nodes of (wh + md + qmark) / 3 with sticky flags wh (a tag
+    starting with W seen), md (a tag starting with M seen), qmark ('?' in
+    the text). Closed form: ((n+1)*q + W + M) / (3*(n+1)), where W (M) is
+    the number of nodes at or after the first W (M) tag."""
+    n = F.size(toks)
+    tags = F.transform(toks, lambda t: t["pos"])
+
+    def from_first(prefix: str) -> Column:
+        pos = F.array_position(F.transform(tags, lambda p: p.startswith(prefix)), True)
+        return F.when(pos > 0, n - pos + 1).otherwise(F.lit(0))
+
+    q = F.when(text.contains("?"), F.lit(1)).otherwise(F.lit(0))
+    return ((n + 1) * q + from_first("W") + from_first("M")).cast("double") / (F.lit(3.0) * (n + 1))

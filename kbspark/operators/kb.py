@@ -57,10 +57,11 @@ def tag(df: DataFrame, text_col: str = "text", tag_map=None) -> DataFrame:
             .withColumn("entities", G.sentence_entities(F.col("toks"))))
 
 
-def build_headings(sents: DataFrame) -> DataFrame:
-    """K1/K2: every path prefix is a heading under its parent prefix; ids in
-    first-appearance order (ROOT = 1, parents before children)."""
-    secs = sents.select("doc_order", "doc_id", "section_idx", "path").distinct()
+def build_headings(secs: DataFrame) -> DataFrame:
+    """K1/K2: every path prefix of a section is a heading under its parent
+    prefix (also for sections without sentences); ids in first-appearance
+    order (ROOT = 1, parents before children)."""
+    secs = secs.select("doc_order", "doc_id", "section_idx", "path")
     prefixes = secs.select("doc_order", "doc_id", "section_idx", "path",
                            F.explode(F.sequence(F.lit(1), F.size("path"))).alias("k"))
     prefixes = prefixes.select(F.slice("path", 1, F.col("k")).alias("hpath"), "k",
@@ -75,7 +76,7 @@ def build_headings(sents: DataFrame) -> DataFrame:
                    .select("heading_id", F.try_element_at("hpath", F.lit(-1)).alias("heading"),
                            F.coalesce("parent_id", F.lit(ROOT_ID)).cast("long").alias("parent_id"),
                            F.col("hpath").alias("path")))
-    root = sents.sparkSession.createDataFrame([(ROOT_ID, ROOT_NAME, None, [])],
+    root = secs.sparkSession.createDataFrame([(ROOT_ID, ROOT_NAME, None, [])],
                                               "heading_id long, heading string, parent_id long, path array<string>")
     return root.unionByName(with_parent)
 
@@ -135,7 +136,7 @@ def build_kb(kb_input: DataFrame, truncate: bool = False, tag_map=None, frame_ma
     headings, sentences and entities all read it."""
     sents = section_sentences(kb_input, truncate)
     tagged = tag(sents, tag_map=tag_map).drop("toks").checkpoint(eager=True)
-    headings = build_headings(tagged).checkpoint(eager=True)
+    headings = build_headings(sections(kb_input, truncate)).checkpoint(eager=True)
     sentences, sent_entities = build_sentences(tagged, headings)
     sentences = sentences.checkpoint(eager=True)
     entities, norms = build_entities(sent_entities.select("sentence_id", "entities"))

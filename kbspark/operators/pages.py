@@ -34,6 +34,18 @@ ALLOW_PATTERN = r".*com\/display\/(%s).*" % "|".join(DOC_SPACES)
 HREF_PATTERN = r"""<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""
 
 
+SCHEME_PATTERN = "^([A-Za-z][A-Za-z0-9+.-]*)://"
+HOST_PATTERN = "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
+
+
+def url_scheme(url: Column) -> Column:
+    return F.regexp_extract(url, SCHEME_PATTERN, 1)
+
+
+def url_host(url: Column) -> Column:
+    return F.regexp_extract(url, HOST_PATTERN, 1)
+
+
 def with_canonical_id(pages: DataFrame) -> DataFrame:
     """C1."""
     return pages.withColumn("canonical_id", T.canonical_url(F.col("url")))
@@ -63,13 +75,13 @@ def out_links(pages: DataFrame, known_ids: DataFrame | None = None,
     not a known page id (anti join)."""
     hrefs = pages.select("page_id", "url",
                          F.explode(F.regexp_extract_all("html", F.lit(HREF_PATTERN), 1)).alias("href"))
-    base = F.concat(F.parse_url("url", F.lit("PROTOCOL")), F.lit("://"), F.parse_url("url", F.lit("HOST")))
-    link = (F.when(F.col("href").rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("href"))
-            .when(F.col("href").startswith("//"), F.concat(F.parse_url("url", F.lit("PROTOCOL")), F.lit(":"),
-                                                           F.col("href")))
-            .when(F.col("href").startswith("/"), F.concat(base, F.col("href"))))
+    scheme = url_scheme(F.col("url"))
+    link = (F.when(F.col("href").rlike(SCHEME_PATTERN), F.col("href"))
+            .when(F.col("href").startswith("//"), F.concat(scheme, F.lit(":"), F.col("href")))
+            .when(F.col("href").startswith("/"), F.concat(scheme, F.lit("://"), url_host(F.col("url")),
+                                                          F.col("href"))))
     links = hrefs.select("page_id", link.alias("link")).where(F.col("link").isNotNull())
-    host = F.parse_url("link", F.lit("HOST"))
+    host = url_host(F.col("link"))
     if allowed_domains:
         links = links.where(host.isin(*allowed_domains))
     if allow_pattern:
@@ -148,8 +160,9 @@ def kb_input_from_docs(docs: DataFrame, product_prefix: str = "/display/") -> Da
     Product = C12 on the doc URL; when it does not match, the URL host is
     used instead of aborting the run [decision].
     """
-    product = F.coalesce(T.product_key(F.col("doc_id"), product_prefix), F.parse_url("doc_id", F.lit("HOST")),
-                         F.lit(""))
+    host = url_host(F.col("doc_id"))
+    product = F.coalesce(T.product_key(F.col("doc_id"), product_prefix),
+                         F.when(host != "", host), F.lit(""))
     return docs.select("doc_id", F.col("page_id").alias("doc_order"), product.alias("product"),
                        "heading", "content")
 
