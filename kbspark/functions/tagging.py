@@ -156,40 +156,51 @@ def np_vp_segments(toks: Column) -> Column:
     are collapsed to one letter 'E' first; the NP pattern then runs on a code
     string of one letter per remaining item.
     """
-    spans = entity_spans(toks)
-    n = F.size(toks)
-    # item list: EN spans as one item, other tokens as themselves
-    starts = F.transform(spans, lambda s: s["start"])
-
-    def item_code(i: Column) -> Column:
-        p = F.try_element_at(toks, i)["pos"]
-        return (F.when(p == "DT", "D").when(p == "CC", "C").when(p == "CD", "#").otherwise("o"))
-
-    def in_span(i: Column) -> Column:
-        return F.exists(spans, lambda s: (i > s["start"]) & (i < s["start"] + s["len"]))
-
-    idxs = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & ~in_span(i))
-    items = F.transform(idxs, lambda i: F.struct(
-        i.alias("start"),
-        F.when(F.array_contains(starts, i), "E").otherwise(item_code(i)).alias("code"),
-        F.coalesce(F.try_element_at(F.filter(spans, lambda s: s["start"] == i), F.lit(1))["len"], F.lit(1)).alias("len")))
-    code = F.array_join(F.transform(items, lambda it: it["code"]), "")
-    marked = F.regexp_replace(code, "D?C?(?:C#)*E(?:C?E)*", "|$0|")
-    pieces = F.split(marked, r"\|", -1)
-    init = F.struct(F.lit(1).alias("item"), F.lit(0).alias("idx"),
-                    F.array().cast("array<struct<label:string,first:int,count:int>>").alias("out"))
-
-    def step(acc: Column, p: Column) -> Column:
-        seg = F.struct(F.when(acc["idx"] % 2 == 1, "NP").otherwise("VP").alias("label"),
-                       acc["item"].alias("first"), F.length(p).cast("int").alias("count"))
-        return F.struct((acc["item"] + F.length(p)).alias("item"), (acc["idx"] + 1).alias("idx"),
-                        F.when(F.length(p) > 0, F.array_append(acc["out"], seg)).otherwise(acc["out"]).alias("out"))
-
-    segs = F.aggregate(pieces, init, step, lambda acc: acc["out"])
-    return F.transform(segs, lambda s: F.struct(
-        s["label"].alias("label"),
-        F.try_element_at(items, s["first"])["start"].alias("start"),
-        F.aggregate(F.slice(items, s["first"], s["count"]), F.lit(0), lambda a, it: a + it["len"]).alias("len")))
+    def with_spans(spans: Column) -> Column:
+        n = F.size(toks)
+        starts = F.transform(spans, lambda s: s["start"])
+        lens = F.transform(spans, lambda s: s["len"])
+        # span id of each token (0 when outside), then item list: one item per
+        # span and one per token outside spans
+        covered = F.flatten(F.transform(spans, lambda s: F.when(
+            s["len"] > 1, F.sequence(s["start"] + 1, s["start"] + s["len"] - 1)).otherwise(F.array().cast("array<int>"))))
+
+        def with_cov(cov: Column) -> Column:
+            idxs = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
+                            lambda i: (i <= n) & ~F.array_contains(cov, i))
+
+            def item(i: Column) -> Column:
+                p = F.try_element_at(toks, i)["pos"]
+                pos_in = F.array_position(starts, i)
+                code = (F.when(pos_in > 0, "E").when(p == "DT", "D").when(p == "CC", "C").when(p == "CD", "#")
+                        .otherwise("o"))
+                ln = F.when(pos_in > 0, F.try_element_at(lens, pos_in.cast("int"))).otherwise(F.lit(1))
+                return F.struct(i.alias("start"), code.alias("code"), ln.alias("len"))
+
+            return T.let(F.transform(idxs, item), segments)
+
+        return T.let(F.filter(covered, lambda x: x.isNotNull()), with_cov)
+
+    def segments(items: Column) -> Column:
+        code = F.array_join(F.transform(items, lambda it: it["code"]), "")
+        pieces = F.split(F.regexp_replace(code, "D?C?(?:C#)*E(?:C?E)*", "|$0|"), r"\|", -1)
+        init = F.struct(F.lit(1).alias("item"), F.lit(0).alias("idx"),
+                        F.array().cast("array<struct<label:string,first:int,count:int>>").alias("out"))
+
+        def step(acc: Column, p: Column) -> Column:
+            seg = F.struct(F.when(acc["idx"] % 2 == 1, "NP").otherwise("VP").alias("label"),
+                           acc["item"].cast("int").alias("first"), F.length(p).cast("int").alias("count"))
+            return F.struct((acc["item"] + F.length(p)).alias("item"), (acc["idx"] + 1).alias("idx"),
+                            F.when(F.length(p) > 0, F.array_append(acc["out"], seg)).otherwise(acc["out"])
+                            .alias("out"))
+
+        segs = F.aggregate(pieces, init, step, lambda acc: acc["out"])
+        return F.transform(segs, lambda s: F.struct(
+            s["label"].alias("label"),
+            F.try_element_at(items, s["first"])["start"].alias("start"),
+            F.aggregate(F.slice(items, s["first"], s["count"]), F.lit(0), lambda a, it: a + it["len"]).alias("len")))
+
+    return T.let(entity_spans(toks), with_spans)
 
 
 def question_score(toks: Column, text: Column) -> Column:

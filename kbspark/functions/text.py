@@ -39,6 +39,14 @@ BRACKET_TAG_PATTERN = r"\s*-[LR][CSR]B-\s*"
 PRODUCT_PATTERN = r"/display/(.+?)(?=/|$)"
 
 
+def let(value: Column, fn) -> Column:
+    """Evaluate ``value`` once and pass it to ``fn`` as a lambda variable.
+
+    Spark re-evaluates an expression each time a higher-order-function
+    lambda references it; binding it first keeps nested loops linear."""
+    return F.try_element_at(F.transform(F.array(value), fn), F.lit(1))
+
+
 def _lit_array(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -187,15 +195,16 @@ def valid_entities(leaves: Column) -> Column:
 def ngrams_with_size(phrase: Column) -> Column:
     """N-grams of sizes t-1 down to 1 as ``struct(gram, n)``; one-word
     phrases give none."""
-    words = F.filter(F.split(py_strip(phrase), r"\s+"), lambda w: w != "")
-    t = F.size(words)
-    return F.when(t <= 1, F.array().cast("array<struct<gram:string,n:int>>")).otherwise(
-        F.flatten(F.transform(
-            F.sequence(t - 1, F.lit(1), F.lit(-1)),
-            lambda n: F.transform(
-                F.sequence(F.lit(1), t - n + 1),
-                lambda i: F.struct(F.array_join(F.slice(words, i, n), " ").alias("gram"),
-                                   n.cast("int").alias("n"))))))
+    def body(words: Column) -> Column:
+        t = F.size(words)
+        return F.when(t <= 1, F.array().cast("array<struct<gram:string,n:int>>")).otherwise(
+            F.flatten(F.transform(
+                F.sequence(t - 1, F.lit(1), F.lit(-1)),
+                lambda n: F.transform(
+                    F.sequence(F.lit(1), t - n + 1),
+                    lambda i: F.struct(F.array_join(F.slice(words, i, n), " ").alias("gram"),
+                                       n.cast("int").alias("n"))))))
+    return let(F.filter(F.split(py_strip(phrase), r"\s+"), lambda w: w != ""), body)
 
 
 def rebuild_sentence(toks: Column) -> Column:

@@ -44,27 +44,34 @@ def sections_column(content: Column, page_headings: Column, product: Column, tru
     ``truncate=True`` it is cleared. Sections without content lines are
     dropped.
     """
-    info = _line_info(content)
-    heads = F.filter(info, lambda x: x["lvl"] > 0)
-    head_idx = F.transform(heads, lambda h: h["i"])
-    n_heads = F.size(heads)
-    body = F.transform(F.filter(info, lambda x: x["lvl"] == 0), lambda x: F.struct(
-        x["i"].alias("i"), x["txt"].alias("txt"),
-        F.size(F.filter(head_idx, lambda j: j < x["i"])).alias("sec")))
-    n_page = F.size(page_headings)
-    crumbs = F.slice(page_headings, 1, F.greatest(n_page - 1, F.lit(0)))
-    page_heading = F.try_element_at(page_headings, F.lit(-1))
-
-    def section(s: Column) -> Column:
-        before = F.slice(heads, 1, s)
-        levels = [F.coalesce(_level_text(before, 1, truncate), page_heading)]
-        levels += [_level_text(before, k, truncate) for k in range(2, MAX_PATH_LEVEL + 1)]
-        path = F.concat(F.array(product), crumbs, F.filter(F.array(*levels), lambda x: x.isNotNull()))
-        lines = F.transform(F.filter(body, lambda b: b["sec"] == s), lambda b: b["txt"])
-        return F.struct(s.alias("section_idx"), path.alias("path"), lines.alias("lines"))
-
-    all_secs = F.transform(F.sequence(F.lit(0), n_heads), section)
-    return F.filter(all_secs, lambda x: F.size(x["lines"]) > 0)
+    def with_info(info: Column) -> Column:
+        return T.let(F.filter(info, lambda x: x["lvl"] > 0), lambda heads: with_heads(info, heads))
+
+    def with_heads(info: Column, heads: Column) -> Column:
+        head_idx = F.transform(heads, lambda h: h["i"])
+        body = F.transform(F.filter(info, lambda x: x["lvl"] == 0), lambda x: F.struct(
+            x["i"].alias("i"), x["txt"].alias("txt"),
+            F.size(F.filter(head_idx, lambda j: j < x["i"])).alias("sec")))
+        return T.let(body, lambda b: build(heads, b))
+
+    def build(heads: Column, body: Column) -> Column:
+        n_heads = F.size(heads)
+        n_page = F.size(page_headings)
+        crumbs = F.slice(page_headings, 1, F.greatest(n_page - 1, F.lit(0)))
+        page_heading = F.try_element_at(page_headings, F.lit(-1))
+
+        def section(s: Column) -> Column:
+            before = F.slice(heads, 1, s)
+            levels = [F.coalesce(_level_text(before, 1, truncate), page_heading)]
+            levels += [_level_text(before, k, truncate) for k in range(2, MAX_PATH_LEVEL + 1)]
+            path = F.concat(F.array(product), crumbs, F.filter(F.array(*levels), lambda x: x.isNotNull()))
+            lines = F.transform(F.filter(body, lambda b: b["sec"] == s), lambda b: b["txt"])
+            return F.struct(s.alias("section_idx"), path.alias("path"), lines.alias("lines"))
+
+        all_secs = F.transform(F.sequence(F.lit(0), n_heads), section)
+        return F.filter(all_secs, lambda x: F.size(x["lines"]) > 0)
+
+    return T.let(_line_info(content), with_info)
 
 
 def sections(docs: DataFrame, truncate: bool = False) -> DataFrame:

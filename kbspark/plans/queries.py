@@ -220,7 +220,7 @@ def d3_forced_entities(spark: SparkSession, sf: str) -> DataFrame:
 
 def g1_edges_touching_question_entities(spark: SparkSession, sf: str) -> DataFrame:
     kb = B.kb_from_documents(spark, sf)
-    an = R.analyse_questions(B.user_questions(spark, sf))
+    an = B.retrieval(spark, sf).analysed
     terms = an.select(F.explode("q_entities").alias("term"))
     return GR.edges_touching(GR.kb_edges(kb), terms)
 
@@ -228,7 +228,7 @@ def g1_edges_touching_question_entities(spark: SparkSession, sf: str) -> DataFra
 def g2_edges_between_entity_and_heading(spark: SparkSession, sf: str) -> DataFrame:
     """G2 for pairs (question entity, heading of a ranked answer)."""
     kb = B.kb_from_documents(spark, sf)
-    an = R.analyse_questions(B.user_questions(spark, sf))
+    an = B.retrieval(spark, sf).analysed
     ans = B.answers(spark, sf).where(F.col("heading").isNotNull())
     pairs = (an.select("q_id", "sent_idx", F.explode("q_entities").alias("t1"))
              .join(ans.select("q_id", "sent_idx", F.col("heading").alias("t2")), ["q_id", "sent_idx"])
@@ -238,36 +238,25 @@ def g2_edges_between_entity_and_heading(spark: SparkSession, sf: str) -> DataFra
 
 # ----------------------------------------------------------------- Q
 def q1_question_analysis(spark: SparkSession, sf: str) -> DataFrame:
-    an = R.analyse_questions(B.user_questions(spark, sf))
+    an = B.retrieval(spark, sf).analysed
     return an.select("q_id", "sent_idx", F.array_join("q_entities", "|").alias("entities"),
                      F.array_join("q_frames", "|").alias("frames"))
 
 
 def q4_entity_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    kb = B.kb_from_documents(spark, sf)
-    an = R.analyse_questions(B.user_questions(spark, sf))
-    grams = R.question_lookups(an).select("gram").distinct()
-    top = R.top_candidates(R.entity_candidates(grams, kb.entities))
+    top = B.retrieval(spark, sf).top
     return top.select("gram", "entity_id", "entity", F.col("elen").cast("int").alias("elen"),
                       F.col("dist").cast("int").alias("dist"))
 
 
 def q8_division(spark: SparkSession, sf: str) -> DataFrame:
-    kb = B.kb_from_documents(spark, sf)
-    an = R.analyse_questions(B.user_questions(spark, sf))
-    lk = R.question_lookups(an)
-    top = R.top_candidates(R.entity_candidates(lk.select("gram").distinct(), kb.entities))
-    groups, _ = R.division(an, R.matched_entities(lk, top), kb.normalizations, kb.sentences)
-    return groups.select("q_id", "sent_idx", "heading_id", "level")
+    return B.retrieval(spark, sf).groups.select("q_id", "sent_idx", "heading_id", "level")
 
 
 def q9_frame_filter(spark: SparkSession, sf: str) -> DataFrame:
     kb = B.kb_from_documents(spark, sf)
-    an = R.analyse_questions(B.user_questions(spark, sf))
-    lk = R.question_lookups(an)
-    top = R.top_candidates(R.entity_candidates(lk.select("gram").distinct(), kb.entities))
-    groups, hits = R.division(an, R.matched_entities(lk, top), kb.normalizations, kb.sentences)
-    return R.frame_filter(groups, hits, an, kb.frame_index).select("q_id", "sent_idx", "heading_id")
+    r = B.retrieval(spark, sf)
+    return R.frame_filter(r.groups, r.hits, r.analysed, kb.frame_index).select("q_id", "sent_idx", "heading_id")
 
 
 def q_answers(spark: SparkSession, sf: str) -> DataFrame:
@@ -286,7 +275,7 @@ def e2_np_vp_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def f6_question_frames(spark: SparkSession, sf: str) -> DataFrame:
-    an = R.analyse_questions(B.user_questions(spark, sf))
+    an = B.retrieval(spark, sf).analysed
     return an.select("q_id", "sent_idx", F.explode("q_frames").alias("frame"))
 
 
