@@ -97,7 +97,7 @@ def out_links(pages: DataFrame, known_ids: DataFrame | None = None,
 def title_and_h1(pages: DataFrame) -> DataFrame:
     """C4 for flat tags: first title text and trimmed h1 texts joined by a blank."""
     title = F.regexp_extract("html", r"(?is)<title[^>]*>([^<]*)", 1)
-    h1 = F.array_join(F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<h1[^>]*>([^<]*)"), 1), F.trim), " ")
+    h1 = F.array_join(F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<h1[^>]*>([^<]*)"), 1), lambda h: F.trim(h)), " ")
     return pages.select("page_id", F.trim(title).alias("title"), F.trim(h1).alias("h1"))
 
 
