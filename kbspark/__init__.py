@@ -7,3 +7,10 @@ filtering, scoring, top-k ranking and neighbour-sentence assembly.
 """
 
 __all__ = ["session"]
+
+# Functions of this package used inside Python UDFs / mapInPandas are shipped
+# to the workers by value, so executors need no installed copy of it.
+from pyspark import cloudpickle as _cloudpickle  # noqa: E402
+import sys as _sys  # noqa: E402
+
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])

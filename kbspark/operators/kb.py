@@ -141,7 +141,10 @@ def build_kb(kb_input: DataFrame, truncate: bool = False, tag_map=None, frame_ma
     sentences = sentences.checkpoint(eager=True)
     entities, norms = build_entities(sent_entities.select("sentence_id", "entities"))
     frame_index = build_frame_index(sentences, frame_map)
-    return KB(headings, sentences, entities, norms, frame_index, heading_info(sentences, headings))
+    # the KB tables are the build's output: materialise each once
+    kb = KB(headings, sentences, entities.checkpoint(eager=True), norms.checkpoint(eager=True),
+            frame_index.checkpoint(eager=True), heading_info(sentences, headings).checkpoint(eager=True))
+    return kb
 
 
 # ------------------------------------------------------------- read helpers
