@@ -46,14 +46,31 @@ def progress(log: DataFrame, job_col: str = "job", ts_col: str = "ts", order_col
     rate = 0.05 * previous average rate + 0.95 * current average rate, both
     measured from the job's first timestamp; the first row has previous
     rate 0; a zero elapsed time gives a NULL estimate instead of failing.
+
+    A job may hold a large share of the log, so it is never placed in one
+    task: rows are range-partitioned on (job, ts), ranked inside each
+    (partition, job), and shifted by the row counts of the job's earlier
+    partitions, taken from a summary with one row per (partition, job).
     """
-    order = [F.col(ts_col)] + ([F.col(order_col)] if order_col else [])
-    w = Window.partitionBy(job_col).orderBy(*order)
-    wall = Window.partitionBy(job_col)
-    df = (log.withColumn("n", F.row_number().over(w))
-          .withColumn("total", F.count(F.lit(1)).over(wall))
-          .withColumn("start", F.min(ts_col).over(wall))
-          .withColumn("prev_ts", F.coalesce(F.lag(ts_col).over(w), F.col("start"))))
+    keys = [job_col, ts_col] + ([order_col] if order_col else [])
+    nparts = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = log.select(*dict.fromkeys(keys)).repartitionByRange(nparts, *keys).withColumn(
+        "_pid", F.spark_partition_id())
+    local = Window.partitionBy("_pid", job_col).orderBy(*keys)
+    rows = ranged.withColumn("_k", F.row_number().over(local)).withColumn("_prev", F.lag(ts_col).over(local))
+    job_parts = Window.partitionBy(job_col).orderBy("_pid")
+    job_all = Window.partitionBy(job_col)
+    summary = (rows.groupBy("_pid", job_col)
+               .agg(F.count(F.lit(1)).alias("_c"), F.max(ts_col).alias("_last"), F.min(ts_col).alias("_first"))
+               .withColumn("_off", F.coalesce(F.sum("_c").over(
+                   job_parts.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+               .withColumn("_prev_last", F.lag("_last").over(job_parts))
+               .withColumn("total", F.sum("_c").over(job_all))
+               .withColumn("start", F.min("_first").over(job_all))
+               .select("_pid", job_col, "_off", "_prev_last", "total", "start"))
+    df = (rows.join(summary, ["_pid", job_col])
+          .withColumn("n", F.col("_off") + F.col("_k"))
+          .withColumn("prev_ts", F.coalesce("_prev", "_prev_last", "start")))
     secs = lambda a, b: (F.unix_micros(F.col(a).cast("timestamp")) - F.unix_micros(F.col(b).cast("timestamp"))) / 1e6
     p_delta, c_delta = secs("prev_ts", "start"), secs(ts_col, "start")
     p_rate = F.when(F.col("n") == 1, F.lit(0.0)).when(p_delta > 0, (F.col("n") - 1) / p_delta)
@@ -61,4 +78,5 @@ def progress(log: DataFrame, job_col: str = "job", ts_col: str = "ts", order_col
     rate = F.lit(SMOOTHING) * p_rate + F.lit(1 - SMOOTHING) * c_rate
     percent = F.round((F.col("n") * 100).cast("decimal(38,10)") / F.col("total").cast("decimal(38,10)"), 2)
     eta = F.when(rate > 0, F.floor((F.col("total") - F.col("n")) / rate))
-    return df.select(job_col, "n", "total", percent.cast("double").alias("percent"), eta.cast("long").alias("eta"))
+    return df.select(job_col, F.col("n").cast("int").alias("n"), F.col("total").cast("long").alias("total"),
+                     percent.cast("double").alias("percent"), eta.cast("long").alias("eta"))
