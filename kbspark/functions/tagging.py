@@ -218,3 +218,37 @@ def question_score(toks: Column, text: Column) -> Column:
 
     q = F.when(text.contains("?"), F.lit(1)).otherwise(F.lit(0))
     return ((n + 1) * q + from_first("W") + from_first("M")).cast("double") / (F.lit(3.0) * (n + 1))
+
+
+# ---------------------------------------------------------------------------
+# FIXED VALUE: entity placeholder of T12.
+# ---------------------------------------------------------------------------
+ENTITY_PLACEHOLDER = "ENTITY"
+
+
+def sentence_template(toks: Column) -> Column:
+    """Sentence with every entity replaced by ``ENTITY``.
+
+    Per top-level NP / VP segment (E2) the phrase text has the text of each
+    EN span inside it replaced (all occurrences, in span order); phrases are
+    joined by blanks, bracket tags removed, runs of ``ENTITY`` merged, and a
+    period added unless the text ends in ! ; : or . (NULL for no tokens).
+    """
+    def words(start: Column, length: Column) -> Column:
+        return F.array_join(F.transform(F.slice(toks, start, length), lambda t: t["token"]), " ")
+
+    def with_spans(spans: Column) -> Column:
+        def phrase(seg: Column) -> Column:
+            inside = F.filter(spans, lambda sp: (sp["start"] >= seg["start"])
+                              & (sp["start"] + sp["len"] <= seg["start"] + seg["len"]))
+            return F.aggregate(F.transform(inside, lambda sp: words(sp["start"], sp["len"])),
+                               words(seg["start"], seg["len"]),
+                               lambda acc, e: F.replace(acc, e, F.lit(ENTITY_PLACEHOLDER)))
+        s = T.py_strip(F.array_join(F.transform(np_vp_segments(toks), phrase), " "))
+        s = T.py_strip(F.regexp_replace(s, T.BRACKET_TAG_PATTERN, " "))
+        s = T.py_strip(F.regexp_replace(s, ENTITY_PLACEHOLDER + r"(\s+" + ENTITY_PLACEHOLDER + ")+",
+                                        ENTITY_PLACEHOLDER))
+        return F.when(s == "", F.lit(None).cast("string")).when(s.rlike(r"[!;:.]$"), s).otherwise(
+            F.concat(s, F.lit(".")))
+
+    return T.let(entity_spans(toks), with_spans)

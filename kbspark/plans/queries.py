@@ -274,6 +274,12 @@ def e2_np_vp_segments(spark: SparkSession, sf: str) -> DataFrame:
                       F.col("g.start").alias("start"), F.col("g.len").alias("len"))
 
 
+def t12_sentence_template(spark: SparkSession, sf: str) -> DataFrame:
+    """T12 on every sentence of the documents table."""
+    s = _sentences(spark, sf).withColumn("toks", G.tag_sentence(F.col("sentence")))
+    return s.select("doc_id", "line_no", "sent_idx", G.sentence_template(F.col("toks")).alias("template"))
+
+
 def f6_question_frames(spark: SparkSession, sf: str) -> DataFrame:
     an = B.retrieval(spark, sf).analysed
     return an.select("q_id", "sent_idx", F.explode("q_frames").alias("frame"))
@@ -313,6 +319,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "t16_question_trim": t16_question_trim,
     "t17_alnum_length": t17_alnum_length,
     "e2_np_vp_segments": e2_np_vp_segments,
+    "t12_sentence_template": t12_sentence_template,
     "e3_entities": e3_entities,
     "k2_headings": k2_headings,
     "k4_entities": k4_entities,

@@ -92,3 +92,22 @@ def test_t17_alnum_length(spark):
 def test_c12_product_key(spark):
     assert one(spark, T.product_key(F.col("u")), u="https://d/display/AM/Page") == "AM"
     assert one(spark, T.product_key(F.col("u")), u="https://d/other") is None
+
+
+def _toks(pairs):
+    return F.array(*[F.struct(F.lit(t).alias("token"), F.lit(p).alias("pos")) for t, p in pairs])
+
+
+def test_t12_sentence_template(spark):
+    from kbspark.functions import tagging as G
+    cases = [
+        ([("The", "DT"), ("API", "NNP"), ("gateway", "NN"), ("routes", "VBZ"), ("requests", "NNS")],
+         "The ENTITY routes ENTITY."),
+        # bracket tags removed, then neighbouring placeholders merged
+        ([("Use", "VB"), ("the", "DT"), ("API", "NN"), ("-LRB-", "-LRB-"), ("REST", "NN"), ("-RRB-", "-RRB-")],
+         "Use the ENTITY."),
+        ([("Fast", "JJ"), ("and", "CC"), ("secure", "JJ"), ("tokens", "NNS"), ("expire", "VBP"), ("!", ".")],
+         "ENTITY expire !"),
+    ]
+    for pairs, want in cases:
+        assert one(spark, G.sentence_template(_toks(pairs))) == want
