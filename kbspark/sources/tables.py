@@ -64,6 +64,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
     return df
 
 
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint only behind a row-count check (the count stops after
+    ``max_rows + 1`` rows); larger tables take the ordinary shuffle join."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def count_rows(df: DataFrame) -> DataFrame:
     """S2."""
     return df.agg(F.count(F.lit(1)).alias("n"))
