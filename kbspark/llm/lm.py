@@ -11,7 +11,7 @@ batch sends the keys of its distinct n-grams with its own counts to the key's
 bucket, as packed arrays, and gets the corpus counts back in the same order.
 The number of batches and buckets grows with the input, no table of counts is
 ever gathered in one place. Words are keyed by 64 bits of XXH64, bigrams by the
-bucket's bits and 48 more.
+bucket's bits and BIGRAM_BITS more.
 
 Defined results: null and empty texts consist of the end token; null ids belong
 to no training fold's remainder 1 and so count as training rows; equal rows all
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ from kbspark.llm import common as C
 FOLDS = 5
 HELD_OUT, EM_FOLD = 1, 0        # remainders: scored only; held out for the weights
 BATCH_BYTES = 8_000_000         # of text in a batch
-BIGRAM_BITS = 48
+BIGRAM_BITS = 40
 EM_ROUNDS = 40
 CONTEXT_BUCKETS = 24            # 0: unseen, then one for each doubling
 STEPS = 4                       # steps per doubling of the held-out histogram
@@ -50,28 +51,46 @@ ANSWER = "batch int, bucket int, r1 binary, a1 binary, r2 binary, a2 binary"
 
 # ---- packed arrays --------------------------------------------------------
 
-def planes(x: np.ndarray, size: int | None = None) -> bytes:
-    """The lowest ``size`` bytes of the numbers, first bytes first: sorted
-    keys compress well that way."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize)[:, :size].T).tobytes()
+def packed(x: np.ndarray) -> bytes:
+    """Numbers in as few bytes each as the largest needs, first bytes first
+    (so that like bytes stand together), compressed, behind that width."""
+    most = int(x.max(initial=0))
+    size = next(w for w in range(1, 9) if most < 1 << 8 * w)
+    raw = x.astype("<u8").view(np.uint8).reshape(len(x), 8)[:, :size].T.tobytes()
+    return bytes([size]) + zstandard.ZstdCompressor(level=1).compress(raw)
+
 
+def unpacked(raw: bytes) -> np.ndarray:
+    part = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), np.uint8).reshape(raw[0], -1)
+    out = np.zeros(part.shape[1], np.uint64)
+    for k, plane in enumerate(part):
+        out |= plane.astype(np.uint64) << np.uint64(8 * k)
+    return out
 
-def unplaned(raw: bytes, size: int, offset: int = 0) -> np.ndarray:
-    part = np.frombuffer(raw, np.uint8, offset=offset).reshape(size, -1).T
-    full = np.zeros((len(part), 8), np.uint8)
-    full[:, :size] = part
-    return full.view("<u8")[:, 0]
 
+def packed_keys(x: np.ndarray) -> bytes:
+    """Ascending keys as their steps."""
+    return packed(np.diff(x, prepend=np.uint64(0)))
 
-def packed(x: np.ndarray) -> bytes:
-    """Counts in as few bytes each as the largest needs, behind that width."""
+
+def unpacked_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(raw), dtype=np.uint64)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """As packed, left to the file format to compress: for short arrays."""
     most = int(x.max(initial=0))
-    size = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
-    return bytes([size]) + x.astype(f"<u{size}").tobytes()
+    size = next(w for w in range(1, 9) if most < 1 << 8 * w)
+    return bytes([size]) + x.astype("<u8").view(np.uint8).reshape(len(x), 8)[:, :size].T.tobytes()
 
 
-def unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.float64)  # exact below 2**53
+def unplaned(raw: bytes) -> np.ndarray:
+    part = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1).astype(np.float64)
+    return part.T @ 256.0 ** np.arange(raw[0])
+
+
+def counts(raw: bytes) -> np.ndarray:
+    return unpacked(raw).astype(np.float64)  # exact below 2**53
 
 
 # ---- a batch of documents -------------------------------------------------
@@ -137,8 +156,9 @@ class Batch:
         for k in range(1 << bits):
             u, p = slice(at1[k], at1[k + 1]), slice(at2[k], at2[k + 1])
             if u.start < u.stop or p.start < p.stop:
-                yield (k, planes(self.words[u]), packed(kept[0][u]), packed(held[0][u]),
-                       planes(self.pairs[p], BIGRAM_BITS // 8), packed(kept[1][p]), packed(held[1][p]))
+                # keys without the bits that the bucket tells
+                yield (k, packed_keys(self.words[u] - (np.uint64(k) << self.shift1)), packed(kept[0][u]), packed(held[0][u]),
+                       packed_keys(self.pairs[p] - (np.uint64(k) << self.shift2)), packed(kept[1][p]), packed(held[1][p]))
 
 
 # ---- Spark jobs -----------------------------------------------------------
@@ -157,7 +177,8 @@ def corpus_counts(batches: DataFrame, bits: int) -> DataFrame:
     """ANSWER rows: for each batch and bucket the corpus counts of its keys,
     of the folds that train the weights' estimates (r) and of all (a); and as
     batch -1, the bucket's part of the totals."""
-    start = np.uint64(xxhash.xxh64_intdigest(START))
+    start = xxhash.xxh64_intdigest(START)
+    start_bucket, start_key = start >> (64 - bits), np.uint64(start & ((1 << 64 - bits) - 1))
 
     def ask(t: pa.Table) -> pa.Table:
         b = Batch(t.column("text").to_pylist(), bits)
@@ -169,14 +190,14 @@ def corpus_counts(batches: DataFrame, bits: int) -> DataFrame:
 
     def tell(t: pa.Table) -> pa.Table:
         out = []
-        for k, size in (("1", 8), ("2", BIGRAM_BITS // 8)):
-            keys = [unplaned(x.as_py(), size) for x in t.column("k" + k)]
+        for k in "12":
+            keys = [unpacked_keys(x.as_py()) for x in t.column("k" + k)]
             cut = np.cumsum([len(x) for x in keys])[:-1]
             uniq, at = np.unique(np.concatenate(keys), return_inverse=True)
             del keys
-            r, h = (np.bincount(at, np.concatenate([unpacked(x.as_py()) for x in t.column(c + k)]), len(uniq)) for c in "rh")
+            r, h = (np.bincount(at, np.concatenate([counts(x.as_py()) for x in t.column(c + k)]), len(uniq)) for c in "rh")
             if k == "1":
-                own = uniq != start
+                own = (uniq != start_key) | (t.column("bucket")[0].as_py() != start_bucket)
                 totals = [(r + h)[own].sum(), (r + h > 0)[own].sum(), r[own].sum(), (r > 0)[own].sum()]
             out += [[packed(x) for x in np.split(c[at], cut)] for c in (r, r + h)]
         extra = [np.array(totals, np.int64).tobytes(), b"", b"", b""]
@@ -231,7 +252,7 @@ def events(batches: DataFrame, answers: DataFrame, bits: int) -> DataFrame:
             return table([2] * 4, range(4), none, np.sum(parts, axis=0), none, none)
         b = Batch(left.column("text").to_pylist(), bits)
         right = right.sort_by("bucket")
-        r1, a1, r2, a2 = (np.concatenate([unpacked(x.as_py()) for x in right.column(c)]) for c in ("r1", "a1", "r2", "a2"))
+        r1, a1, r2, a2 = (np.concatenate([counts(x.as_py()) for x in right.column(c)]) for c in ("r1", "a1", "r2", "a2"))
         fold = left.column("fold").to_numpy()
         code = n = np.zeros(0, np.int64)
         on = (fold == EM_FOLD)[b.doc]
@@ -245,8 +266,8 @@ def events(batches: DataFrame, answers: DataFrame, bits: int) -> DataFrame:
         none = [None] * len(code)
         return table([0] * len(fold) + [1] * len(code), left.column("doc_id").to_pylist() + code.tolist(),
                      (fold == HELD_OUT).tolist() + none, b.lengths.tolist() + n.tolist(),
-                     [packed(x) for x in np.split(a1[b.token], cut)] + none,
-                     [packed(x) for x in np.split(a2[b.bigram], cut)] + none)
+                     [planes(x) for x in np.split(a1[b.token], cut)] + none,
+                     [planes(x) for x in np.split(a2[b.bigram], cut)] + none)
 
     return batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(join, EVENTS)
 
@@ -293,7 +314,7 @@ def score(docs: DataFrame) -> DataFrame:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BATCH_BYTES))
     bits = max(3, math.ceil(math.log2(parts)))
     batches = dealt(docs, parts)
-    found = C.written(events(batches, corpus_counts(batches, bits), bits), "lm-events")
+    found = C.written(events(batches, corpus_counts(batches, bits), bits), "lm-events", compression="zstd")
     sums = found.where("kind > 0").groupBy("kind", "doc_id").agg(F.sum("n").alias("n")).collect()  # histogram cells
     totals = {r["doc_id"]: r["n"] for r in sums if r["kind"] == 2}
     n, v, n_r, v_r = (int(totals.get(k, 0)) for k in range(4))
@@ -303,7 +324,7 @@ def score(docs: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for x, y in zip(b.column(3), b.column(4)):
-                rows.append(log_scores(unpacked(x.as_py()), unpacked(y.as_py()), n, v, weights))
+                rows.append(log_scores(unplaned(x.as_py()), unplaned(y.as_py()), n, v, weights))
             known, base, own = zip(*rows) if rows else ([], [], [])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), b.column(2), pa.array(known, pa.int64()), pa.array([n] * len(rows), pa.int64()),
