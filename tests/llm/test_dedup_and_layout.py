@@ -226,10 +226,10 @@ def test_map_versions_grow_only_into_the_new_shard(spark):
 
 
 def test_sharding_odd_rows(spark):
-    recs = sharding.records(documents(spark, ODD).withColumn("shard", F.lit(1)))
+    recs = sharding.records(documents(spark, ODD).withColumn("shard", F.lit(1)), slots=64)
     out = sharding.assign(recs, sharding.slot_map(spark, recs, 64, 4)).collect()
     assert len(out) == len(ODD)
-    empty = sharding.records(documents(spark, ODD).limit(0))
+    empty = sharding.records(documents(spark, ODD).limit(0), slots=64)
     m = sharding.slot_map(spark, empty, 64, 4)
     assert m.count() == 64 and sharding.assign(empty, m).count() == 0
 
