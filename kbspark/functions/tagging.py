@@ -1,10 +1,9 @@
 """Part-of-speech tagging (T4) and noun-phrase chunking (E1-E3) as Columns.
 
 The tagger maps a token to a Treebank tag through a lexicon, then through
-shape and suffix rules. The lexicon is a map literal: the shipped default
-is a fixed few hundred forms, and ``lexicon_map`` refuses user tables above
-``MAX_LITERAL_LEXICON`` entries (those go through ``tag_with_table``, a
-broadcast join with a checked size).
+shape and suffix rules. The shipped default lexicon is a map literal of a
+fixed few hundred forms; a user's lexicon is a table of any size, joined to
+the distinct forms by ``tag_with_table``.
 
 Chunking follows the staged grammar
   CA = JJR VB* | RB? JJ ;  AJ = CA (CC? CA)* ;  EN = AJ? (NN*|FW)+
@@ -20,7 +19,6 @@ from pyspark.sql import functions as F
 from kbspark.functions import text as T
 from kbspark.sources.wordlists import LEMMAS, LEXICON_TAGS
 
-MAX_LITERAL_LEXICON = 5000
 BRACKET_TAGS = ["-LRB-", "-RRB-", "-LSB-", "-RSB-", "-LCB-", "-RCB-"]
 # ---------------------------------------------------------------------------
 # FIXED VALUES: shape / suffix rules of the default tagger, in order.
@@ -55,15 +53,6 @@ def default_lemma_map() -> Column:
     return _map_literal({f"{f}__{p}": l for (f, p), l in LEMMAS.items()})
 
 
-def lexicon_map(lexicon: DataFrame) -> Column:
-    """Map literal from a user lexicon table ``(form, tag)``, size checked."""
-    n = lexicon.count()
-    if n > MAX_LITERAL_LEXICON:
-        raise ValueError(f"lexicon has {n} forms; use tag_with_table for large lexicons")
-    rows = lexicon.select("form", "tag").dropDuplicates(["form"]).collect()
-    return _map_literal({r["form"]: r["tag"] for r in rows})
-
-
 def bare_key(tok: Column) -> Column:
     return F.lower(F.regexp_replace(tok, r"^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", ""))
 
@@ -101,13 +90,35 @@ def tag_sentence(sentence: Column, tag_map: Column | None = None) -> Column:
     return tag_tokens(T.tokens(sentence), tag_map)
 
 
+def tag_with_table(df: DataFrame, toks_col: str, lexicon: DataFrame, out_col: str = "toks") -> DataFrame:
+    """T4 with a lexicon table (form, tag) of any size: the distinct forms of
+    the input are joined to it once, tokens get their tag from the forms found.
+    A form listed twice takes its smallest tag. ``df`` needs a unique, never
+    null ``row_id``; rows keep their columns."""
+    lex = lexicon.groupBy(F.lower("form").alias("form")).agg(F.min("tag").alias("tag"))
+    each = df.select("row_id", F.posexplode(toks_col).alias("i", "tok"))
+    keyed = each.withColumn("low", F.lower("tok")).withColumn("bare", bare_key(F.col("tok")))
+    forms = (keyed.select(F.explode(F.array("low", "bare")).alias("form")).distinct().join(lex, "form"))
+    got = (keyed.join(forms.select(F.col("form").alias("low"), F.col("tag").alias("t1")), "low", "left")
+           .join(forms.select(F.col("form").alias("bare"), F.col("tag").alias("t2")), "bare", "left"))
+    tag = F.when(F.col("tok").isin(*BRACKET_TAGS), F.col("tok")).otherwise(
+        F.coalesce("t1", "t2", rule_tag(F.col("tok"), F.col("i"))))
+    tagged = got.groupBy("row_id").agg(F.array_sort(F.collect_list(
+        F.struct("i", F.col("tok").alias("token"), tag.alias("pos")))).alias("_t"))
+    pairs = F.transform("_t", lambda x: F.struct(x["token"].alias("token"), x["pos"].alias("pos")))
+    none = F.array().cast("array<struct<token:string,pos:string>>")
+    return (df.join(tagged, "row_id", "left").withColumn(out_col, F.coalesce(pairs, none)).drop("_t"))
+
+
 # ------------------------------------------------------------------ chunking
 def chunk_code(toks: Column) -> Column:
-    """One letter per token: N noun/FW, J JJ, K JJR, R RB, C CC, V VB*, x other."""
+    """One letter per token: N noun/FW, J JJ, K JJR, R RB, C CC, V VB*, D DT,
+    # CD, x other."""
     def code(t: Column) -> Column:
         p = t["pos"]
         return (F.when(p.startswith("NN") | (p == "FW"), "N").when(p == "JJ", "J").when(p == "JJR", "K")
-                .when(p == "RB", "R").when(p == "CC", "C").when(p.startswith("VB"), "V").otherwise("x"))
+                .when(p == "RB", "R").when(p == "CC", "C").when(p.startswith("VB"), "V")
+                .when(p == "DT", "D").when(p == "CD", "#").otherwise("x"))
     return F.array_join(F.transform(toks, code), "")
 
 
@@ -149,58 +160,50 @@ def sentence_entities(toks: Column, noun_lemmas: Column | None = None) -> Column
     return F.array_sort(F.array_distinct(F.filter(F.flatten(per_span), lambda e: e != "")))
 
 
+def _matches(code: Column, pattern: str, offset: Column | None = None) -> Column:
+    """Pieces of a code string as array<struct<hit, start (1-based), len>>: the
+    pattern's matches and what lies between, in order."""
+    pieces = F.split(F.regexp_replace(code, pattern, "|$0|"), r"\|", -1)
+    first = F.lit(1) if offset is None else offset
+    init = F.struct(first.cast("int").alias("pos"), F.lit(0).alias("idx"),
+                    F.array().cast("array<struct<hit:boolean,start:int,len:int>>").alias("out"))
+
+    def step(acc: Column, p: Column) -> Column:
+        piece = F.struct((acc["idx"] % 2 == 1).alias("hit"), acc["pos"].alias("start"), F.length(p).alias("len"))
+        return F.struct((acc["pos"] + F.length(p)).cast("int").alias("pos"), (acc["idx"] + 1).alias("idx"),
+                        F.when(F.length(p) > 0, F.array_append(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(pieces, init, step, lambda acc: acc["out"])
+
+
+def phrase_code(toks: Column) -> Column:
+    """One letter per token for the NP stage: 'E' begins an EN span and 'f'
+    goes on with it, 'e' is a conjunction between two spans, 'nn' a pair of
+    conjunction and number, D / C / # determiner, conjunction and number."""
+    pieces = F.split(F.regexp_replace(entity_code(toks), "(a[ac]*)?N+", "|$0|"), r"\|", -1)
+    spans = F.array_join(F.transform(pieces, lambda p, i: F.when(
+        i % 2 == 1, F.concat(F.lit("E"), F.repeat(F.lit("f"), F.length(p) - 1))).otherwise(F.translate(p, "c", "C"))), "")
+    joined = F.regexp_replace(spans, "(?<=[Ef])C(?=E)", "e")
+    return F.regexp_replace(joined, "C#", "nn")
+
+
+def _segments(toks: Column) -> Column:
+    """E2 with each segment's code: array<struct<label, start, len, code>>."""
+    return T.let(phrase_code(toks), lambda code: F.transform(
+        _matches(code, "D?C?n*E[Eef]*"), lambda m: F.struct(
+            F.when(m["hit"], "NP").otherwise("VP").alias("label"), m["start"].alias("start"), m["len"].alias("len"),
+            F.substring(code, m["start"], m["len"]).alias("code"))))
+
+
 def np_vp_segments(toks: Column) -> Column:
     """Top-level NP / VP segmentation as array<struct<label, start, len>>.
 
-    NP = DT? CC? (CC CD)* EN (CC? EN)*, everything between NPs is VP. EN spans
-    are collapsed to one letter 'E' first; the NP pattern then runs on a code
-    string of one letter per remaining item.
+    NP = DT? CC? (CC CD)* EN (CC? EN)*, everything between NPs is VP. The
+    repeated groups of the rule become single-letter loops by same-length
+    rewrites of the code string (Java's regex engine recurses on groups).
     """
-    def with_spans(spans: Column) -> Column:
-        n = F.size(toks)
-        starts = F.transform(spans, lambda s: s["start"])
-        lens = F.transform(spans, lambda s: s["len"])
-        # span id of each token (0 when outside), then item list: one item per
-        # span and one per token outside spans
-        covered = F.flatten(F.transform(spans, lambda s: F.when(
-            s["len"] > 1, F.sequence(s["start"] + 1, s["start"] + s["len"] - 1)).otherwise(F.array().cast("array<int>"))))
-
-        def with_cov(cov: Column) -> Column:
-            idxs = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                            lambda i: (i <= n) & ~F.array_contains(cov, i))
-
-            def item(i: Column) -> Column:
-                p = F.try_element_at(toks, i)["pos"]
-                pos_in = F.array_position(starts, i)
-                code = (F.when(pos_in > 0, "E").when(p == "DT", "D").when(p == "CC", "C").when(p == "CD", "#")
-                        .otherwise("o"))
-                ln = F.when(pos_in > 0, F.try_element_at(lens, pos_in.cast("int"))).otherwise(F.lit(1))
-                return F.struct(i.alias("start"), code.alias("code"), ln.alias("len"))
-
-            return T.let(F.transform(idxs, item), segments)
-
-        return T.let(F.filter(covered, lambda x: x.isNotNull()), with_cov)
-
-    def segments(items: Column) -> Column:
-        code = F.array_join(F.transform(items, lambda it: it["code"]), "")
-        pieces = F.split(F.regexp_replace(code, "D?C?(?:C#)*E(?:C?E)*", "|$0|"), r"\|", -1)
-        init = F.struct(F.lit(1).alias("item"), F.lit(0).alias("idx"),
-                        F.array().cast("array<struct<label:string,first:int,count:int>>").alias("out"))
-
-        def step(acc: Column, p: Column) -> Column:
-            seg = F.struct(F.when(acc["idx"] % 2 == 1, "NP").otherwise("VP").alias("label"),
-                           acc["item"].cast("int").alias("first"), F.length(p).cast("int").alias("count"))
-            return F.struct((acc["item"] + F.length(p)).alias("item"), (acc["idx"] + 1).alias("idx"),
-                            F.when(F.length(p) > 0, F.array_append(acc["out"], seg)).otherwise(acc["out"])
-                            .alias("out"))
-
-        segs = F.aggregate(pieces, init, step, lambda acc: acc["out"])
-        return F.transform(segs, lambda s: F.struct(
-            s["label"].alias("label"),
-            F.try_element_at(items, s["first"])["start"].alias("start"),
-            F.aggregate(F.slice(items, s["first"], s["count"]), F.lit(0), lambda a, it: a + it["len"]).alias("len")))
-
-    return T.let(entity_spans(toks), with_spans)
+    return F.transform(_segments(toks), lambda s: F.struct(
+        s["label"].alias("label"), s["start"].alias("start"), s["len"].alias("len")))
 
 
 def question_score(toks: Column, text: Column) -> Column:
@@ -237,18 +240,15 @@ def sentence_template(toks: Column) -> Column:
     def words(start: Column, length: Column) -> Column:
         return F.array_join(F.transform(F.slice(toks, start, length), lambda t: t["token"]), " ")
 
-    def with_spans(spans: Column) -> Column:
-        def phrase(seg: Column) -> Column:
-            inside = F.filter(spans, lambda sp: (sp["start"] >= seg["start"])
-                              & (sp["start"] + sp["len"] <= seg["start"] + seg["len"]))
-            return F.aggregate(F.transform(inside, lambda sp: words(sp["start"], sp["len"])),
-                               words(seg["start"], seg["len"]),
-                               lambda acc, e: F.replace(acc, e, F.lit(ENTITY_PLACEHOLDER)))
-        s = T.py_strip(F.array_join(F.transform(np_vp_segments(toks), phrase), " "))
-        s = T.py_strip(F.regexp_replace(s, T.BRACKET_TAG_PATTERN, " "))
-        s = T.py_strip(F.regexp_replace(s, ENTITY_PLACEHOLDER + r"(\s+" + ENTITY_PLACEHOLDER + ")+",
-                                        ENTITY_PLACEHOLDER))
-        return F.when(s == "", F.lit(None).cast("string")).when(s.rlike(r"[!;:.]$"), s).otherwise(
-            F.concat(s, F.lit(".")))
-
-    return T.let(entity_spans(toks), with_spans)
+    def phrase(seg: Column) -> Column:
+        inside = F.filter(_matches(seg["code"], "Ef*", seg["start"]), lambda m: m["hit"])
+        return F.aggregate(F.transform(inside, lambda sp: words(sp["start"], sp["len"])),
+                           words(seg["start"], seg["len"]),
+                           lambda acc, e: F.replace(acc, e, F.lit(ENTITY_PLACEHOLDER)))
+
+    s = T.py_strip(F.array_join(F.transform(_segments(toks), phrase), " "))
+    s = T.py_strip(F.regexp_replace(s, T.BRACKET_TAG_PATTERN, " "))
+    # a placeholder right behind another goes; no repeated group is needed
+    s = T.py_strip(F.regexp_replace(s, rf"(?<={ENTITY_PLACEHOLDER})\s+{ENTITY_PLACEHOLDER}", ""))
+    return T.let(s, lambda v: F.when(v == "", F.lit(None).cast("string")).when(v.rlike(r"[!;:.]$"), v).otherwise(
+        F.concat(v, F.lit("."))))

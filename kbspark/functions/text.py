@@ -116,6 +116,12 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(found, py_strip), lambda s: F.length(s) >= MIN_SENT_LENGTH)
 
 
+def line_sentences(text: Column) -> Column:
+    """T1 line by line: a sentence does not cross a line break, and a line
+    without an end mark is a sentence of its own."""
+    return F.flatten(F.transform(split_lines(text), sentences))
+
+
 def question_trim(q: Column) -> Column:
     """Strip '? . , : newline' at both ends."""
     return F.btrim(q, F.lit(QUESTION_TRIM))

@@ -5,17 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kbspark.session import ensure_checkpoint_dir
+
+ROOT_ID = 1  # heading id of ROOT, whose path is empty
 
 def ancestor_pairs(headings: DataFrame) -> DataFrame:
     """(ancestor_id, descendant_id, depth >= 1) by equi-join on path prefixes
     (a heading's path is a proper prefix of its descendants' paths).
-    Rows = sum of heading depths; no recursion, no pairs beyond the tree."""
-    pref = headings.select(F.col("heading_id").alias("descendant_id"), "path",
-                           F.explode(F.sequence(F.lit(0), F.size("path") - 1)).alias("k"))
+    Rows = sum of heading depths; no recursion, no pairs beyond the tree.
+    Every heading descends from ROOT: those rows need no join on the empty
+    path, which would bring all headings to one key."""
+    below = headings.where(F.size("path") > 0)
+    root = below.select(F.lit(ROOT_ID).cast("long").alias("ancestor_id"), F.col("heading_id").alias("descendant_id"),
+                        F.size("path").alias("depth"))
+    pref = below.where(F.size("path") > 1).select(F.col("heading_id").alias("descendant_id"), "path",
+                                                  F.explode(F.sequence(F.lit(1), F.size("path") - 1)).alias("k"))
     pref = pref.select("descendant_id", F.slice("path", 1, F.col("k")).alias("apath"),
                        (F.size("path") - F.col("k")).alias("depth"))
     anc = headings.select(F.col("heading_id").alias("ancestor_id"), F.col("path").alias("apath"))
-    return pref.where(F.size("path") > 0).join(anc, "apath").select("ancestor_id", "descendant_id", "depth")
+    return pref.join(anc, "apath").select("ancestor_id", "descendant_id", "depth").unionByName(root)
 
 
 def hierarchy(headings: DataFrame, ids: DataFrame | None = None) -> DataFrame:
@@ -54,8 +62,11 @@ def progress(log: DataFrame, job_col: str = "job", ts_col: str = "ts", order_col
     """
     keys = [job_col, ts_col] + ([order_col] if order_col else [])
     nparts = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = log.select(*dict.fromkeys(keys)).repartitionByRange(nparts, *keys).withColumn(
-        "_pid", F.spark_partition_id())
+    # the range bounds are sampled: the stamps are materialised, so that ranks
+    # and offsets see the same partitions whatever the plan reuses
+    ensure_checkpoint_dir(log.sparkSession)
+    ranged = (log.select(*dict.fromkeys(keys)).repartitionByRange(nparts, *keys)
+              .withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True))
     local = Window.partitionBy("_pid", job_col).orderBy(*keys)
     rows = ranged.withColumn("_k", F.row_number().over(local)).withColumn("_prev", F.lag(ts_col).over(local))
     job_parts = Window.partitionBy(job_col).orderBy("_pid")

@@ -19,19 +19,7 @@ ITEM_SCHEMA = Ty.StructType([
     Ty.StructField("content", Ty.StringType()),
 ])
 
-# ---------------------------------------------------------------------------
-# FIXED VALUES: crawl scope of the original spider (allowed host and the
-# product allow-list of documentation spaces).
-# ---------------------------------------------------------------------------
-ALLOWED_DOMAINS = ["docs.wso2.com"]
-DOC_SPACES = [
-    "AM210", "ApiCloud", "EI611", "EIP", "IntegrationCloud", "IS530", "IdentityCloud", "DAS310", "IOTS310",
-    "DeviceCloud", "OpenBanking", "KA100", "MA100", "PM210", "DF120", "ESBCONNECTORS", "ISCONNECTORS",
-    "ANALYTICSEXTENSIONS", "SIDDHIEXTENSIONS", "ManagedCloud", "Governance540", "ADMIN44x", "CLUSTER44x",
-    "AS530", "GS140", "AF210", "CG100", "PP411", "CARBON4411", "MB320", "APPM120", "ES210", "DVS380",
-]
-ALLOW_PATTERN = r".*com\/display\/(%s).*" % "|".join(DOC_SPACES)
-HREF_PATTERN = r"""<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""
+HREF_PATTERN = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 
 SCHEME_PATTERN = "^([A-Za-z][A-Za-z0-9+.-]*)://"
@@ -67,26 +55,51 @@ def dedupe_pages(pages: DataFrame) -> DataFrame:
     return first_per_key(with_canonical_id(pages), "canonical_id", "page_id")
 
 
-def out_links(pages: DataFrame, known_ids: DataFrame | None = None,
-              allowed_domains: list[str] | None = None, allow_pattern: str = ALLOW_PATTERN) -> DataFrame:
-    """One crawl-frontier step. Links of each page, resolved against the
-    page's scheme and host, kept when the host is allowed and the URL
-    matches the allow pattern; ``follow`` is true when the canonical link is
-    not a known page id (anti join)."""
-    hrefs = pages.select("page_id", "url",
-                         F.explode(F.regexp_extract_all("html", F.lit(HREF_PATTERN), 1)).alias("href"))
-    scheme = url_scheme(F.col("url"))
-    link = (F.when(F.col("href").rlike(SCHEME_PATTERN), F.col("href"))
-            .when(F.col("href").startswith("//"), F.concat(scheme, F.lit(":"), F.col("href")))
-            .when(F.col("href").startswith("/"), F.concat(scheme, F.lit("://"), url_host(F.col("url")),
-                                                          F.col("href"))))
-    links = hrefs.select("page_id", link.alias("link")).where(F.col("link").isNotNull())
-    host = url_host(F.col("link"))
+def resolved(href: Column, url: Column) -> Column:
+    """A link's target by the usual rules of relative references; NULL for
+    other schemes (mailto and the like)."""
+    base = F.regexp_replace(url, "#.*$", "")
+    path_base = F.regexp_replace(base, r"\?.*$", "")
+    site = F.concat(url_scheme(url), F.lit("://"), url_host(url))
+    folder = F.regexp_replace(F.regexp_replace(path_base, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), "[^/]*$", "")
+    folder = F.when(folder == "", "/").otherwise(folder)
+    target = F.concat(folder, href)
+    path, rest = F.regexp_extract(target, "^[^?#]*", 0), F.regexp_replace(target, "^[^?#]*", "")
+    # dot segments: a fold over the parts, '..' takes the part before away
+    parts = F.split(path, "/")
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array().cast("array<string>"), lambda acc, p: F.when(
+        p == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(p == ".", acc).otherwise(F.array_append(acc, p)))
+    ends_dotted = path.rlike(r"/\.\.?$")
+    clean = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(ends_dotted & (F.size(kept) > 0), "/").otherwise(""))
+    return (F.when(href.rlike(SCHEME_PATTERN), href)
+            .when(href.startswith("//"), F.concat(url_scheme(url), F.lit(":"), href))
+            .when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+            .when(href == "", base)
+            .when(href.startswith("/"), F.concat(site, href))
+            .when(href.startswith("?"), F.concat(path_base, href))
+            .when(href.startswith("#"), F.concat(base, href))
+            .otherwise(F.concat(site, clean, rest)))
+
+
+def page_links(pages: DataFrame, allowed_domains: list[str] | None = None, allow_pattern: str | None = None) -> DataFrame:
+    """(page_id, link_id): the distinct canonical targets of each page's links
+    whose host and URL are allowed."""
+    found = F.transform(F.regexp_extract_all("html", F.lit(HREF_PATTERN), 1), lambda h: F.regexp_replace(h, "^[\"']|[\"']$", ""))
+    hrefs = pages.select("page_id", "url", F.explode(found).alias("href"))
+    links = hrefs.select("page_id", resolved(F.col("href"), F.col("url")).alias("link")).where(F.col("link").isNotNull())
     if allowed_domains:
-        links = links.where(host.isin(*allowed_domains))
+        links = links.where(url_host(F.col("link")).isin(*allowed_domains))
     if allow_pattern:
         links = links.where(F.col("link").rlike(allow_pattern))
-    links = links.withColumn("link_id", T.canonical_url(F.col("link"))).dropDuplicates(["page_id", "link_id"])
+    return links.select("page_id", T.canonical_url(F.col("link")).alias("link_id")).distinct()
+
+
+def out_links(pages: DataFrame, known_ids: DataFrame | None = None,
+              allowed_domains: list[str] | None = None, allow_pattern: str | None = None) -> DataFrame:
+    """One crawl-frontier step. Links of each page, resolved against the
+    page, kept when host and URL are allowed; ``follow`` is true when the
+    canonical link is not a known page id (anti join)."""
+    links = page_links(pages, allowed_domains, allow_pattern)
     known = known_ids if known_ids is not None else with_canonical_id(pages).select("canonical_id")
     known = known.select(F.col(known.columns[0]).alias("link_id")).distinct()
     fresh = links.join(known, "link_id", "left_anti").select("page_id", "link_id", F.lit(True).alias("follow"))
@@ -94,11 +107,19 @@ def out_links(pages: DataFrame, known_ids: DataFrame | None = None,
     return fresh.unionByName(seen)
 
 
+TITLE_PATTERN = r"(?is)<title\b[^>]*>(.*?)(?:</title>|$)"
+H1_PATTERN = r"(?is)<h1\b[^>]*>(.*?)(?:</h1>|$)"
+
+
+def inner_text(html: Column) -> Column:
+    """The trimmed texts between tags, joined by blanks."""
+    return F.array_join(F.filter(F.transform(F.split(html, "<[^>]*>"), T.py_strip), lambda t: t != ""), " ")
+
+
 def title_and_h1(pages: DataFrame) -> DataFrame:
-    """C4 for flat tags: first title text and trimmed h1 texts joined by a blank."""
-    title = F.regexp_extract("html", r"(?is)<title[^>]*>([^<]*)", 1)
-    h1 = F.array_join(F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<h1[^>]*>([^<]*)"), 1), lambda h: F.trim(h)), " ")
-    return pages.select("page_id", F.trim(title).alias("title"), F.trim(h1).alias("h1"))
+    """C4 natively: first title and all h1 texts, with those of tags inside."""
+    h1 = F.array_join(F.transform(F.regexp_extract_all("html", F.lit(H1_PATTERN), 1), inner_text), " ")
+    return pages.select("page_id", inner_text(F.regexp_extract("html", TITLE_PATTERN, 1)).alias("title"), T.py_strip(h1).alias("h1"))
 
 
 def page_items(pages: DataFrame, content_tag: str = "div", content_class: str | None = "wiki-content",
@@ -179,7 +200,3 @@ def kb_input_from_documents(documents: DataFrame) -> DataFrame:
         F.col("source").alias("product"),
         F.array(F.col("lang"), F.concat(F.lit("document "), F.col("doc_id").cast("string"))).alias("heading"),
         T.clean_lines(F.col("text")).alias("content"))
-
-
-def product_of(url: Column) -> Column:
-    return T.product_key(url)

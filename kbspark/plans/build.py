@@ -12,10 +12,9 @@ from kbspark.operators import kb as K
 from kbspark.operators import pages as P
 from kbspark.operators import retrieval as R
 from kbspark.session import ensure_checkpoint_dir
-from kbspark.sources.tables import read_table, spread
+from kbspark.sources.tables import read_table
 
 _CACHE: dict = {}
-Q_ID_FACTOR = 100_000  # q_id = conv_id * Q_ID_FACTOR + turn
 
 
 def _key(spark: SparkSession, sf_dir: str, what: str):
@@ -23,7 +22,7 @@ def _key(spark: SparkSession, sf_dir: str, what: str):
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"]))
+    return read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"])
 
 
 def kb_from_documents(spark: SparkSession, sf_dir: str) -> K.KB:
@@ -35,16 +34,16 @@ def kb_from_documents(spark: SparkSession, sf_dir: str) -> K.KB:
     return _CACHE[k]
 
 
+def question_id():
+    """q_id of a conversation turn: both numbers, so no two turns share one."""
+    return F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("q_id")
+
+
 def user_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions = user turns of ``conversations``."""
     conv = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
     return conv.where(F.col("role") == "user").select(
-        (F.col("conv_id") * Q_ID_FACTOR + F.col("turn")).alias("q_id"), F.col("text").alias("question"))
-
-
-def benchmark_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = read_table(spark, sf_dir, "benchmark", ["item_id", "text"])
-    return b.select(F.col("item_id").alias("q_id"), F.col("text").alias("question"))
+        question_id(), F.col("text").alias("question"))
 
 
 def retrieval(spark: SparkSession, sf_dir: str) -> R.Retrieval:
@@ -52,7 +51,7 @@ def retrieval(spark: SparkSession, sf_dir: str) -> R.Retrieval:
     k = _key(spark, sf_dir, "retrieval")
     if k not in _CACHE:
         kb = kb_from_documents(spark, sf_dir)
-        _CACHE[k] = R.retrieve(spread(user_questions(spark, sf_dir)), kb)
+        _CACHE[k] = R.retrieve(user_questions(spark, sf_dir), kb)
     return _CACHE[k]
 
 

@@ -15,8 +15,8 @@ from collections import defaultdict
 from kbspark.functions import tagging as G
 from kbspark.functions import text as T
 from kbspark.functions.frames import unit_keys
+from kbspark.operators import pages as P
 from kbspark.operators import retrieval as R
-from kbspark.plans.build import Q_ID_FACTOR
 from kbspark.sources import wordlists as W
 
 # ----------------------------------------------------------------- literals
@@ -98,6 +98,11 @@ def sentences(x: str) -> str:
             f"lambda s: length(s) >= 4)")
 
 
+def line_sentences(x: str) -> str:
+    """T1 line by line."""
+    return f"flatten(list_transform(string_split_regex({x}, '{LINE_BREAK}'), lambda ln: {sentences('ln')}))"
+
+
 def tokens(x: str) -> str:
     return (rf"list_filter(string_split_regex({strip(rf'''regexp_replace({x}, '[^\x00-\x7F]', '', 'g')''')}, '\s+'), "
             "lambda t: t <> '')")
@@ -215,37 +220,33 @@ doc_sents AS (
 
 USER_SENTS = f"""
 user_sents AS (
-  SELECT c.conv_id, c.turn, c.conv_id * {Q_ID_FACTOR} + c.turn AS q_id, c.text AS question,
+  SELECT c.conv_id, c.turn, concat_ws('-', c.conv_id, c.turn) AS q_id, c.text AS question,
          u.s AS sentence, u.j - 1 AS sent_idx
-  FROM conversations c, unnest({sentences(f"trim(c.text, {lit(T.QUESTION_TRIM)})")}) WITH ORDINALITY AS u(s, j)
+  FROM conversations c, unnest({line_sentences(f"trim(c.text, {lit(T.QUESTION_TRIM)})")}) WITH ORDINALITY AS u(s, j)
   WHERE c.role = 'user' AND c.text IS NOT NULL)"""
 
 
 def simple() -> dict[str, str]:
     q = {}
-    q["s1_scan_documents"] = "SELECT doc_id, source, n_chars FROM documents WHERE lang = 'en'"
+    q["s1_scan_documents"] = "SELECT doc_id, lang, source, n_chars FROM documents"
     q["s2_row_counts"] = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in TABLES)
     q["c1_canonical_url"] = "SELECT page_id, split_part(url, '?', 1) AS canonical_id FROM pages"
-    q["c2_first_page_per_url"] = ("SELECT split_part(url, '?', 1) AS canonical_id, min(page_id) AS page_id "
-                                  "FROM pages GROUP BY 1")
-    scheme = r"regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)"
-    host = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
+    links = page_links_sql()
+    q["c2_first_page_per_url"] = f"""
+WITH {links}
+SELECT canonical_id, min(page_id) AS page_id FROM (
+  SELECT split_part(url, '?', 1) AS canonical_id, page_id FROM pages UNION ALL SELECT link_id, page_id FROM links) GROUP BY 1"""
     q["c3_out_links"] = f"""
-WITH hrefs AS (
-  SELECT page_id, url, unnest(regexp_extract_all(html, {lit(P_HREF)}, 1)) AS href FROM pages),
-links AS (
-  SELECT DISTINCT page_id, split_part(CASE
-      WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href
-      WHEN starts_with(href, '//') THEN {scheme} || ':' || href
-      WHEN starts_with(href, '/') THEN {scheme} || '://' || {host} || href END, '?', 1) AS link_id
-  FROM hrefs),
+WITH {links},
 known AS (SELECT DISTINCT split_part(url, '?', 1) AS link_id FROM pages)
-SELECT page_id, link_id, link_id NOT IN (SELECT link_id FROM known) AS follow FROM links WHERE link_id IS NOT NULL"""
-    q["c4_title_h1"] = (r"SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>([^<]*)', 1)) AS title, "
-                        r"trim(array_to_string(list_transform(regexp_extract_all(html, '(?is)<h1[^>]*>([^<]*)', 1), "
-                        r"lambda h: trim(h)), ' ')) AS h1 FROM pages")
-    q["c12_product_key"] = (r"SELECT page_id, CASE WHEN regexp_extract(url, '/display/(.[^/]*)', 1) = '' THEN NULL "
-                            r"ELSE regexp_extract(url, '/display/(.[^/]*)', 1) END AS product FROM pages")
+SELECT page_id, link_id, link_id NOT IN (SELECT link_id FROM known) AS follow FROM links"""
+    inner = (r"array_to_string(list_filter(list_transform(string_split_regex({}, '<[^>]*>'), "
+             r"lambda t: regexp_replace(t, '^\s+|\s+$', '', 'g')), lambda t: t <> ''), ' ')")
+    q["c4_title_h1"] = (rf"SELECT page_id, {inner.format(f'regexp_extract(html, {lit(P.TITLE_PATTERN)}, 1)')} AS title, "
+                        rf"{strip(f'array_to_string(list_transform(regexp_extract_all(html, {lit(P.H1_PATTERN)}, 1), lambda h: {inner.format(chr(104))}), chr(32))')}"
+                        r" AS h1 FROM pages")
+    q["c12_product_key"] = (r"SELECT page_id, CASE WHEN regexp_extract(url, '/en/(.[^/]*)', 1) = '' THEN NULL "
+                            r"ELSE regexp_extract(url, '/en/(.[^/]*)', 1) END AS product FROM pages")
     q["c9_clean_lines"] = f"WITH {DOC_LINES} SELECT doc_id, line_no, line FROM doc_lines"
     q["m1_heading_lines"] = (f"WITH {DOC_LINES} SELECT doc_id, line_no, "
                              r"length(regexp_extract(line, '(#+)\s(.*)', 1)) AS level, "
@@ -298,7 +299,38 @@ SELECT job, n, total, round(CAST(n * 100 AS DECIMAL(38,10)) / CAST(total AS DECI
     return q
 
 
-P_HREF = r"""<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""
+def page_links_sql() -> str:
+    """CTEs hrefs and links(page_id, link_id): resolved link targets."""
+    scheme = r"regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)"
+    host = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
+    return rf"""
+hrefs AS (
+  SELECT page_id, url, regexp_replace(unnest(regexp_extract_all(html, {lit(P.HREF_PATTERN)}, 1)), '^["'']|["'']$', '', 'g') AS href
+  FROM pages),
+based AS (
+  SELECT *, regexp_replace(url, '#.*$', '') AS base, regexp_replace(regexp_replace(url, '#.*$', ''), '\?.*$', '') AS path_base,
+         {scheme} || '://' || {host} AS site FROM hrefs),
+foldered AS (
+  SELECT *, regexp_replace(regexp_replace(path_base, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '[^/]*$', '') AS folder FROM based),
+targets AS (
+  SELECT *, regexp_extract(CASE WHEN folder = '' THEN '/' ELSE folder END || href, '^[^?#]*') AS tpath,
+         regexp_replace(CASE WHEN folder = '' THEN '/' ELSE folder END || href, '^[^?#]*', '') AS rest FROM foldered),
+folded AS (
+  SELECT *, list_reduce(string_split(tpath, '/')[2:], lambda acc, p: CASE WHEN p = '..' THEN acc[1:greatest(len(acc) - 1, 0)]
+         WHEN p = '.' THEN acc ELSE list_append(acc, p) END, []::VARCHAR[]) AS parts FROM targets),
+links AS (
+  SELECT DISTINCT page_id, split_part(link, '?', 1) AS link_id FROM (
+    SELECT page_id, CASE
+      WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href
+      WHEN starts_with(href, '//') THEN {scheme} || ':' || href
+      WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+      WHEN href = '' THEN base
+      WHEN starts_with(href, '/') THEN site || href
+      WHEN starts_with(href, '?') THEN path_base || href
+      WHEN starts_with(href, '#') THEN base || href
+      ELSE site || '/' || array_to_string(parts, '/') || CASE WHEN regexp_matches(tpath, '/\.\.?$') AND len(parts) > 0
+           THEN '/' ELSE '' END || rest END AS link FROM folded) WHERE link IS NOT NULL)"""
+
 
 # ----------------------------------------------------------------- KB chain
 
@@ -376,7 +408,7 @@ acr AS (SELECT entity, min(term) AS term FROM (VALUES {acr}) v(entity, term) GRO
 SELECT e.entity_id, e.entity, coalesce(a.term, e.entity) AS expanded FROM kentities e LEFT JOIN acr a USING (entity)"""
     q["d2_entity_stoplist"] = (f"{w} SELECT entity_id, entity FROM kentities "
                                f"WHERE NOT list_contains({str_list(W.ENTITY_STOPWORDS)}, entity)")
-    maxw = max(len(x.split()) for x in W.ENTITY_FORCED)
+    maxw = 2  # the forced phrases are the entities of two words
     words = (r"list_filter(list_transform(string_split(s.sentence, ' '), lambda x: "
              r"lower(regexp_replace(regexp_replace(x, '__[^_]*$', ''), '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g'))), "
              r"lambda x: x <> '')")
@@ -384,7 +416,8 @@ SELECT e.entity_id, e.entity, coalesce(a.term, e.entity) AS expanded FROM kentit
 ws AS (SELECT s.sentence_id, {words} AS w FROM ksentences s),
 grams AS (SELECT DISTINCT sentence_id, array_to_string(w[i:i + k - 1], ' ') AS entity
           FROM ws, unnest(range(1, {maxw} + 1)) AS a(k), unnest(range(1, len(w) - k + 2)) AS b(i))
-SELECT sentence_id, entity FROM grams WHERE list_contains({str_list(W.ENTITY_FORCED)}, entity)"""
+SELECT sentence_id, entity FROM grams
+WHERE entity IN (SELECT entity FROM kentities WHERE len(string_split(entity, ' ')) = {maxw})"""
     return q
 
 

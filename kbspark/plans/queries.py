@@ -23,17 +23,20 @@ from kbspark.operators import pages as P
 from kbspark.operators import retrieval as R
 from kbspark.plans import build as B
 from kbspark.sources import tables as S
-from kbspark.sources.tables import read_table, spread
+from kbspark.sources.tables import read_table
 from kbspark.streaming import streams as ST
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+PRODUCT_PREFIX = "/en/"  # C12 on the driver's URLs
+FORCED_WORDS = 2         # D3: entities of so many words serve as forced phrases
+
+
 # ----------------------------------------------------------------- S
 def s1_scan_documents(spark: SparkSession, sf: str) -> DataFrame:
-    d = read_table(spark, sf, "documents", ["doc_id", "lang", "source", "n_chars"])
-    return d.where(F.col("lang") == "en").select("doc_id", "source", "n_chars")
+    return read_table(spark, sf, "documents", ["doc_id", "lang", "source", "n_chars"])
 
 
 def s2_row_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -56,25 +59,28 @@ def c1_canonical_url(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def c2_first_page_per_url(spark: SparkSession, sf: str) -> DataFrame:
-    return P.dedupe_pages(read_table(spark, sf, "pages", ["page_id", "url"])).select("canonical_id", "page_id")
+    """C2 over all URLs that a crawl of the pages meets: each page's own and
+    the targets of its links, which repeat."""
+    pages = _pages(spark, sf)
+    met = pages.select("page_id", "url").unionByName(P.page_links(pages).select("page_id", F.col("link_id").alias("url")))
+    return P.dedupe_pages(met).select("canonical_id", "page_id")
 
 
 def c3_out_links(spark: SparkSession, sf: str) -> DataFrame:
-    # the crawl frontier over every host of the driver pages (the original
-    # allow-list names one documentation site, which these pages are not on)
-    return P.out_links(spread(_pages(spark, sf)), allowed_domains=None, allow_pattern=None)
+    # the crawl frontier over every host of the driver pages
+    return P.out_links(_pages(spark, sf))
 
 
 def c4_title_h1(spark: SparkSession, sf: str) -> DataFrame:
-    return P.title_and_h1(spread(_pages(spark, sf)))
+    return P.title_and_h1(_pages(spark, sf))
 
 
 def c12_product_key(spark: SparkSession, sf: str) -> DataFrame:
-    return read_table(spark, sf, "pages", ["page_id", "url"]).select("page_id", T.product_key(F.col("url")).alias("product"))
+    return read_table(spark, sf, "pages", ["page_id", "url"]).select("page_id", T.product_key(F.col("url"), PRODUCT_PREFIX).alias("product"))
 
 
 def c6_docs_from_pages(spark: SparkSession, sf: str) -> DataFrame:
-    docs = P.docs_from_pages(spread(_pages(spark, sf)), content_tag="article", content_class=None, h1_class=None)
+    docs = P.docs_from_pages(_pages(spark, sf), content_tag="article", content_class=None, h1_class=None)
     return docs.select("doc_id", "title", F.array_join("heading", " > ").alias("heading"),
                        F.size("content").alias("n_lines"))
 
@@ -152,7 +158,7 @@ def t17_alnum_length(spark: SparkSession, sf: str) -> DataFrame:
 
 def t15_question_score(spark: SparkSession, sf: str) -> DataFrame:
     s = _user_turns(spark, sf).select("conv_id", "turn", F.posexplode(
-        T.sentences(T.question_trim(F.col("text")))).alias("sent_idx", "sentence"))
+        T.line_sentences(T.question_trim(F.col("text")))).alias("sent_idx", "sentence"))
     toks = G.tag_sentence(F.col("sentence"))
     return s.select("conv_id", "turn", "sent_idx",
                     F.round(G.question_score(toks, F.col("sentence")), 9).alias("score"))
@@ -215,7 +221,10 @@ def d2_entity_stoplist(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def d3_forced_entities(spark: SparkSession, sf: str) -> DataFrame:
-    return GR.forced_entities(B.kb_from_documents(spark, sf).sentences, S.entity_forced(spark))
+    """D3 with the KB's entities of two words as the forced phrases."""
+    kb = B.kb_from_documents(spark, sf)
+    forced = kb.entities.where(F.size(F.split("entity", " ")) == FORCED_WORDS).select("entity")
+    return GR.forced_entities(kb.sentences, forced, FORCED_WORDS)
 
 
 def g1_edges_touching_question_entities(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Sources and sinks (S1-S10): driver tables, word lists, KB catalog.
 
-All reads use explicit schemas. Writes go to folders (parquet); publishing
-a KB version switches one pointer (a view) after the new version is fully
-written, so readers never see a half-built KB.
+Driver tables are read with the schema of their files, KB tables with an
+explicit one. Writes go to folders (parquet). A KB version is written in full
+before the one pointer file is replaced that names the live version, so that
+readers, also of other sessions, never see a half-built KB.
 """
 
 from __future__ import annotations
@@ -43,20 +44,9 @@ KB_SCHEMAS = {
 }
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Give CPU-heavy row work enough tasks: repartition only when the scan
-    yields fewer partitions than the cluster's parallelism (small inputs).
-    Large inputs already have many splits and are left as they are."""
-    spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    """Scan of a driver table with its explicit schema (columns pruned
-    at the scan when ``columns`` is given)."""
+    """Scan of a driver table (columns pruned at the scan when ``columns``
+    is given)."""
     path = os.path.join(sf_dir, f"{name}.parquet")
     df = spark.read.parquet(path)
     if columns:
@@ -64,15 +54,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
     return df
 
 
-MAX_BROADCAST_ROWS = 1_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only behind a row-count check (the count stops after
-    ``max_rows + 1`` rows); larger tables take the ordinary shuffle join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def count_rows(df: DataFrame) -> DataFrame:
     """S2."""
     return df.agg(F.count(F.lit(1)).alias("n"))
@@ -132,8 +113,9 @@ def lexicon(spark: SparkSession) -> DataFrame:
 
 
 class Catalog:
-    """KB tables under a root folder, versioned; ``publish`` makes a
-    fully written version the live one by replacing the temp views."""
+    """KB tables under a root folder, versioned. ``publish`` makes a
+    fully written version the live one by adding one row to the pointer
+    table; the row added last counts."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -151,17 +133,30 @@ class Catalog:
             df.write.mode("overwrite").parquet(f"{self.version_dir(version)}/{name}")
 
     def write(self, version: str, tables: dict[str, DataFrame]) -> None:
+        """Tables of a version, with the columns of KB_SCHEMAS in their order."""
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.version_dir(version)}/{name}")
+            cols = [f.name for f in self.spark.createDataFrame([], KB_SCHEMAS[name]).schema]
+            df.select(*cols).write.mode("overwrite").parquet(f"{self.version_dir(version)}/{name}")
 
     def drop(self, version: str) -> None:
-        """Re-initialise a version to empty tables (ids restart)."""
+        """A version back to empty tables (ids restart at ROOT)."""
         self.create(version)
 
     def read(self, version: str, name: str) -> DataFrame:
         return read_or_empty(self.spark, f"{self.version_dir(version)}/{name}", KB_SCHEMAS[name])
 
-    def publish(self, version: str, prefix: str = "kb_") -> None:
-        """Switch the live views to ``version`` in one step per table."""
-        for name in KB_SCHEMAS:
-            self.read(version, name).createOrReplaceTempView(prefix + name)
+    def publish(self, version: str) -> None:
+        """One atomic append switches all tables at once."""
+        row = self.spark.createDataFrame([(version,)], "version string").select("version", F.current_timestamp().alias("at"))
+        row.coalesce(1).write.mode("append").parquet(f"{self.root}/live")
+
+    def live(self) -> str | None:
+        """The version published last, or None."""
+        row = (read_or_empty(self.spark, f"{self.root}/live", "version string, at timestamp")
+               .agg(F.max_by("version", "at").alias("v")).first())
+        return row["v"]
+
+    def live_table(self, name: str) -> DataFrame:
+        """A table of the live version; empty before the first publish."""
+        version = self.live()
+        return self.spark.createDataFrame([], KB_SCHEMAS[name]) if version is None else self.read(version, name)
