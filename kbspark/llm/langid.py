@@ -33,9 +33,10 @@ SMOOTHING = 0.01      # added to each expected piece count
 LOG_UNKNOWN = math.log(1e-7)  # of a character outside the vocabulary
 LONGEST = 64          # letters of a run that are segmented together
 CACHE = 300_000       # tokens whose likelihood a task remembers
-GROUP = 64            # documents looked up together
+GROUP = 256           # documents looked up together
+SCALE = 1e3           # of a character's likelihood: 1e-4 to 1e3 each, 65 at most
 MARK = "▁"       # begins a word in the vocabulary
-LETTERS = r"\p{L}[\p{L}\p{M}]*"
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def load_pieces(path: str = VOCABULARY) -> list[str]:
@@ -49,8 +50,11 @@ def load_pieces(path: str = VOCABULARY) -> list[str]:
 
 def runs(token: str) -> list[str]:
     """Letter runs of a token, marked as words; long ones in parts."""
+    token = token.lower()
+    if token.isalpha() and len(token) <= LONGEST:
+        return [MARK + token]
     out = []
-    for run in regex.findall(LETTERS, token.lower()):
+    for run in LETTERS.findall(token):
         out += [MARK * (k == 0) + run[k:k + LONGEST] for k in range(0, len(run), LONGEST)]
     return out
 
@@ -59,31 +63,40 @@ class Lattice:
     """All segmentations of words over the vocabulary."""
 
     def __init__(self, pieces: list[str]):
-        self.number = {p: i for i, p in enumerate(pieces)}
-        self.begins = {p[:k] for p in pieces for k in range(1, len(p) + 1)}
         self.longest = max(map(len, pieces), default=1)
+        self.length = np.array([len(p) for p in pieces] + [1, 0])
+        self.trie: dict = {}  # by character; 0: the number of the piece that ends there
+        for i, p in enumerate(pieces):
+            node = self.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[0] = i
 
     def edges(self, words: list[str]) -> np.ndarray:
         """words x start x length of equally long words: piece numbers, -1
         for none, -2 for a single character outside the vocabulary."""
         n = len(words[0])
         depth = min(n, self.longest)
-        cells = []
-        none = [-1] * depth
-        number, begins = self.number.get, self.begins
+        cells, numbers, base, trie = [], [], 0, self.trie
         for w in words:
             for i in range(n):
-                row, k = none.copy(), 0
-                while k < depth and i + k < n:
-                    part = w[i:i + k + 1]
-                    if part not in begins:
+                node, cell = trie, base
+                for c in w[i:i + depth]:
+                    node = node.get(c)
+                    if node is None:
                         break
-                    row[k] = number(part, -1)
-                    k += 1
-                if row[0] == -1:
-                    row[0] = -2
-                cells.append(row)
-        return np.array(cells, np.int32).reshape(len(words), n, depth)
+                    k = node.get(0)
+                    if k is not None:
+                        cells.append(cell)
+                        numbers.append(k)
+                    cell += 1
+                base += depth
+        out = np.full(base, -1, np.int32)
+        out[cells] = numbers
+        out = out.reshape(len(words), n, depth)
+        single = out[:, :, 0]
+        single[single == -1] = -2
+        return out
 
     @staticmethod
     def forward(ids: np.ndarray, logp: np.ndarray) -> np.ndarray:
@@ -101,9 +114,21 @@ class Lattice:
         return alpha
 
     def likelihoods(self, words: list[str], logp: np.ndarray) -> np.ndarray:
+        """Log likelihoods of words. Sums run in plain numbers: SCALE for each
+        character keeps those of a run of LONGEST within range."""
+        p = np.exp(logp) * SCALE ** self.length[:, None].astype(float)
         out = np.zeros((len(words), logp.shape[1]))
         for at in by_length(words):
-            out[at] = self.forward(self.edges([words[i] for i in at]), logp)[:, -1]
+            ids = self.edges([words[i] for i in at])
+            k, n, depth = ids.shape
+            alpha = np.zeros((n + 1, k, logp.shape[1]))
+            alpha[0] = 1
+            for i in range(n):
+                for m in range(1, min(depth, n - i) + 1):
+                    on = np.flatnonzero(ids[:, i, m - 1] != -1)
+                    if len(on):
+                        alpha[i + m, on] += alpha[i, on] * p[ids[on, i, m - 1]]
+            out[at] = np.log(alpha[n]) - n * math.log(SCALE)
         return out
 
     def expected(self, words: list[str], weight: np.ndarray, logp: np.ndarray, total: np.ndarray) -> None:
@@ -212,15 +237,16 @@ class Scorer:
 
     def forget(self) -> None:
         self.row: dict[str, int] = {}
+        self.known: dict[str, np.ndarray] = {}  # words, shared by tokens that differ in case and marks
         self.log = np.zeros((1_024, len(self.langs)))
         self.letters = np.zeros(1_024, bool)
 
     def learn(self, tokens: Iterable[str]) -> None:
         tokens = list(tokens)
         parts = [runs(t) for t in tokens]
-        words = list({w for p in parts for w in p})
-        where = {w: i for i, w in enumerate(words)}
-        log = self.lattice.likelihoods(words, self.table) if words else np.zeros((0, len(self.langs)))
+        words = list({w for p in parts for w in p}.difference(self.known))
+        if words:
+            self.known.update(zip(words, self.lattice.likelihoods(words, self.table)))
         start = len(self.row)
         while start + len(tokens) > len(self.log):
             self.log = np.concatenate([self.log, np.zeros_like(self.log)])
@@ -229,9 +255,9 @@ class Scorer:
             self.row[t] = i
             self.letters[i] = bool(p)
             if len(p) == 1:
-                self.log[i] = log[where[p[0]]]
+                self.log[i] = self.known[p[0]]
             elif p:
-                self.log[i] = log[[where[w] for w in p]].sum(0)
+                self.log[i] = sum(self.known[w] for w in p)
             else:
                 self.log[i] = 0
 
