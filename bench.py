@@ -52,7 +52,7 @@ def main() -> None:
     extra["questions"] = n_q
     extra["questions_per_sec"] = round(n_q / max(times["answer"], 1e-9), 2)
     extra["answer_rows"] = ans.count()
-    extra["candidate_pairs_per_gram"] = round(
+    extra["top_candidates_per_gram"] = round(
         B.retrieval(spark, sf_dir).top.count() / max(B.retrieval(spark, sf_dir).lookups.select("gram").distinct().count(), 1), 3)
 
     timed("pages_to_docs", lambda: Q.c6_docs_from_pages(spark, sf_dir).count())

@@ -167,6 +167,11 @@ def heading_text(sentences: DataFrame, headings: DataFrame, heading_ids: DataFra
     return agg.select("heading_id", "heading", F.array_join(F.transform("ss", lambda x: x["s"]), " ").alias("content"))
 
 
+def ordered_entities(entities: DataFrame) -> DataFrame:
+    """All entities with their place (from 1) in text order."""
+    return dense_ids(entities, ["entity"], "pos").select("pos", "entity_id", "entity")
+
+
 def sentences_by_ids(sentences: DataFrame, ids: DataFrame) -> DataFrame:
     """K13 point lookup: ids(req, pos, sentence_id); missing ids skipped;
     request order kept through ``pos``."""

@@ -25,6 +25,9 @@ HREF_PATTERN = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""
 SCHEME_PATTERN = "^([A-Za-z][A-Za-z0-9+.-]*)://"
 HOST_PATTERN = "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
 
+#: A document's first sentence of at most so many characters is its title.
+TITLE_LENGTH = 100
+
 
 def url_scheme(url: Column) -> Column:
     return F.regexp_extract(url, SCHEME_PATTERN, 1)
@@ -191,12 +194,17 @@ def kb_input_from_docs(docs: DataFrame, product_prefix: str = "/display/") -> Da
 def kb_input_from_documents(documents: DataFrame) -> DataFrame:
     """Driver ``documents`` table -> KB input.
 
-    Each document is a page of product = source, breadcrumb = lang and page
-    heading ``document <doc_id>``; lines are cleaned by C9.
+    Each document is a page of product = source and breadcrumb = lang; its
+    page heading is the first sentence of its first line, if that is as short
+    as a title, else ``document <doc_id>``; lines are cleaned by C9 and all
+    stay content.
     """
+    title = F.try_element_at(T.sentences(F.try_element_at("content", F.lit(1))), F.lit(1))
     return documents.select(
         F.col("doc_id").cast("string").alias("doc_id"),
         F.col("doc_id").cast("long").alias("doc_order"),
-        F.col("source").alias("product"),
-        F.array(F.col("lang"), F.concat(F.lit("document "), F.col("doc_id").cast("string"))).alias("heading"),
-        T.clean_lines(F.col("text")).alias("content"))
+        F.col("source").alias("product"), "lang",
+        T.clean_lines(F.col("text")).alias("content"),
+    ).select("doc_id", "doc_order", "product", F.array(F.col("lang"), F.coalesce(
+        F.when(F.length(title) <= TITLE_LENGTH, title), F.concat(F.lit("document "), F.col("doc_id")))).alias("heading"),
+        "content")

@@ -15,6 +15,7 @@ from collections import defaultdict
 from kbspark.functions import tagging as G
 from kbspark.functions import text as T
 from kbspark.functions.frames import unit_keys
+from kbspark.operators import graph as GR
 from kbspark.operators import pages as P
 from kbspark.operators import retrieval as R
 from kbspark.sources import wordlists as W
@@ -335,10 +336,13 @@ links AS (
 # ----------------------------------------------------------------- KB chain
 
 KB_CTE = DOC_LINES.replace("doc_lines AS (", "doc_lines0 AS (") + f""",
+dtitle AS (SELECT doc_id, ({sentences('line')})[1] AS title FROM doc_lines0 WHERE line_no = 0),
 docinfo AS (
-  SELECT l.doc_id, d.source AS product, d.lang, 'document ' || CAST(l.doc_id AS VARCHAR) AS page_heading, l.line_no AS i,
+  SELECT l.doc_id, d.source AS product, d.lang,
+         CASE WHEN length(t.title) <= {P.TITLE_LENGTH} THEN t.title ELSE 'document ' || CAST(l.doc_id AS VARCHAR) END AS page_heading,
+         l.line_no AS i,
          length(regexp_extract(l.line, '(#+)\\s(.*)', 1)) AS lvl, l.line
-  FROM doc_lines0 l JOIN documents d USING (doc_id)),
+  FROM doc_lines0 l JOIN documents d USING (doc_id) LEFT JOIN dtitle t USING (doc_id)),
 info AS (
   SELECT *, CASE WHEN lvl > 0 THEN {strip_md(r"regexp_extract(line, '(#+)\s(.*)', 2)")} ELSE {strip_md('line')} END AS txt
   FROM docinfo),
@@ -418,6 +422,12 @@ grams AS (SELECT DISTINCT sentence_id, array_to_string(w[i:i + k - 1], ' ') AS e
           FROM ws, unnest(range(1, {maxw} + 1)) AS a(k), unnest(range(1, len(w) - k + 2)) AS b(i))
 SELECT sentence_id, entity FROM grams
 WHERE entity IN (SELECT entity FROM kentities WHERE len(string_split(entity, ' ')) = {maxw})"""
+    q["k12_ordered_entities"] = f"{w} SELECT row_number() OVER (ORDER BY entity) AS pos, entity_id, entity FROM kentities"
+    q["k13_sentence_lookup"] = f"""{w},
+req AS (SELECT heading_id AS req, u.i - 1 AS pos, u.id AS sentence_id FROM kinfo,
+        unnest([last_sentence_id, first_sentence_id, first_sentence_id - 1]) WITH ORDINALITY AS u(id, i))
+SELECT req, pos, sentence_id, array_to_string(list_transform(toks, lambda z: z.token), ' ') AS tokens,
+       array_to_string(list_transform(toks, lambda z: z.pos), ' ') AS tags FROM req JOIN ksentences USING (sentence_id)"""
     return q
 
 
@@ -509,14 +519,143 @@ hits AS (SELECT g.q_id, g.sent_idx, g.heading_id, s.sentence_id FROM groups g
          JOIN (SELECT q_id, sent_idx, heading_id, sentence_id, max(lvl) AS lvl FROM sh GROUP BY ALL) s
          USING (q_id, sent_idx, heading_id) WHERE s.lvl >= g.level)"""
     q["q8_division"] = f"{division} SELECT q_id, sent_idx, heading_id, level FROM groups"
-    q["q9_frame_filter"] = f"""{division}
-SELECT g.q_id, g.sent_idx, g.heading_id FROM groups g JOIN qan a USING (q_id, sent_idx)
+    kept = f"""{division},
+kept AS (SELECT g.q_id, g.sent_idx, g.heading_id FROM groups g JOIN qan a USING (q_id, sent_idx)
 WHERE len(a.q_frames) = 0 OR EXISTS (
   SELECT 1 FROM hits h JOIN kframes f USING (sentence_id)
-  WHERE h.q_id = g.q_id AND h.sent_idx = g.sent_idx AND h.heading_id = g.heading_id AND list_contains(a.q_frames, f.frame))"""
+  WHERE h.q_id = g.q_id AND h.sent_idx = g.sent_idx AND h.heading_id = g.heading_id AND list_contains(a.q_frames, f.frame)))"""
+    q["q9_frame_filter"] = f"{kept} SELECT * FROM kept"
+    q.update(answer_queries(kept))
     return q
 
 
+# ----------------------------------------------------------------- scores and answers
+
+def lcs(a: str, b: str) -> str:
+    """Longest common subsequence, row by row over the characters of ``a``."""
+    inner = (f"list_reduce(range(1, length({b}) + 1), lambda r, j: list_append(r, CASE WHEN ch = substr({b}, j, 1) "
+             f"THEN row[j] + 1 ELSE greatest(row[j + 1], r[-1]) END), [0::BIGINT])")
+    return (f"(list_reduce(string_split({a}, ''), lambda row, ch: {inner}, "
+            f"list_transform(range(0, length({b}) + 1), lambda j: 0::BIGINT)))[-1]")
+
+
+def percent(part: str, total: str) -> str:
+    return f"round_even(100.0::DOUBLE * ((2 * ({part}))::DOUBLE / ({total})::DOUBLE), 0)"
+
+
+def fuzzy_tokens(x: str) -> str:
+    return (rf"list_sort(list_filter(string_split(lower(regexp_replace(regexp_replace({x}, '[^\x00-\x7F]', '', 'g'), "
+            rf"'[^A-Za-z0-9_]', ' ', 'g')), ' '), lambda w: w <> ''))")
+
+
+def important(x: str) -> str:
+    """T13."""
+    return (rf"array_to_string(list_sort(list_distinct(list_filter(string_split_regex({x}, '\s+'), "
+            rf"lambda w: w <> '' AND NOT list_contains({STOP}, w)))), ' ')")
+
+
+def rebuilt(toks: str) -> str:
+    """T11 over a list of {token, pos}."""
+    s = strip(f"array_to_string(list_transform({toks}, lambda z: z.token), ' ')")
+    r = "sv"
+    for tag, rep in (("LCB", " {"), ("RCB", "} "), ("LSB", " ["), ("RSB", "] "), ("LRB", " ("), ("RRB", ") ")):
+        r = strip(rf"regexp_replace({r}, '\s*-{tag}-\s*', '{rep}', 'g')")
+    body = f"CASE WHEN regexp_matches(sv, {lit(T.BRACKET_TAG_PATTERN)}) THEN {r} ELSE sv END"
+    return let(let(s, "sv", body), "sw", "CASE WHEN regexp_matches(sw, '[!;:.]$') THEN sw ELSE sw || '.' END")
+
+
+def answer_queries(kept: str) -> dict[str, str]:
+    """Q10-Q16, S10 and what reads answers; ``kept`` ends with the CTE of the
+    headings that pass the frame filter."""
+    scores = f"""{kept},
+hpart AS (SELECT i.heading_id, u.i - 1 AS part_idx, u.part FROM kinfo i JOIN (SELECT DISTINCT heading_id FROM kept) USING (heading_id),
+          unnest(list_reverse(string_split(i.heading, ' > '))) WITH ORDINALITY AS u(part, i)),
+hsent AS (SELECT heading_id, part_idx, {tag_sentence('s.s')} AS toks FROM hpart, unnest({sentences('part')}) AS s(s)),
+hana AS (SELECT heading_id, part_idx, list_distinct(flatten(list({entities(encode('toks'))}))) AS h_entities,
+         list_distinct(flatten(list({frames('toks')}))) AS h_frames FROM hsent GROUP BY ALL),
+hq AS (SELECT k.q_id, k.sent_idx, k.heading_id, h.part_idx, h.h_entities, h.h_frames, a.q_entities, a.q_frames
+       FROM kept k JOIN qan a USING (q_id, sent_idx) JOIN hana h USING (heading_id) WHERE len(h.h_entities) > 0),
+hq1 AS (SELECT q_id, sent_idx, heading_id, part_idx, h_entities, unnest(q_entities) AS q_entity FROM hq),
+hq2 AS (SELECT q_id, sent_idx, heading_id, part_idx, q_entity, unnest(h_entities) AS h_entity FROM hq1),
+ftok AS (SELECT e, list_distinct({fuzzy_tokens('e')}) AS t
+         FROM (SELECT q_entity AS e FROM hq2 UNION SELECT h_entity FROM hq2)),
+setpair AS (
+  SELECT p.h_entity, p.q_entity, array_to_string(list_sort(list_filter(x.t, lambda w: list_contains(y.t, w))), ' ') AS common,
+         array_to_string(list_sort(list_filter(x.t, lambda w: NOT list_contains(y.t, w))), ' ') AS ra,
+         array_to_string(list_sort(list_filter(y.t, lambda w: NOT list_contains(x.t, w))), ' ') AS rb
+  FROM (SELECT DISTINCT h_entity, q_entity FROM hq2) p JOIN ftok x ON x.e = p.h_entity JOIN ftok y ON y.e = p.q_entity
+  WHERE len(x.t) > 0 AND len(y.t) > 0),
+setside AS (SELECT *, trim(common || ' ' || ra) AS c1, trim(common || ' ' || rb) AS c2 FROM setpair),
+setratio AS (
+  -- the common part is a prefix of both sides; the Levenshtein distance bounds the ratio of the sides
+  SELECT h_entity, q_entity, greatest(
+    CASE WHEN common <> '' THEN {percent('length(common)', 'length(common) + length(c1)')} ELSE 0 END,
+    CASE WHEN common <> '' THEN {percent('length(common)', 'length(common) + length(c2)')} ELSE 0 END,
+    CASE WHEN levenshtein(c1, c2) <= 0.21 * (length(c1) + length(c2))
+         THEN {percent(lcs('c1', 'c2'), 'length(c1) + length(c2)')} ELSE 0 END) AS r FROM setside),
+hbest AS (SELECT q_id, sent_idx, heading_id, part_idx, q_entity, max(r) AS r FROM hq2 JOIN setratio USING (h_entity, q_entity)
+          WHERE r >= {R.FUZZ_ACCEPT} GROUP BY ALL),
+hent AS (SELECT q_id, sent_idx, heading_id, part_idx, sum(r)::DOUBLE / count(*)::DOUBLE AS er FROM hbest GROUP BY ALL),
+hweight AS (
+  SELECT q_id, sent_idx, heading_id, sum(w) AS w FROM (
+    SELECT q_id, sent_idx, heading_id, er * (CASE WHEN len(q_frames) = 0 THEN 1.0::DOUBLE ELSE
+      len(list_filter(q_frames, lambda f: list_contains(h_frames, f)))::DOUBLE / len(q_frames)::DOUBLE END)
+      / pow((part_idx + 1)::DOUBLE, 2) AS w
+    FROM hq JOIN hent USING (q_id, sent_idx, heading_id, part_idx)) WHERE w > 0 GROUP BY ALL),
+cohpair AS (SELECT DISTINCT w.q_id, w.heading_id, array_to_string({fuzzy_tokens(important('i.heading'))}, ' ') AS hs,
+            array_to_string({fuzzy_tokens(important('a.question'))}, ' ') AS qs
+            FROM hweight w JOIN kinfo i USING (heading_id) JOIN qan a USING (q_id, sent_idx)),
+coh AS (SELECT q_id, heading_id, CASE WHEN hs = '' OR qs = '' THEN 0 ELSE
+        {percent(lcs('qs', 'hs'), 'length(qs) + length(hs)')} END / 100.0::DOUBLE AS coherence FROM cohpair),
+scored AS (SELECT k.q_id, k.sent_idx, k.heading_id, coalesce(w.w * c.coherence, 0.0::DOUBLE) AS score
+           FROM kept k LEFT JOIN hweight w USING (q_id, sent_idx, heading_id) LEFT JOIN coh c USING (q_id, heading_id))"""
+    n = R.SENTENCES_PER_ANSWER
+    ans = f"""{scores},
+ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id, sent_idx ORDER BY score DESC, heading_id) AS rank
+                          FROM scored) WHERE rank <= {R.ANSWERS_PER_SENTENCE}),
+hitlist AS (SELECT q_id, sent_idx, heading_id, list_sort(list(sentence_id)) AS h FROM hits GROUP BY ALL),
+spread AS (
+  SELECT r.*, i.heading, (CASE WHEN h[1] - i.first_sentence_id BETWEEN 1 AND {n - 1} THEN range(i.first_sentence_id, h[1]) ELSE [] END
+    || flatten(list_transform(h, lambda e, k: range(e, 1 + CASE WHEN k < len(h) AND h[k + 1] - e <= {n} THEN h[k + 1] - 1
+       ELSE greatest(e, least(e + {n - 1}, i.last_sentence_id)) END))))[1:{n}] AS ids
+  FROM ranked r JOIN hitlist USING (q_id, sent_idx, heading_id) JOIN kinfo i USING (heading_id)),
+texts AS (SELECT p.q_id, p.sent_idx, p.heading_id, string_agg({rebuilt('s.toks')}, ' ' ORDER BY u.k) AS answer
+          FROM spread p, unnest(p.ids) WITH ORDINALITY AS u(sentence_id, k) JOIN ksentences s ON s.sentence_id = u.sentence_id GROUP BY ALL),
+answers AS (
+  SELECT q_id, sent_idx::INT AS sent_idx, rank::INT AS rank, heading, {lit(R.URL_PREFIX)} || heading_id AS url,
+         round_even(score, 2) AS score, coalesce(answer, '') AS answer
+  FROM spread LEFT JOIN texts USING (q_id, sent_idx, heading_id)
+  UNION ALL
+  SELECT q_id, sent_idx::INT, 1, NULL, '', 0.0, {lit(R.DEFAULT_FEEDBACK)} FROM qan a
+  WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.q_id = a.q_id AND k.sent_idx = a.sent_idx))"""
+    obj = ("'{' || CASE WHEN heading IS NULL THEN '' ELSE '\"heading\":' || to_json(heading)::VARCHAR || ',' END || '\"url\":' || "
+           "to_json(url)::VARCHAR || ',\"score\":' || CAST(score AS VARCHAR) || ',\"answer\":' || to_json(answer)::VARCHAR || '}'")
+    edges = f"""edges AS (
+  SELECT e.entity AS start, {lit(GR.MENTIONED_UNDER)} AS rel, h.heading AS "end" FROM knorms n JOIN ksentences s USING (sentence_id)
+  JOIN kentities e USING (entity_id) JOIN kheadings h USING (heading_id)
+  UNION SELECT c.heading, {lit(GR.PART_OF)}, p.heading FROM kheadings c JOIN kheadings p ON p.heading_id = c.parent_id)"""
+    return {
+        "q10_scores": f"{scores} SELECT q_id, sent_idx, heading_id, round(score, 9) AS score FROM scored",
+        "q_answers": f"{ans} SELECT * FROM answers",
+        "s10_answers_json": f"""{ans}
+SELECT q.q_id, '{{' || CASE WHEN q.question IS NULL THEN '' ELSE '"question":' || to_json(q.question)::VARCHAR || ',' END
+       || '"answers":[' || coalesce(j.objs, '') || ']}}' AS json
+FROM (SELECT concat_ws('-', conv_id, turn) AS q_id, text AS question FROM conversations WHERE role = 'user') q
+LEFT JOIN (SELECT q_id, string_agg({obj}, ',' ORDER BY sent_idx, rank) AS objs FROM answers GROUP BY q_id) j USING (q_id)""",
+        "k10_heading_text": f"""{ans}
+SELECT s.heading_id, h.heading, string_agg({rebuilt('s.toks')}, ' ' ORDER BY s.sentence_id) AS content
+FROM ksentences s JOIN kheadings h USING (heading_id) WHERE s.heading_id IN (SELECT heading_id FROM ranked) GROUP BY ALL""",
+        "g1_edges_touching_question_entities": f"""WITH {KB_CTE}, {Q_CTE}, {edges},
+terms AS (SELECT DISTINCT unnest(q_entities) AS term FROM qan)
+SELECT * FROM edges WHERE start IN (SELECT term FROM terms) OR "end" IN (SELECT term FROM terms)""",
+        "g2_edges_between_entity_and_heading": f"""{ans}, {edges},
+qterm AS (SELECT q_id, sent_idx, unnest(q_entities) AS t1 FROM qan),
+pair AS (SELECT DISTINCT q.t1, a.heading AS t2 FROM qterm q JOIN answers a USING (q_id, sent_idx) WHERE a.heading IS NOT NULL)
+SELECT DISTINCT t1, t2, start, rel, "end" FROM pair JOIN edges
+  ON (start = t1 AND "end" = t2) OR (start = t2 AND "end" = t1)""",
+    }
+
+
 def all_oracles() -> dict[str, str]:
     out = simple()
     out.update(kb_queries())

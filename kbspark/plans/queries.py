@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from kbspark.functions import frames as FR
 from kbspark.functions import tagging as G
 from kbspark.functions import text as T
+from kbspark.functions.fuzzy import sequence_ratio
 from kbspark.operators import graph as GR
 from kbspark.operators import hierarchy as HI
 from kbspark.operators import markdown as M
@@ -193,6 +194,32 @@ def k9_heading_content(spark: SparkSession, sf: str) -> DataFrame:
     return heading_content(kb.sentences, kb.headings)
 
 
+def k10_heading_text(spark: SparkSession, sf: str) -> DataFrame:
+    """K10 for every heading that an answer links to."""
+    from kbspark.operators.kb import heading_text
+    kb = B.kb_from_documents(spark, sf)
+    linked = B.answers(spark, sf).where(F.col("heading").isNotNull()).select(
+        F.substring_index("url", "/", -1).try_cast("long").alias("heading_id")).distinct()
+    return heading_text(kb.sentences, kb.headings, linked)
+
+
+def k12_ordered_entities(spark: SparkSession, sf: str) -> DataFrame:
+    from kbspark.operators.kb import ordered_entities
+    return ordered_entities(B.kb_from_documents(spark, sf).entities)
+
+
+def k13_sentence_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """For each heading the list (last, first, the one before the first)
+    of sentence ids, in that order; the first heading's third id is missing."""
+    from kbspark.operators.kb import sentences_by_ids
+    kb = B.kb_from_documents(spark, sf)
+    ids = kb.heading_info.select(F.col("heading_id").alias("req"), F.posexplode(F.array(
+        "last_sentence_id", "first_sentence_id", F.col("first_sentence_id") - 1)).alias("pos", "sentence_id"))
+    return sentences_by_ids(kb.sentences, ids).select(
+        "req", "pos", "sentence_id", F.array_join(F.col("toks.token"), " ").alias("tokens"),
+        F.array_join(F.col("toks.pos"), " ").alias("tags"))
+
+
 def k11_sentence_count(spark: SparkSession, sf: str) -> DataFrame:
     return S.count_rows(B.kb_from_documents(spark, sf).sentences)
 
@@ -268,6 +295,19 @@ def q9_frame_filter(spark: SparkSession, sf: str) -> DataFrame:
     return R.frame_filter(r.groups, r.hits, r.analysed, kb.frame_index).select("q_id", "sent_idx", "heading_id")
 
 
+def q10_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Q10 for every heading that passes the frame filter."""
+    _, scored = R.score_kept(B.retrieval(spark, sf), B.kb_from_documents(spark, sf))
+    return scored.select("q_id", "sent_idx", "heading_id", F.round("score", 9).alias("score"))
+
+
+def t14_question_heading_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    """T14 of every question with the headings of its answers."""
+    pairs = (B.answers(spark, sf).where(F.col("heading").isNotNull()).select("q_id", "heading").distinct()
+             .join(B.user_questions(spark, sf), "q_id"))
+    return pairs.select("q_id", "heading", F.round(sequence_ratio("question", "heading"), 9).alias("ratio"))
+
+
 def q_answers(spark: SparkSession, sf: str) -> DataFrame:
     return B.answers(spark, sf)
 
@@ -337,6 +377,9 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "k7_frame_index": k7_frame_index,
     "k8_hierarchy": k8_hierarchy,
     "k9_heading_content": k9_heading_content,
+    "k10_heading_text": k10_heading_text,
+    "k12_ordered_entities": k12_ordered_entities,
+    "k13_sentence_lookup": k13_sentence_lookup,
     "k11_sentence_count": k11_sentence_count,
     "k14_progress": k14_progress,
     "k15_heading_info": k15_heading_info,
@@ -350,6 +393,8 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q4_entity_candidates": q4_entity_candidates,
     "q8_division": q8_division,
     "q9_frame_filter": q9_frame_filter,
+    "q10_scores": q10_scores,
+    "t14_question_heading_ratio": t14_question_heading_ratio,
     "q_answers": q_answers,
     "s10_answers_json": s10_answers_json,
     "st1_dedupe_page_stream": st1_dedupe_page_stream,

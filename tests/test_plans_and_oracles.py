@@ -42,6 +42,20 @@ def test_query_matches_oracle(spark, con, sf_dir, name):
     assert digest(df.columns, rows)[0] == digest(ocols, orows)[0]
 
 
+def test_scores_tell_headings_apart(spark, sf_dir):
+    """The answer oracle proves little where all scores are equal."""
+    scores = {r["score"] for r in QUERIES["q10_scores"](spark, sf_dir).select("score").distinct().collect()}
+    assert len(scores) > 10 and 0.0 in scores and max(scores) > 1
+
+
+def test_documents_without_a_title_keep_their_number(spark):
+    from kbspark.operators import pages as P
+    rows = [(1, "A short title. More text", "en", "a"), (2, "x" * 200, "en", "a"), (3, "", "en", "a"), (4, None, "en", "a")]
+    got = P.kb_input_from_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert {r["doc_id"]: r["heading"][-1] for r in got.collect()} == {
+        "1": "A short title.", "2": "document 2", "3": "document 3", "4": "document 4"}
+
+
 def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
