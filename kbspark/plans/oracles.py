@@ -168,6 +168,8 @@ def normalize(x: str, lemmas: str | None = NOUN_LEMMAS, ignore_num: bool = False
 CA = r"(?:\S+__JJR \S+__VB[A-Z]* |(?:\S+__RB )?\S+__JJ )"
 EN = rf"(?:{CA}(?:(?:\S+__CC )?{CA})*)?(?:\S+__(?:NN[A-Z]*|FW) )+"
 
+NP = rf"(?:\S+__DT )?(?:\S+__CC )?(?:\S+__CC \S+__CD )*{EN}(?:(?:\S+__CC )?{EN})*"
+
 
 def valid_entities(leaves: str) -> str:
     """T9."""
@@ -259,6 +261,16 @@ SELECT page_id, link_id, link_id NOT IN (SELECT link_id FROM known) AS follow FR
                       f"array_to_string(list_transform(toks, lambda z: {wordnet('z.pos')}), ',') AS wn FROM tg")
     q["e3_entities"] = (f"WITH {DOC_SENTS}, tg AS (SELECT *, {encode(tag_sentence('sentence'))} AS enc FROM doc_sents) "
                         f"SELECT doc_id, line_no, sent_idx, unnest({entities('enc')}) AS entity FROM tg")
+    q["e2_np_vp_segments"] = f"""
+WITH {DOC_SENTS},
+tg AS (SELECT doc_id, line_no, sent_idx, {encode(tag_sentence('sentence'))} AS enc FROM doc_sents),
+piece AS (
+  SELECT doc_id, line_no, sent_idx, u.k, len(string_split(u.p, ' ')) - 1 AS len
+  FROM tg, unnest(string_split(regexp_replace(enc || ' ', {lit(NP)}, chr(1) || '\\0' || chr(1), 'g'), chr(1))) WITH ORDINALITY AS u(p, k)
+  WHERE enc <> '' AND u.p <> '')
+SELECT doc_id, line_no, sent_idx, row_number() OVER w - 1 AS i, CASE WHEN k % 2 = 0 THEN 'NP' ELSE 'VP' END AS label,
+       1 + sum(len) OVER w - len AS start, len
+FROM piece WINDOW w AS (PARTITION BY doc_id, line_no, sent_idx ORDER BY k)"""
     q["t8_normalize_part_names"] = f"SELECT p_partkey, {normalize('p_name')} AS normalized FROM part"
     words = r"list_filter(string_split_regex(regexp_replace(p_name, '^\s+|\s+$', '', 'g'), '\s+'), lambda w: w <> '')"
     q["t10_part_name_ngrams"] = f"""
