@@ -31,10 +31,10 @@ TRAIN_DOCS = 400      # bound of the labelled sample, per language
 ROUNDS = 4            # of expectation-maximisation
 SMOOTHING = 0.01      # added to each expected piece count
 LOG_UNKNOWN = math.log(1e-7)  # of a character outside the vocabulary
-LONGEST = 64          # letters of a run that are segmented together
+LONGEST = 32          # letters of a run that are segmented together
 CACHE = 300_000       # tokens whose likelihood a task remembers
 GROUP = 256           # documents looked up together
-SCALE = 1e3           # of a character's likelihood: 1e-4 to 1e3 each, 65 at most
+SCALE = 1e3           # of a character's likelihood: 1e-9 to 1e3 each, 33 at most
 MARK = "▁"       # begins a word in the vocabulary
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 

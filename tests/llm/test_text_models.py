@@ -80,6 +80,17 @@ def test_language_held_out_accuracy(spark, sf_dir):
     assert sum(r.lang_pred == r.lang for r in held) >= 0.97 * len(held)
 
 
+def test_long_runs_of_unseen_letters_have_a_score():
+    """Likelihoods stay within the range of numbers: a large sample leaves
+    1e-11 or so to a letter that it lacks."""
+    counts = np.full((len(PIECES), 2), 1e8)
+    counts[PIECES.index("c"), 0] = counts[PIECES.index("b"), 1] = 0
+    score = langid.Scorer(langid.Lattice(PIECES), langid.log_table(counts), ["x", "y"])
+    texts = ["c" * 500, "b" * 64, "漢" * 300, "cb" * 100]
+    assert [lang for lang, _ in score(texts)] == ["y", "x", "x", "x"]
+    assert all(0 <= p <= 1 for _, p in score(texts))
+
+
 def test_language_odd_rows(spark):
     docs = documents(spark, ODD).withColumn("score", F.lit("mine"))
     langs, table = langid.train(spark, docs, PIECES, rounds=1)
