@@ -35,6 +35,7 @@ LONGEST = 32          # letters of a run that are segmented together
 CACHE = 300_000       # tokens whose likelihood a task remembers
 GROUP = 256           # documents looked up together
 SCALE = 1e3           # of a character's likelihood: 1e-9 to 1e3 each, 33 at most
+CHAR_BITS = 21       # of a code point
 MARK = "▁"       # begins a word in the vocabulary
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
@@ -65,34 +66,37 @@ class Lattice:
     def __init__(self, pieces: list[str]):
         self.longest = max(map(len, pieces), default=1)
         self.length = np.array([len(p) for p in pieces] + [1, 0])
-        self.trie: dict = {}  # by character; 0: the number of the piece that ends there
+        step: dict[int, int] = {}  # node and character to the next node of the trie
+        ends = [-1]                # of each node: the piece that ends there
         for i, p in enumerate(pieces):
-            node = self.trie
+            node = 0
             for c in p:
-                node = node.setdefault(c, {})
-            node[0] = i
+                node = step.setdefault(node << CHAR_BITS | ord(c), len(ends))
+                if node == len(ends):
+                    ends.append(-1)
+            ends[node] = i
+        keys = sorted(step)
+        self.keys = np.array(keys + [np.iinfo(np.int64).max])  # the last one is met by no search
+        self.nodes = np.array([step[k] for k in keys] + [0])
+        self.ends = np.array(ends, np.int32)
 
     def edges(self, words: list[str]) -> np.ndarray:
         """words x start x length of equally long words: piece numbers, -1
         for none, -2 for a single character outside the vocabulary."""
         n = len(words[0])
         depth = min(n, self.longest)
-        cells, numbers, base, trie = [], [], 0, self.trie
-        for w in words:
-            for i in range(n):
-                node, cell = trie, base
-                for c in w[i:i + depth]:
-                    node = node.get(c)
-                    if node is None:
-                        break
-                    k = node.get(0)
-                    if k is not None:
-                        cells.append(cell)
-                        numbers.append(k)
-                    cell += 1
-                base += depth
-        out = np.full(base, -1, np.int32)
-        out[cells] = numbers
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        out = np.full((len(words) * n, depth), -1, np.int32)
+        cell = np.arange(len(chars))  # where pieces may begin, all walked at once
+        room, node = n - cell % n, np.zeros(len(chars), np.int64)
+        for m in range(depth):
+            on = np.flatnonzero(room > m)
+            key = node[on] << CHAR_BITS | chars[cell[on] + m]
+            at = np.searchsorted(self.keys, key)
+            hit = self.keys[at] == key
+            on, node = on[hit], self.nodes[at[hit]]
+            cell, room = cell[on], room[on]
+            out[cell, m] = self.ends[node]
         out = out.reshape(len(words), n, depth)
         single = out[:, :, 0]
         single[single == -1] = -2
