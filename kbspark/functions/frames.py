@@ -3,8 +3,9 @@
 Lexical-unit lookup (F4) uses precomputed unit keys: for a unit name
 ``w1 w2 ... wk.cls`` every contiguous run of its words is a key with class
 = first letter of ``cls`` (the same hits as the original unanchored regex
-search). The keys of the shipped table are a fixed small map literal;
-``unit_key_table`` builds them as a DataFrame for large user tables.
+search). The keys of the shipped table are a fixed small map literal; units
+and lemmas of a user, tables of any size, go through ``frames_with_tables``,
+which joins the distinct words of the input to them once.
 """
 
 from __future__ import annotations
@@ -73,7 +74,11 @@ def frame_tokens(toks: Column) -> Column:
 def frame_key(word: Column, wn: Column, lemma_map: Column | None = None) -> Column:
     """``word__class`` lookup key of a token with a WordNet class."""
     lm = lemma_map if lemma_map is not None else default_lemma_map()
-    lemma = F.coalesce(F.try_element_at(lm, F.concat(word, F.lit("__"), wn)), word)
+    return lemma_key(word, wn, F.coalesce(F.try_element_at(lm, F.concat(word, F.lit("__"), wn)), word))
+
+
+def lemma_key(word: Column, wn: Column, lemma: Column) -> Column:
+    """F3 once the lemma is known; a stop word is no lemma."""
     use = F.when(F.array_contains(T.stopword_array(), lemma), word).otherwise(lemma)
     norm = F.replace(T.normalize_phrase(use, lemmatize=False, ignore_num=True), F.lit("."), F.lit(""))
     return F.concat(norm, F.lit("__"), wn)
@@ -96,8 +101,41 @@ def sentence_frames(toks: Column, frame_map: Column | None = None, lemma_map: Co
     return F.array_sort(F.array_distinct(F.concat(own, looked)))
 
 
-def sentence_frame_keys(toks: Column, lemma_map: Column | None = None) -> Column:
-    """Keys F4 would look up (for the join form with a large unit table)."""
-    cands = frame_tokens(toks)
-    return F.array_distinct(F.transform(F.filter(cands, lambda c: c["wn"] != ""),
-                                        lambda c: frame_key(c["word"], c["wn"], lemma_map)))
+def frame_memo(keys: DataFrame, units: DataFrame, memo: DataFrame | None = None) -> DataFrame:
+    """(key, frames) for the distinct keys of ``keys`` and all of ``memo``.
+    Only keys that the memo lacks are looked up; a key without a frame is
+    remembered with an empty list. The result is meant to be saved and to be
+    the next run's memo."""
+    new = keys.select("key").where("key IS NOT NULL").distinct()
+    if memo is not None:
+        new = new.join(memo.select("key"), "key", "left_anti")
+    found = new.join(unit_key_table(units), "key", "left").groupBy("key").agg(
+        F.array_sort(F.collect_set("frame")).alias("frames"))  # the frames of one key: as many as units name it
+    return found if memo is None else memo.select("key", "frames").unionByName(found)
+
+
+def word_keys(df: DataFrame, toks_col: str, lemmas: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """From rows (row_id, tokens): the distinct eligible words of each row
+    (row_id, word, wn), and the F4 key of every distinct word that has a
+    WordNet class (word, wn, key), by a table of lemmas (form, pos, lemma) of
+    any size or the shipped one. A form listed twice takes its smallest lemma."""
+    words = (df.select("row_id", F.explode(F.array_distinct(frame_tokens(F.col(toks_col)))).alias("c"))
+             .select("row_id", "c.word", "c.wn"))
+    forms = words.where("wn <> ''").select("word", "wn").distinct()
+    if lemmas is None:
+        return words, forms.withColumn("key", frame_key(F.col("word"), F.col("wn")))
+    lem = lemmas.groupBy(F.lower("form").alias("word"), F.col("pos").alias("wn")).agg(F.min("lemma").alias("lemma"))
+    key = lemma_key(F.col("word"), F.col("wn"), F.coalesce("lemma", "word"))
+    return words, forms.join(lem, ["word", "wn"], "left").withColumn("key", key).drop("lemma")
+
+
+def frames_with_tables(df: DataFrame, toks_col: str, units: DataFrame, lemmas: DataFrame | None = None,
+                       memo: DataFrame | None = None) -> DataFrame:
+    """F6 by joins, for tables of any size: distinct (row_id, frame) of rows
+    with a unique, never null ``row_id``. Words join their frames in one
+    equi-join, whose hot words are split by the adaptive skew join."""
+    words, forms = word_keys(df, toks_col, lemmas)
+    of = (forms.join(frame_memo(forms, units, memo), "key")
+          .select("word", "wn", F.explode("frames").alias("frame")))
+    own = words.where("wn = ''").select("row_id", classless_frame(F.col("word")).alias("frame")).where("frame IS NOT NULL")
+    return words.join(of, ["word", "wn"]).select("row_id", "frame").unionByName(own).distinct()

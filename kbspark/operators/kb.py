@@ -117,13 +117,6 @@ def build_frame_index(sentences: DataFrame, frame_map=None) -> DataFrame:
             .distinct())
 
 
-def frames_as_arrays(frame_index: DataFrame, frames: DataFrame | None = None) -> DataFrame:
-    """K7 array form ``frames(frame, sentence_ids)`` for a bounded set of
-    frames (pass ``frames``); display use only."""
-    src = frame_index if frames is None else frame_index.join(frames.select("frame"), "frame", "left_semi")
-    return src.groupBy("frame").agg(F.sort_array(F.collect_set("sentence_id")).alias("sentence_ids"))
-
-
 def heading_info(sentences: DataFrame, headings: DataFrame) -> DataFrame:
     """K15 for all headings with sentences: text, min and max sentence id."""
     agg = sentences.groupBy("heading_id").agg(F.min("sentence_id").alias("first_sentence_id"),

@@ -191,18 +191,27 @@ def entities(enc: str) -> str:
     return f"list_sort(list_distinct(list_filter(flatten({per}), lambda e: e <> '')))"
 
 
+def frame_candidates(toks: str) -> str:
+    """F1 over a list of {token, pos}."""
+    return (f"list_filter(list_transform({toks}, lambda z: {{'word': lower(z.token), 'wn': {wordnet('z.pos')}}}), "
+            f"lambda c: length(c.word) >= 2 AND NOT list_contains({STOP}, c.word))")
+
+
+def frame_key() -> str:
+    """F3 of a candidate c."""
+    lemma = f"coalesce({ALL_LEMMAS}[c.word || '__' || c.wn], c.word)"
+    use = let(lemma, "lm", f"CASE WHEN list_contains({STOP}, lm) THEN c.word ELSE lm END")
+    return f"replace({normalize(use, None, True)}, '.', '') || '__' || c.wn"
+
+
 def frames(toks: str) -> str:
     """F1-F6 over a list of {token, pos}."""
-    cands = (f"list_filter(list_transform({toks}, lambda z: {{'word': lower(z.token), 'wn': {wordnet('z.pos')}}}), "
-             f"lambda c: length(c.word) >= 2 AND NOT list_contains({STOP}, c.word))")
+    cands = frame_candidates(toks)
     own = (f"list_filter(list_transform(list_filter(cs, lambda c: c.wn = ''), lambda c: "
            f"{let(normalize('c.word', None, True), 'nw', 'CASE WHEN length(nw) > 1 THEN nw END')}), "
            f"lambda x: x IS NOT NULL)")
-    lemma = f"coalesce({ALL_LEMMAS}[c.word || '__' || c.wn], c.word)"
-    use = let(lemma, "lm", f"CASE WHEN list_contains({STOP}, lm) THEN c.word ELSE lm END")
-    key = f"replace({normalize(use, None, True)}, '.', '') || '__' || c.wn"
     looked = (f"flatten(list_transform(list_filter(cs, lambda c: c.wn <> ''), "
-              f"lambda c: coalesce({FRAME_MAP}[{key}], []::VARCHAR[])))")
+              f"lambda c: coalesce({FRAME_MAP}[{frame_key()}], []::VARCHAR[])))")
     return let(cands, "cs", f"list_sort(list_distinct({own} || {looked}))")
 
 
@@ -407,6 +416,11 @@ def kb_queries() -> dict[str, str]:
     q["k4_entities"] = f"{w} SELECT entity_id, entity FROM kentities"
     q["k5_normalizations"] = f"{w} SELECT sentence_id, entity_id FROM knorms"
     q["k7_frame_index"] = f"{w} SELECT frame, sentence_id FROM kframes"
+    q["f4_frames_by_table"] = q["k7_frame_index"]
+    q["f5_frame_memo"] = f"""{w},
+words AS (SELECT DISTINCT u.c AS c FROM ksentences s, unnest({frame_candidates('s.toks')}) AS u(c)),
+fkeys AS (SELECT DISTINCT {frame_key()} AS key FROM words WHERE c.wn <> '')
+SELECT key, array_to_string(list_sort(coalesce({FRAME_MAP}[key], []::VARCHAR[])), '|') AS frames FROM fkeys"""
     q["k9_heading_content"] = (f"{w} SELECT s.heading_id, h.heading, s.sentence_id, s.sentence "
                                f"FROM ksentences s JOIN kheadings h USING (heading_id)")
     q["k11_sentence_count"] = f"{w} SELECT count(*) AS n FROM ksentences"

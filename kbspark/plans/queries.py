@@ -188,6 +188,22 @@ def k7_frame_index(spark: SparkSession, sf: str) -> DataFrame:
     return B.kb_from_documents(spark, sf).frame_index.select("frame", "sentence_id")
 
 
+def f4_frames_by_table(spark: SparkSession, sf: str) -> DataFrame:
+    """F3-F6 with units and lemmas as tables: the frame index, by joins."""
+    sents = B.kb_from_documents(spark, sf).sentences.select(
+        F.col("sentence_id").alias("row_id"), T.decode_tagged(F.col("sentence")).alias("toks"))
+    return (FR.frames_with_tables(sents, "toks", S.lexical_units(spark), S.lemmas(spark))
+            .select("frame", F.col("row_id").alias("sentence_id")))
+
+
+def f5_frame_memo(spark: SparkSession, sf: str) -> DataFrame:
+    """the keys of all sentences with their frames, for the next run."""
+    sents = B.kb_from_documents(spark, sf).sentences.select(
+        F.col("sentence_id").alias("row_id"), T.decode_tagged(F.col("sentence")).alias("toks"))
+    memo = FR.frame_memo(FR.word_keys(sents, "toks", S.lemmas(spark))[1], S.lexical_units(spark))
+    return memo.select("key", F.array_join("frames", "|").alias("frames"))
+
+
 def k9_heading_content(spark: SparkSession, sf: str) -> DataFrame:
     from kbspark.operators.kb import heading_content
     kb = B.kb_from_documents(spark, sf)
@@ -375,6 +391,8 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "k5_normalizations": k5_normalizations,
     "k6_sentences": k6_sentences,
     "k7_frame_index": k7_frame_index,
+    "f4_frames_by_table": f4_frames_by_table,
+    "f5_frame_memo": f5_frame_memo,
     "k8_hierarchy": k8_hierarchy,
     "k9_heading_content": k9_heading_content,
     "k10_heading_text": k10_heading_text,

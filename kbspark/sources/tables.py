@@ -104,12 +104,15 @@ def lexical_units(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(W.LEXICAL_UNITS, "unit string, frame string")
 
 
+def lemmas(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(f, p, l) for (f, p), l in W.LEMMAS.items()], "form string, pos string, lemma string")
+
+
 def lexicon(spark: SparkSession) -> DataFrame:
     from kbspark.functions.text import wordnet_class
     rows = [(f, t) for f, t in W.LEXICON_TAGS.items()]
     df = spark.createDataFrame(rows, "form string, tag string").withColumn("pos", wordnet_class(F.col("tag")))
-    lem = spark.createDataFrame([(f, p, l) for (f, p), l in W.LEMMAS.items()], "form string, pos string, lemma string")
-    return df.join(lem, ["form", "pos"], "left").select("form", "pos", "tag", F.coalesce("lemma", "form").alias("lemma"))
+    return df.join(lemmas(spark), ["form", "pos"], "left").select("form", "pos", "tag", F.coalesce("lemma", "form").alias("lemma"))
 
 
 class Catalog:

@@ -10,6 +10,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from kbspark.functions import frames as FR
 from kbspark.functions import tagging as G
 from kbspark.functions import text as T
 from kbspark.operators import hierarchy as HI
@@ -151,6 +152,46 @@ def test_lexicon_table_of_any_size(spark):
                    2: [], 3: [("run", "VB"), ("run", "VB")]}
 
 
+# ---- F3-F6 with tables ----------------------------------------------------
+
+SENTENCES = [(1, [("Servers", "NNS"), ("ran", "VBD"), ("quickly", "RB")]), (2, [("the", "DT"), ("with", "IN"), ("Zzyx", "FW")]),
+             (3, []), (4, [("ran", "VBD"), ("ran", "VBD"), ("server", "NN")])]
+UNITS = [("server room.n", "Buildings"), ("run.v", "Moving"), ("run.v", "Operating"), ("nothing", "Ignored")]
+USER_LEMMAS = [("ran", "v", "run"), ("servers", "n", "server")]
+
+
+def frame_rows(spark, **memo):
+    df = spark.createDataFrame(SENTENCES, f"row_id long, toks {TOKS}")
+    units = spark.createDataFrame(UNITS, "unit string, frame string")
+    lemmas = spark.createDataFrame(USER_LEMMAS, "form string, pos string, lemma string").unionAll(
+        spark.range(100_000).selectExpr("concat('form', id)", "'n'", "'x'"))
+    got = FR.frames_with_tables(df, "toks", units, lemmas, **memo)
+    return sorted((r.row_id, r.frame) for r in got.collect()), FR.word_keys(df, "toks", lemmas)[1], units
+
+
+def test_units_and_lemmas_as_tables(spark):
+    got, keys, units = frame_rows(spark)
+    assert [x for x in got if x[1] != "zzyx"] == [
+        (1, "Buildings"), (1, "Moving"), (1, "Operating"), (4, "Buildings"), (4, "Moving"), (4, "Operating")]
+    assert {r.key for r in keys.collect()} >= {"server__n", "run__v"}
+
+
+def test_frame_memo_is_saved_and_looked_up_first(spark):
+    path = scratch_table_dir(spark, f"frame_memo_{os.getpid()}")
+    schema = S.KB_SCHEMAS["frame_cache"]
+    assert S.read_or_empty(spark, path, schema).isEmpty()
+    plain, keys, units = frame_rows(spark, memo=S.read_or_empty(spark, path, schema))
+    assert plain == frame_rows(spark)[0]
+    S.replace(FR.frame_memo(keys, units), path)
+    memo = S.read_or_empty(spark, path, schema)
+    by = {r.key: r.frames for r in memo.collect()}
+    assert by["run__v"] == ["Moving", "Operating"] and [] in by.values() and len(by) == keys.select("key").distinct().count()
+    # known keys keep what the memo says, whatever the units are now
+    none = units.limit(0)
+    assert FR.frame_memo(keys, none, memo).count() == len(by)
+    assert {r.key: r.frames for r in FR.frame_memo(keys, none, memo).collect()} == by
+
+
 # ---- K14, K8 --------------------------------------------------------------
 
 def test_progress_without_exchange_reuse(spark):
