@@ -1,5 +1,5 @@
-"""Reusable plans: KB from the driver tables, question tables, memoised per
-session so several registered queries share one build."""
+"""Reusable plans: KB from the driver tables, question tables, memoised while
+the files they read stay as they are, so that registered queries share one build."""
 
 from __future__ import annotations
 
@@ -17,8 +17,16 @@ from kbspark.sources.tables import read_table
 _CACHE: dict = {}
 
 
-def _key(spark: SparkSession, sf_dir: str, what: str):
-    return (id(spark), os.path.abspath(sf_dir), what)
+def _key(spark: SparkSession, sf_dir: str, what: str, *tables: str):
+    """Memo key: the application, the folder and the state of the files that
+    the plan reads, so that a changed table is read anew."""
+    states = []
+    for name in tables:
+        files = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")).select("_metadata.*")
+        at = F.struct("file_modification_time", "file_path", "file_size")
+        row = files.agg(F.count(F.lit(1)).alias("n"), F.max(at).cast("string").alias("last")).first()
+        states.append((name, row["n"], row["last"]))
+    return (spark.sparkContext.applicationId, sf_dir, what, *states)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +35,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kb_from_documents(spark: SparkSession, sf_dir: str) -> K.KB:
     """Entry A on the ``documents`` table (memoised per session and folder)."""
-    k = _key(spark, sf_dir, "kb_documents")
+    k = _key(spark, sf_dir, "kb_documents", "documents")
     if k not in _CACHE:
         ensure_checkpoint_dir(spark)
         _CACHE[k] = K.build_kb(P.kb_input_from_documents(documents(spark, sf_dir)))
@@ -48,7 +56,7 @@ def user_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def retrieval(spark: SparkSession, sf_dir: str) -> R.Retrieval:
     """Q1-Q8 intermediates for all user questions (memoised)."""
-    k = _key(spark, sf_dir, "retrieval")
+    k = _key(spark, sf_dir, "retrieval", "documents", "conversations")
     if k not in _CACHE:
         kb = kb_from_documents(spark, sf_dir)
         _CACHE[k] = R.retrieve(user_questions(spark, sf_dir), kb)
@@ -57,7 +65,7 @@ def retrieval(spark: SparkSession, sf_dir: str) -> R.Retrieval:
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entry B for all user questions against the documents KB (memoised)."""
-    k = _key(spark, sf_dir, "answers")
+    k = _key(spark, sf_dir, "answers", "documents", "conversations")
     if k not in _CACHE:
         kb = kb_from_documents(spark, sf_dir)
         _CACHE[k] = R.answer(None, kb, retrieval=retrieval(spark, sf_dir)).checkpoint(eager=True)

@@ -238,3 +238,14 @@ def test_publish_switches_all_tables_at_once(spark):
     assert other.live() == "2" and [tuple(r) for r in other.live_table("entities").collect()] == [(7, "x")]
     cat.drop("2")
     assert other.live_table("entities").count() == 0
+
+
+def test_build_memo_follows_its_files(spark):
+    from kbspark.plans import build as B
+    root = scratch_table_dir(spark, f"memo_{os.getpid()}")
+    keys = []
+    for text in ("one", "one", "two"):
+        S.replace(spark.createDataFrame([(1, text)], "doc_id long, text string"), f"{root}/documents.parquet")
+        keys.append(B._key(spark, root, "kb", "documents"))
+        assert B._key(spark, root, "kb", "documents") == keys[-1]
+    assert len(set(keys)) == 3
