@@ -154,6 +154,31 @@ def test_quality_bands_reject_both_ends():
     assert not n[5] and not n[6]
 
 
+def test_quality_rejects_encoded_random_and_template_texts(spark, sf_dir):
+    rnd = random.Random(6)
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    base64 = lower + lower.upper() + "0123456789+/"
+
+    def noise(letters, size):
+        return " ".join("".join(rnd.choices(letters, k=rnd.randrange(4, 12))) for _ in range(size // 8 + 1))[:size]
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    clean = {r.doc_id: r.text for r in docs.where("lang = 'en'").collect()}
+    prose = next(t for _, t in sorted(clean.items()) if t and len(t) > 5_500 and quality.measure(t.encode(), squeeze)[2] < 20)[:5_500]
+    template = " ".join(f"order {rnd.randrange(10**6)} shipped on day {rnd.randrange(10**4)} to customer {rnd.randrange(10**6)}" for _ in range(75))
+    junk = [noise(letters, size) for letters, sizes in ((base64, (800, 1_500, 3_000, 16_000, 60_000)), (lower, (1_500, 3_000, 16_000, 60_000)),
+                                                        ("0123456789abcdef", (3_500, 6_000, 16_000, 60_000)), ("0123456789", (16_000, 60_000)))
+            for size in sizes]
+    junk += [prose[:4_800] + " " + noise(base64, 11_200), prose + " " + template, template]
+    for text in junk:
+        m = quality.measure(text.encode(), squeeze)
+        assert not m[5] and not m[6], (text[:40], len(text), m)
+    # clean documents stay: neither short, nor repeated, nor full of signs
+    rows = [r for r in quality.scores(docs).collect() if not r.base_failed and 50 * r.n_symbols < r.word_chars]
+    assert len(rows) > 100 and sum(r.kept for r in rows) >= 0.995 * len(rows)
+
+
 def test_quality_keep_and_odd_rows(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("ratio", F.lit("mine"))
     want = {r.doc_id for r in quality.scores(docs).collect() if r.kept}
