@@ -388,6 +388,58 @@ def test_model_adds_unmarked_phones_and_leaves_prose(spark):
     assert pii.added(clean, [], model, limits) == []
 
 
+def card(rnd):
+    digits = "4" + "".join(rnd.choices("0123456789", k=14))
+    return next(digits + c for c in "0123456789" if pii.luhn(digits + c))
+
+
+def planted(rnd):
+    """Marked, then unmarked spans, then numbers that are none, by kind."""
+    name, host = f"{rnd.choice(['ann', 'bob', 'eve'])}.{rnd.randrange(99)}", f"mail{rnd.randrange(9)}"
+    ip, n = [rnd.randrange(1, 256) for _ in range(4)], card(rnd)
+    tel = f"({rnd.randrange(200, 999)}) {rnd.randrange(200, 999)}-{rnd.randrange(1000, 9999)}"
+    wrong = n[:-1] + str((int(n[-1]) + 1) % 10)
+    return [(f"{name}@{host}.example.com", f"{name} [at] {host} [dot] com", f"list (at) noon, {host}"),
+            (".".join(map(str, ip)), " . ".join(map(str, ip)), " . ".join(str(x + 256) for x in ip)),
+            (n, ".".join(n[i:i + 4] for i in range(0, 16, 4)), ".".join(wrong[i:i + 4] for i in range(0, 16, 4))),
+            (f"+1 {tel}", f"1 {tel}", f"2{rnd.randrange(100, 999)} 12 {rnd.randrange(10, 99)}")]
+
+
+@pytest.mark.parametrize("common", [False, True])
+def test_planted_variants_are_found_however_common(spark, common):
+    rnd = random.Random(12)
+    rows, want, wrong = [], {}, {}
+    for i in range(2_400):
+        marked, loose, none = planted(rnd)[i % 4]
+        if i < 1_200:
+            text = f"the old house on the hill was {marked} and then {none} in spring"
+        elif common or i % 100 < 4:
+            text = f"the old house on the hill was {loose} and then {none} in spring"
+            at = text.index(loose)
+            want[i] = f"{pii.KINDS[i % 4]}:{at}:{at + len(loose)}"
+        else:
+            text = f"nothing but {none} here"
+        wrong[i] = (text.index(none), text.index(none) + len(none))
+        rows.append((i, text))
+    docs = documents(spark, rows)
+    model, limits = pii.train(docs)
+    assert model is not None and max(limits) <= 1
+    got = {r.doc_id: r.spans.split(",") for r in pii.detect(docs, model, limits).collect()}
+    for k in range(4):
+        ids = [i for i in want if i % 4 == k]
+        assert sum(want[i] in got[i] for i in ids) >= 0.95 * len(ids), (pii.KINDS[k], [(rows[i], got[i]) for i in ids[:3]])
+    spans = [(i, int(a), int(b)) for i, v in got.items() for _, a, b in (x.split(":") for x in v if x)]
+    assert sum(a < wrong[i][1] and wrong[i][0] < b for i, a, b in spans) <= 0.01 * len(rows)
+
+
+def test_few_labels_leave_certain_candidates(spark):
+    docs = documents(spark, [(1, "mail ann [at] host [dot] com"), (2, "call 1 (988) 555-2485 now"), (3, "invoice 1 (988) 555-2485"), (4, "in 12 34")])
+    model, limits = pii.train(docs)
+    assert model is None
+    got = {r.doc_id: r.spans for r in pii.detect(docs, model, limits).collect()}
+    assert got == {1: "email:5:28", 2: "phone:5:21", 3: "", 4: ""}
+
+
 def test_pii_odd_rows_and_redaction(spark):
     docs = documents(spark, [*ODD, (20, "mail a.b@c.de or +1 (988) 555-2485 now")]).withColumn("spans", F.lit("mine"))
     model, limits = pii.train(docs)
