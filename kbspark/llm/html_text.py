@@ -28,16 +28,19 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math select option button".split())
-DROP = frozenset("head nav header footer aside form dialog menu".split()) | RAW
+SECTIONS = frozenset("nav header footer aside dialog menu".split())
+CONTROLS = frozenset(["label", "legend"])
+DROP = SECTIONS | frozenset(["head"]) | RAW
 BLOCK = frozenset(
     "address article blockquote body br center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li "
-    "main ol p pre section summary table tbody td tfoot th thead tr ul".split()) | DROP
+    "form main ol p pre section summary table tbody td tfoot th thead tr ul".split()) | DROP
 #: An element of the key is closed by a tag of the value's set.
 P_ENDS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre "
                    "section table ul".split())
 ENDS = {"p": P_ENDS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
         "tr": frozenset(["tr", "tbody"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]),
         "option": frozenset(["option"])}
+CLOSING = frozenset().union(*(ENDS[k] for k in ENDS if k != "p"))
 #: Words of a class, id or role that mark boilerplate.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies "
@@ -49,62 +52,64 @@ SPACE = re.compile(r"[ \t\n\x0b\x0c\r]+")
 
 
 class Node:
-    __slots__ = ("tag", "up", "items", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "up", "items", "marks", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, up: Node | None):
+    def __init__(self, tag: str, up: Node | None, marks: frozenset[str] = frozenset()):
         self.tag, self.up, self.items = tag, up, []  # items: texts and nodes, in page order
+        self.marks = marks
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def is_boilerplate(tag: str, attributes: str) -> bool:
-    if tag in DROP:
-        return True
-    if "=" not in attributes and "hidden" not in attributes:
-        return False
-    if tag in ("body", "html", "article", "main"):
-        return False
+GONE = frozenset(["gone"])  # never shown as text
+SECTION = frozenset(["section"])
+
+
+def marks_of(tag: str, attributes: str) -> frozenset[str]:
+    """Why an element may be boilerplate: GONE, SECTION or words of MARKS."""
+    if tag in SECTIONS:
+        out = SECTION
+    elif tag in DROP or tag in CONTROLS:
+        return GONE
+    else:
+        out = frozenset(["form"]) if tag == "form" else frozenset()
+    if "=" not in attributes and "hidden" not in attributes or tag in ("body", "html", "article", "main"):
+        return out
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return GONE
         if name == "style":
             if re.search(r"display\s*:\s*none", value):
-                return True
-        elif name != "aria-hidden" and any(w.lower() in MARKS for w in PART.findall(value)):
-            return True
-    return False
+                return GONE
+        elif name != "aria-hidden" and out is not SECTION:
+            words = [w.lower() for w in PART.findall(value)]
+            found = [w for w in words if w in MARKS]
+            if found:
+                out = out.union(found)
+    return out
 
 
 def parse(page: str) -> Node:
     """The tree of the page without boilerplate elements."""
     root = Node("#root", None)
-    at, depth_dropped, here, n = root, 0, 0, len(page)
-    dropped: list[str] = []  # open elements from the outermost boilerplate one on
+    at, here, n, marked = root, 0, len(page), False
     while here < n:
         m = TOKEN.search(page, here)
         if not m:
-            if not dropped:
-                at.items.append(page[here:])
+            at.items.append(page[here:])
             break
-        if m.start() > here and not dropped:
+        if m.start() > here:
             at.items.append(page[here:m.start()])
         here = m.end()
         tag = (m[2] or "").lower()
         if not tag:
             continue
         if m[1]:
-            if dropped:
-                if tag in dropped:
-                    while dropped.pop() != tag:
-                        pass
-                    continue
-                if tag not in ("body", "html", "article", "main"):
-                    continue
-                dropped.clear()  # never closed
             node = at
             while node is not None and node.tag != tag:
-                node = node.up
+                # an inline end tag does not reach out of a boilerplate element
+                node = None if node.marks and tag not in BLOCK else node.up
             if node is not None and node.up is not None:
                 at = node.up
             elif tag == "p":
@@ -114,40 +119,49 @@ def parse(page: str) -> Node:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, here)
             if tag in ("script", "style", "title", "textarea", "iframe", "noscript"):
                 here = end.end() if end else n
-                if not dropped:
-                    at.items.append(Node(tag, at))  # a break between blocks
+                at.items.append(Node(tag, at))  # a break between blocks
                 continue
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
-            if not dropped:
-                at.items.append(Node(tag, at))
-            continue
-        if dropped or is_boilerplate(tag, m[3]):
-            if not dropped:
-                while at.tag in ENDS and tag in ENDS[at.tag]:
-                    at = at.up
-                at.items.append(Node(tag if tag in BLOCK else "span", at))
-            elif dropped[-1] in ENDS and tag in ENDS[dropped[-1]] and len(dropped) > 1:
-                dropped.pop()
-            elif len(dropped) == 1 and tag in ("article", "main"):
-                dropped.clear()
-                at.items.append(node := Node(tag, at))
-                at = node
-                continue
-            dropped.append(tag)
+            at.items.append(Node(tag, at))
             continue
         if tag in P_ENDS:
             node = at
-            while node is not None and node.tag not in ("p", "article", "body", "div", "section", "td", "li"):
+            while node is not None and not node.marks and node.tag not in ("p", "article", "body", "div", "section", "td", "li"):
                 node = node.up
             if node is not None and node.tag == "p":
                 at = node.up
+        if tag in CLOSING:
+            node = at
+            while node.up is not None and node.tag not in BLOCK:
+                node = node.up
+            if node.tag in ENDS and tag in ENDS[node.tag]:
+                at = node
         while at.tag in ENDS and tag in ENDS[at.tag]:
             at = at.up
-        at.items.append(node := Node(tag, at))
+        if tag in ("article", "main") and (at.marks is GONE or at.marks is SECTION):
+            at = at.up  # never closed
+        marks = marks_of(tag, m[3])
+        marked = marked or bool(marks)
+        at.items.append(node := Node(tag, at, marks))
         at = node
+    if marked:
+        prune(root)
     return root
 
 
+def cut(nodes: list[Node]) -> None:
+    """Leaves a break between blocks, or nothing, of each element."""
+    for node in nodes:
+        node.items = []
+        if node.tag not in BLOCK:
+            node.tag = "span"
+
+
+def prune(root: Node) -> None:
+    """Cuts the boilerplate elements."""
+    cut([x for x in in_order(root) if x.marks])
+
+
 def in_order(root: Node) -> list[Node]:
     """All nodes, parents before children (no recursion: pages nest deeply)."""
     out = [root]
@@ -158,6 +172,7 @@ def in_order(root: Node) -> list[Node]:
 
 def weigh(nodes: list[Node]) -> None:
     for node in reversed(nodes):
+        node.chars = node.link_chars = 0
         for x in node.items:
             if type(x) is str:
                 node.chars += len("".join(x.split()))

@@ -298,6 +298,21 @@ def test_main_text(page, want):
     assert html_text.main_text(page) == want
 
 
+ONE, TWO = PROSE.strip(), f"{PROSE.strip()} {PROSE.strip()}"
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<article><p class='notice'>Ad<p>{PROSE}</article>", ONE),
+    (f"<body><div><ul><li class='social'>x<li>y</ul><p>{PROSE}</div></body>", f"y {ONE}"),
+    (f"<div><dl><dt>a<dd class=ad>no<dt>b<dd>{PROSE}</dl></div>", f"a b {ONE}"),
+    (f"<table><tr><td class=ad>no<td>{PROSE}</table>", ONE),
+    (f"<body><div><p>{PROSE}<p class=ad>no<div>{PROSE}</div></div></body>", TWO),
+    (f"<div><div class=ad><p>x</div><p>{PROSE}</div>", ONE),
+])
+def test_boilerplate_without_its_end_tag_ends_as_in_browsers(page, want):
+    assert html_text.main_text(page) == want
+
+
 def test_pages_keep_their_article(spark, sf_dir):
     import html
     pages = {r.page_id: r for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
