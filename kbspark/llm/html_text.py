@@ -4,7 +4,8 @@ Every element gets its characters per tag, adjusted for link text; the element
 with the largest sum of its children's densities is found, the smallest
 density on its path up to the body is the threshold, and the densest subtree
 above the threshold is the article. Elements that are boilerplate by their tag,
-role or class take no part.
+role or class take no part; a role or class that would take most of the page's
+text marks a wrapper, not boilerplate, and its elements stay.
 
 Defined results: null and empty html give empty text; html without tags is one
 block; unclosed and stray tags are closed as browsers do; equal rows get equal
@@ -28,7 +29,7 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math select option button".split())
-SECTIONS = frozenset("nav header footer aside dialog menu".split())
+SECTIONS = frozenset("nav header footer aside dialog menu".split())  # looked at if no text is left without them
 CONTROLS = frozenset(["label", "legend"])
 DROP = SECTIONS | frozenset(["head"]) | RAW
 BLOCK = frozenset(
@@ -47,6 +48,11 @@ MARKS = frozenset(
     "disqus dialog footer gdpr masthead menu menubar modal nav navbar navigation newsletter notice popup promo promoted related reply "
     "replies respond share sharing sidebar skip social sponsor sponsored subscribe toolbar widget complementary contentinfo search "
     "disclaimer alert".split())
+#: Of those, words of elements that stand beside an article however long they are.
+BESIDE = frozenset("comment comments commentlist consent cookie cookies disqus gdpr modal newsletter popup reply replies respond subscribe "
+                   "disclaimer".split())
+WITHOUT = frozenset("has no with without".split())  # class='has-sidebar' marks no sidebar
+ARTICLE_CHARS = 200  # of an article or main element that stands beside all marked ones
 PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 SPACE = re.compile(r"[ \t\n\x0b\x0c\r]+")
 
@@ -84,7 +90,7 @@ def marks_of(tag: str, attributes: str) -> frozenset[str]:
                 return GONE
         elif name != "aria-hidden" and out is not SECTION:
             words = [w.lower() for w in PART.findall(value)]
-            found = [w for w in words if w in MARKS]
+            found = [w for before, w in zip(["", *words], words) if w in MARKS and before not in WITHOUT]
             if found:
                 out = out.union(found)
     return out
@@ -157,11 +163,76 @@ def cut(nodes: list[Node]) -> None:
             node.tag = "span"
 
 
+def texts_of(root: Node) -> None:
+    """link_chars of every node: its characters; chars: those that are no link's."""
+    for node in reversed(in_order(root)):
+        for x in node.items:
+            if type(x) is str:
+                n = len("".join(x.split()))
+                node.chars += n
+                node.link_chars += n
+            else:
+                node.chars += x.chars
+                node.link_chars += x.link_chars
+        if node.tag == "a":
+            node.chars = 0
+
+
+def outermost(root: Node) -> tuple[list[Node], list[Node]]:
+    """The outermost marked nodes, and the nodes outside of them."""
+    marked, free = [], [root]
+    for node in free:
+        for x in node.items:
+            if type(x) is Node:
+                (marked if x.marks else free).append(x)
+    return marked, free
+
+
 def prune(root: Node) -> None:
-    """Cuts the boilerplate elements."""
+    """Cuts the boilerplate elements. Marks that take more text than they leave
+    are not trusted: an element that holds most of the text itself stays, and
+    its descendants are judged for themselves; else all those of the word that
+    takes most stay. Comments and the like may be longer than an article and
+    stay only if next to nothing else is there."""
+    cut([x for x in in_order(root) if x.marks is GONE])
+    texts_of(root)
+    marked, free = outermost(root)
+    whole = False  # an article stands outside of the marked elements
+    while True:
+        whole = whole or any(is_whole(x) for x in free if x.tag in ("article", "main"))
+        marked = [x for x in marked if x.link_chars]
+        left = root.link_chars - sum(x.link_chars for x in marked)
+        plain = [x for x in marked if x.marks is not SECTION and x.chars]
+        doubted = [x for x in plain if not x.marks & BESIDE]
+        if sum(x.chars for x in doubted) <= left:
+            doubted = plain if sum(x.chars for x in plain) > 20 * left else [] if left else marked
+        if whole or not doubted:
+            break
+        held = left + sum(x.chars for x in doubted)
+        stay = [x for x in doubted if 2 * x.chars > held]
+        if not stay:
+            sums: dict[str, int] = {}
+            for x in doubted:
+                for w in x.marks:
+                    sums[w] = sums.get(w, 0) + x.chars
+            word = max(sums, key=lambda w: (sums[w], w))
+            stay = [x for x in doubted if word in x.marks]
+        free = []
+        for x in stay:
+            x.marks = frozenset()
+            inner, outer = outermost(x)
+            marked += inner
+            free += outer
+        marked = [x for x in marked if x.marks]
     cut([x for x in in_order(root) if x.marks])
 
 
+def is_whole(node: Node) -> bool:
+    """Whether an article has text of its own: all of it, or enough."""
+    mine = node.chars - sum(x.chars for x in outermost(node)[0])
+    return 0 < mine and (mine == node.chars or mine >= ARTICLE_CHARS)
+
+
 def in_order(root: Node) -> list[Node]:
     """All nodes, parents before children (no recursion: pages nest deeply)."""
     out = [root]

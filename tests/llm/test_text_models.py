@@ -298,6 +298,7 @@ def test_main_text(page, want):
     assert html_text.main_text(page) == want
 
 
+LINKS = "".join(f"<li><a href=x{i}>link {i}</a></li>" for i in range(12))
 ONE, TWO = PROSE.strip(), f"{PROSE.strip()} {PROSE.strip()}"
 
 
@@ -313,6 +314,31 @@ def test_boilerplate_without_its_end_tag_ends_as_in_browsers(page, want):
     assert html_text.main_text(page) == want
 
 
+@pytest.mark.parametrize("page, want", [
+    (f"<body><div class='elementor-widget-wrap'><div class='elementor-widget elementor-widget-text-editor'><p>{PROSE}</p></div>"
+     f"<div class='elementor-widget'><p>{PROSE}</p></div></div><div class=sidebar><ul>{LINKS}</ul></div></body>", TWO),
+    (f"<body><div class='content has-sidebar'><div class=menu>{LINKS}</div><p>{PROSE}</p><p>{PROSE}</p></div></body>", TWO),
+    (f"<body><div class='sidebar-left'><div class=sidebar>News</div><p>{PROSE}</p><p>{PROSE}</p></div></body>", TWO),
+    (f"<body><div class='no-ads'><p>{PROSE}</p></div><footer>c</footer></body>", ONE),
+    (f"<body><div id='search-results'><p>{PROSE}</p></div></body>", ONE),
+    (f"<body><form id=aspnetForm><input><label>Name</label><select><option>a</select><div><p>{PROSE}</p><p>{PROSE}</p></div>"
+     f"<button>Go</button></form></body>", TWO),
+    (f"<body><div class='banner-page'><div><article><p>{PROSE}</p></article></div></div></body>", ONE),
+    (f"<body><aside><p>{PROSE}</p></aside></body>", ONE),
+    (f"<body><div class=post><p>{PROSE}</p></div><div class=comments>{f'<p>{PROSE}</p>' * 5}</div></body>", ONE),
+    (f"<article><p>Short.</p></article><div class='ad'><p>{PROSE}</p></div>", "Short."),
+    (f"<body><div class=post><p>{PROSE}</p></div><div class=widget><p>No</p></div><form><p>Your mail</p></form></body>", ONE),
+])
+def test_marks_never_take_most_of_a_page(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_nested_marks_are_linear():
+    for part in ("<div class=ad>", "<span class=ad><p>"):
+        assert html_text.main_text(part * 20_000 + "deep") == "deep"
+    assert html_text.main_text("<div class=widget>ab" * 20_000).startswith("ab ab")
+
+
 def test_pages_keep_their_article(spark, sf_dir):
     import html
     pages = {r.page_id: r for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
