@@ -27,7 +27,7 @@ MIN_CHUNK = 512
 MEAN_BITS = 11  # a boundary every 2 KB or so behind the minimum
 MAX_CHUNK = 8_192
 ID_BYTES = 16
-SEEN = 20_000  # recent identifiers of a task that are not sent again
+SEEN = 20_000  # recent chunks of a task, by identifier and SHA-256, that are not sent again
 YIELD_BYTES = 4_000_000  # chunks handed to Spark at a time
 WINDOW = np.uint64(0x9E3779B97F4A7C15)  # odd multiplier of the 8-byte window
 
@@ -78,20 +78,22 @@ def recipes(docs: DataFrame, id_bytes: int = ID_BYTES, texts: bool = False) -> D
 
 
 def chunks(docs: DataFrame, id_bytes: int = ID_BYTES) -> DataFrame:
-    """chunk_id and chunk, without those that the same task met lately."""
+    """chunk_id and chunk, without those that the same task met lately: skipped
+    only if the identifier and a second, independent hash agree."""
     schema = pa.schema([("chunk_id", pa.binary()), ("chunk", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        seen: set[tuple[bytes, bytes]] = set()
         for b in batches:
             ids, parts, size = [], [], 0
             for x in b.column(0):
                 for i, chunk in chunks_of(x.as_py() or b""):
-                    if i in seen:
+                    both = i[:id_bytes], hashlib.sha256(chunk).digest()
+                    if both in seen:
                         continue
                     if len(seen) >= SEEN:
                         seen.clear()
-                    seen.add(i)
+                    seen.add(both)
                     ids.append(i[:id_bytes])
                     parts.append(chunk)
                     size += len(chunk)

@@ -308,6 +308,13 @@ def test_exact_groups(spark, id_bytes):
         assert r.text_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
+def test_chunks_of_one_identifier_in_one_task_are_compared(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "chunks_of", lambda text: ((b"0" * 16, text[k:k + 4]) for k in range(0, len(text), 4)))
+    docs = spark.createDataFrame([(1, "aaaabbbb"), (2, "aaaacccc"), (3, "aaaa")], "doc_id long, text string").coalesce(1)
+    assert sorted(bytes(r.chunk) for r in exact_dedup.chunks(docs).collect()) == [b"aaaa", b"bbbb", b"cccc"]
+    assert [bytes(r.chunk_id) for r in exact_dedup.clashes(docs).collect()] == [b"0" * 16]
+
+
 def test_cuts_follow_content():
     rnd = random.Random(9)
     body = bytes(rnd.randrange(32, 127) for _ in range(60_000))
