@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +35,23 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list, list]]:
+    """The first two columns (an id and a text) of a task's rows, as lists,
+    about ``most`` bytes of text at a time."""
+    ids, texts, size = [], [], 0
+    for b in batches:
+        for i, t in zip(b.column(0).to_pylist(), b.column(1)):
+            t = t.as_py()
+            ids.append(i)
+            texts.append(t)
+            size += len(t or "") + 16
+            if size >= most:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
