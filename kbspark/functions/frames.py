@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as T
-from kbspark.functions.tagging import default_lemma_map
-from kbspark.sources.wordlists import LEXICAL_UNITS
+from kbspark.functions.tagging import default_lemma
+from kbspark.sources.wordlists import LEXICAL_UNITS, STOPWORDS
 
 
 def unit_keys(unit: str) -> list[str]:
@@ -36,15 +36,21 @@ def unit_keys(unit: str) -> list[str]:
     return keys
 
 
-def default_frame_map() -> Column:
+def shipped_frames() -> dict[str, list[str]]:
     """key -> sorted distinct frames, for the shipped lexical units."""
     acc: dict[str, set] = defaultdict(set)
     for unit, frame in LEXICAL_UNITS:
         for k in unit_keys(unit):
             acc[k].add(frame)
-    items = sorted(acc.items())
-    return F.map_from_arrays(F.array(*[F.lit(k) for k, _ in items]),
-                             F.array(*[F.array(*[F.lit(f) for f in sorted(v)]) for _, v in items]))
+    return {k: sorted(v) for k, v in sorted(acc.items())}
+
+
+def default_frames(key: Column) -> Column:
+    """Shipped frames of a key: most keys have none, which a hash set tells;
+    only the others are looked up in the map literal."""
+    items = shipped_frames()
+    m = F.map_from_arrays(F.array(*[F.lit(k) for k in items]), F.array(*[F.array(*[F.lit(f) for f in v]) for v in items.values()]))
+    return F.when(key.isin(*items), F.try_element_at(m, key))
 
 
 def unit_key_table(units: DataFrame) -> DataFrame:
@@ -65,21 +71,20 @@ def unit_key_table(units: DataFrame) -> DataFrame:
 def frame_tokens(toks: Column) -> Column:
     """tokens eligible for frames (lower-cased, length >= 2, not a stop word)
     as array<struct<word, wn>>."""
-    stops = T.stopword_array()
     cand = F.transform(toks, lambda t: F.struct(F.lower(t["token"]).alias("word"),
                                                 T.wordnet_class(t["pos"]).alias("wn")))
-    return F.filter(cand, lambda c: (F.length(c["word"]) >= 2) & ~F.array_contains(stops, c["word"]))
+    return F.filter(cand, lambda c: (F.length(c["word"]) >= 2) & ~c["word"].isin(*STOPWORDS))
 
 
 def frame_key(word: Column, wn: Column, lemma_map: Column | None = None) -> Column:
     """``word__class`` lookup key of a token with a WordNet class."""
-    lm = lemma_map if lemma_map is not None else default_lemma_map()
-    return lemma_key(word, wn, F.coalesce(F.try_element_at(lm, F.concat(word, F.lit("__"), wn)), word))
+    form = F.concat(word, F.lit("__"), wn)
+    return lemma_key(word, wn, F.coalesce(default_lemma(form) if lemma_map is None else F.try_element_at(lemma_map, form), word))
 
 
 def lemma_key(word: Column, wn: Column, lemma: Column) -> Column:
     """F3 once the lemma is known; a stop word is no lemma."""
-    use = F.when(F.array_contains(T.stopword_array(), lemma), word).otherwise(lemma)
+    use = F.when(lemma.isin(*STOPWORDS), word).otherwise(lemma)
     norm = F.replace(T.normalize_phrase(use, lemmatize=False, ignore_num=True), F.lit("."), F.lit(""))
     return F.concat(norm, F.lit("__"), wn)
 
@@ -92,13 +97,12 @@ def classless_frame(word: Column) -> Column:
 
 def sentence_frames(toks: Column, frame_map: Column | None = None, lemma_map: Column | None = None) -> Column:
     """sorted set of frames of a tagged sentence (F2 union F4)."""
-    fm = frame_map if frame_map is not None else default_frame_map()
     cands = frame_tokens(toks)
     own = F.filter(F.transform(F.filter(cands, lambda c: c["wn"] == ""), lambda c: classless_frame(c["word"])),
                    lambda x: x.isNotNull())
-    looked = F.flatten(F.transform(F.filter(cands, lambda c: c["wn"] != ""), lambda c: F.coalesce(
-        F.try_element_at(fm, frame_key(c["word"], c["wn"], lemma_map)), F.array().cast("array<string>"))))
-    return F.array_sort(F.array_distinct(F.concat(own, looked)))
+    keys = F.transform(F.filter(cands, lambda c: c["wn"] != ""), lambda c: frame_key(c["word"], c["wn"], lemma_map))
+    found = F.transform(keys, lambda k: default_frames(k) if frame_map is None else F.try_element_at(frame_map, k))
+    return F.array_sort(F.array_distinct(F.concat(own, F.flatten(F.filter(found, lambda x: x.isNotNull())))))
 
 
 def frame_memo(keys: DataFrame, units: DataFrame, memo: DataFrame | None = None) -> DataFrame:

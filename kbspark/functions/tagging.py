@@ -13,6 +13,8 @@ rewrites plus one span regex on that code string.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,49 +42,62 @@ def _map_literal(d: dict[str, str]) -> Column:
     return F.map_from_arrays(F.array(*[F.lit(k) for k, _ in items]), F.array(*[F.lit(v) for _, v in items]))
 
 
-def default_tag_map() -> Column:
-    return _map_literal(LEXICON_TAGS)
+def _looked_up(d: dict[str, str], key: Column) -> Column:
+    """A shipped value, or NULL. Most keys have none, which a hash set tells;
+    only the others are looked up in the map literal."""
+    return F.when(key.isin(*sorted(d)), F.try_element_at(_map_literal(d), key))
+
+
+def default_tag(form: Column) -> Column:
+    return _looked_up(LEXICON_TAGS, form)
 
 
 def default_noun_lemma_map() -> Column:
     return _map_literal({f: l for (f, p), l in LEMMAS.items() if p == "n"})
 
 
-def default_lemma_map() -> Column:
-    """(form '__' class) -> lemma for every WordNet class."""
-    return _map_literal({f"{f}__{p}": l for (f, p), l in LEMMAS.items()})
+def default_lemma(form: Column) -> Column:
+    """Lemma of (form '__' class) for every WordNet class."""
+    return _looked_up({f"{f}__{p}": l for (f, p), l in LEMMAS.items()}, form)
 
 
 def bare_key(tok: Column) -> Column:
     return F.lower(F.regexp_replace(tok, r"^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", ""))
 
 
-def rule_tag(tok: Column, idx: Column) -> Column:
-    """Tag of a token that is not in the lexicon."""
-    key = bare_key(tok)
+def rule_tag(tok: Column, idx: Column, key: Column | None = None) -> Column:
+    """Tag of a token that is not in the lexicon; ``key`` is its bare form."""
+    key = bare_key(tok) if key is None else key
     e = (F.when(tok.isin(*BRACKET_TAGS), tok)
          .when(key == "", F.when(tok.rlike(r"^[.!?]+$"), ".").when(tok == ",", ",")
                .when(tok.rlike(r"^[:;]+$"), ":").otherwise("SYM"))
-         .when(key.rlike(NUMBER_PATTERN), "CD")
-         .when(key.rlike("[0-9]"), "NN")
-         .when((idx > 0) & tok.rlike("^[A-Z]"), "NNP"))
+         .when(key.rlike("[0-9]"), F.when(key.rlike(NUMBER_PATTERN), "CD").otherwise("NN"))
+         .when((idx > 0) & F.substring(tok, 1, 1).between("A", "Z"), "NNP"))
     for pat, min_len, tag in SUFFIX_RULES:
-        e = e.when((F.length(key) >= min_len) & key.rlike(pat), tag)
+        e = e.when((F.length(key) >= min_len) & _ends(key, pat), tag)
     pat, not_pat, min_len, tag = PLURAL_RULE
-    e = e.when((F.length(key) >= min_len) & key.rlike(pat) & ~key.rlike(not_pat), tag)
+    e = e.when((F.length(key) >= min_len) & _ends(key, pat) & ~_ends(key, not_pat), tag)
     return e.otherwise("NN")
 
 
+def _ends(key: Column, pattern: str) -> Column:
+    """A pattern of endings, ``x$`` or ``(x|y)$``, without a regex."""
+    found = [key.endswith(x) for x in pattern.strip("()$").split("|")]
+    return reduce(Column.__or__, found)
+
+
 def tag_tokens(toks: Column, tag_map: Column | None = None) -> Column:
     """T4: array<string> tokens -> array<struct<token, pos>>."""
-    m = tag_map if tag_map is not None else default_tag_map()
+    def lexicon(form: Column) -> Column:
+        return default_tag(form) if tag_map is None else F.try_element_at(tag_map, form)
 
-    def one(tok: Column, idx: Column) -> Column:
-        lex = F.coalesce(F.try_element_at(m, F.lower(tok)), F.try_element_at(m, bare_key(tok)))
-        tag = F.when(tok.isin(*BRACKET_TAGS), tok).otherwise(F.coalesce(lex, rule_tag(tok, idx)))
+    def one(x: Column, idx: Column) -> Column:
+        tok, key = x["tok"], x["key"]
+        tag = F.when(tok.isin(*BRACKET_TAGS), tok).otherwise(
+            F.coalesce(lexicon(F.lower(tok)), lexicon(key), rule_tag(tok, idx, key)))
         return F.struct(tok.alias("token"), tag.alias("pos"))
 
-    return F.transform(toks, one)
+    return F.transform(F.transform(toks, lambda t: F.struct(t.alias("tok"), bare_key(t).alias("key"))), one)
 
 
 def tag_sentence(sentence: Column, tag_map: Column | None = None) -> Column:

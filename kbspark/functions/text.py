@@ -47,14 +47,6 @@ def let(value: Column, fn) -> Column:
     return F.try_element_at(F.transform(F.array(value), fn), F.lit(1))
 
 
-def _lit_array(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
-def stopword_array() -> Column:
-    return _lit_array(STOPWORDS)
-
-
 def py_strip(c: Column) -> Column:
     """Strip leading/trailing whitespace (all ``\\s``, not just blanks)."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -176,14 +168,14 @@ def normalize_phrase(text: Column, lemma_map: Column | None = None, lemmatize: b
     t = F.regexp_replace(t, r"(?<=[A-Za-z])ies$", "y")
     t = F.regexp_replace(t, r"[^A-Za-z.\s]" if ignore_num else r"[^A-Za-z0-9.\s]", " ")
     t = F.lower(py_strip(F.regexp_replace(t, r"\s+", " ")))
-    right = F.regexp_extract(t, r"(?<=\s)(\w+)$", 1)
     lm = lemma_map if lemmatize else None
-    whole = F.regexp_replace(_lemma_of(t, lm), r"\s+", "")
-    if lm is None:
-        replaced = t
-    else:
-        replaced = F.regexp_replace(F.replace(t, right, _lemma_of(right, lm)), r"\s+", " ")
-    return F.when(right == "", whole).otherwise(replaced)
+
+    def lemmatised(t: Column, right: Column) -> Column:
+        whole = F.regexp_replace(_lemma_of(t, lm), r"\s+", "")
+        replaced = t if lm is None else F.regexp_replace(F.replace(t, right, _lemma_of(right, lm)), r"\s+", " ")
+        return F.when(right == "", whole).otherwise(replaced)
+
+    return let(t, lambda t: let(F.regexp_extract(t, r"(?<=\s)(\w+)$", 1), lambda right: lemmatised(t, right)))
 
 
 def valid_entities(leaves: Column) -> Column:
@@ -226,8 +218,7 @@ def rebuild_sentence(toks: Column) -> Column:
 
 def important_tokens(text: Column) -> Column:
     """Split, drop stop words (case-sensitive), distinct, sort, join."""
-    stops = stopword_array()
-    words = F.filter(F.split(text, r"\s+"), lambda w: (w != "") & ~F.array_contains(stops, w))
+    words = F.filter(F.split(text, r"\s+"), lambda w: (w != "") & ~w.isin(*STOPWORDS))
     return F.array_join(F.array_sort(F.array_distinct(words)), " ")
 
 

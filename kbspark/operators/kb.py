@@ -1,4 +1,10 @@
-"""KB build (K1-K7, K9-K15): relational tables from tagged sentences.
+"""KB build and upsert (K1-K7, K9-K15): relational tables from tagged sentences.
+
+``kb_rows`` gives the rows that documents add to a KB: whatever the KB holds
+by its natural key (a heading's path, a sentence under its heading, an entity)
+keeps its id, the rest is numbered on from the largest id. Of the stored
+sentences only those under headings that the new documents touch are read for
+that. A build is the same over no KB.
 
 Shuffles: heading prefixes (distinct by path), section -> heading id join,
 sentence de-duplication by (sentence, heading), one range sort for dense
@@ -9,9 +15,10 @@ per sentence) is narrow, row-local work.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbspark.functions import frames as FR
@@ -19,6 +26,7 @@ from kbspark.functions import tagging as G
 from kbspark.functions import text as T
 from kbspark.operators.ids import dense_ids
 from kbspark.operators.markdown import sections
+from kbspark.sources.tables import Catalog, Snapshot
 
 ROOT_ID = 1
 ROOT_NAME = "ROOT"
@@ -40,13 +48,22 @@ class KB:
                 "heading_info": self.heading_info}
 
 
-def section_sentences(kb_input: DataFrame, truncate: bool = False) -> DataFrame:
-    """M3/M4 + T2: one row per sentence with its section path and order key."""
-    secs = sections(kb_input, truncate)
+def section_sentences(secs: DataFrame) -> DataFrame:
+    """M4 + T2: one row per sentence of sections with its path and order key.
+    Lines are dealt out before the work on their text: a document or a file
+    that is read by one task does not keep it there."""
     lines = secs.select("doc_id", "doc_order", "section_idx", "path",
                         F.posexplode("lines").alias("line_no", "line"))
-    return lines.select("doc_id", "doc_order", "section_idx", "path", "line_no",
-                        F.posexplode(T.sentences(F.col("line"))).alias("sent_idx", "text"))
+    return spread(lines, "doc_id", "section_idx", "line_no").select(
+        "doc_id", "doc_order", "section_idx", "path", "line_no",
+        F.posexplode(T.sentences(F.col("line"))).alias("sent_idx", "text"))
+
+
+def spread(df: DataFrame, *keys: str, parts: int | None = None) -> DataFrame:
+    """Rows dealt by keys over ``parts`` tasks, by default the session's
+    shuffle partitions; their number is not lowered by size, as the work that
+    follows is long and the rows are short."""
+    return df.repartition(parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def tag(df: DataFrame, text_col: str = "text", tag_map=None) -> DataFrame:
@@ -57,10 +74,16 @@ def tag(df: DataFrame, text_col: str = "text", tag_map=None) -> DataFrame:
             .withColumn("entities", G.sentence_entities(F.col("toks"))))
 
 
-def build_headings(secs: DataFrame) -> DataFrame:
+def next_id(df: DataFrame | None, column: str, first: int = 1) -> int:
+    top = df.agg(F.max(column)).first()[0] if df is not None else None
+    return first if top is None else top + 1
+
+
+def new_headings(secs: DataFrame, base: KB | None = None) -> DataFrame:
     """K1/K2: every path prefix of a section is a heading under its parent
     prefix (also for sections without sentences); ids in first-appearance
-    order (ROOT = 1, parents before children)."""
+    order (ROOT = 1, parents before children). A path of the base is no new
+    heading, but may be the parent of one."""
     secs = secs.select("doc_order", "doc_id", "section_idx", "path")
     prefixes = secs.select("doc_order", "doc_id", "section_idx", "path",
                            F.explode(F.sequence(F.lit(1), F.size("path"))).alias("k"))
@@ -69,19 +92,26 @@ def build_headings(secs: DataFrame) -> DataFrame:
     first = prefixes.groupBy("hpath").agg(F.min("o").alias("o"), F.first("k").alias("k"))
     first = first.select("hpath", "k", F.col("o.doc_order").alias("o1"), F.col("o.doc_id").alias("o2"),
                          F.col("o.section_idx").alias("o3"))
-    ided = dense_ids(first, ["o1", "o2", "o3", "k"], "heading_id", start=ROOT_ID + 1)
+    if base is not None:
+        first = first.join(base.headings.select(F.col("path").alias("hpath")), "hpath", "left_anti")
+    ided = dense_ids(first, ["o1", "o2", "o3", "k"], "heading_id", start=next_id(base and base.headings, "heading_id", ROOT_ID + 1))
     parents = ided.select(F.col("hpath").alias("ppath"), F.col("heading_id").alias("parent_id"))
+    if base is not None:
+        parents = parents.unionByName(base.headings.where(F.col("heading_id") != ROOT_ID).select(
+            F.col("path").alias("ppath"), F.col("heading_id").alias("parent_id")))
     with_parent = (ided.withColumn("ppath", F.slice("hpath", 1, F.col("k") - 1))
                    .join(parents, "ppath", "left")
                    .select("heading_id", F.try_element_at("hpath", F.lit(-1)).alias("heading"),
                            F.coalesce("parent_id", F.lit(ROOT_ID)).cast("long").alias("parent_id"),
                            F.col("hpath").alias("path")))
+    if base is not None:
+        return with_parent
     root = secs.sparkSession.createDataFrame([(ROOT_ID, ROOT_NAME, None, [])],
                                               "heading_id long, heading string, parent_id long, path array<string>")
     return root.unionByName(with_parent)
 
 
-def build_sentences(tagged: DataFrame, headings: DataFrame) -> tuple[DataFrame, DataFrame]:
+def new_sentences(tagged: DataFrame, headings: DataFrame, base: KB | None = None) -> tuple[DataFrame, DataFrame]:
     """K3/K6: one row per (sentence, heading), first occurrence wins; dense
     ids in text order. Returns (sentences, per-sentence entities)."""
     # a path names exactly one heading, so de-duplicate on (sentence, path)
@@ -91,19 +121,26 @@ def build_sentences(tagged: DataFrame, headings: DataFrame) -> tuple[DataFrame,
               .agg(F.min(F.struct(*ORDER)).alias("o"), F.first("entities").alias("entities")))
     firsts = firsts.join(hp, "path").select("sentence", "heading_id", "entities",
                                             *[F.col("o." + c).alias(c) for c in ORDER])
-    ided = dense_ids(firsts, ORDER, "sentence_id", start=1)
+    if base is not None:
+        touched = firsts.select("heading_id").distinct()
+        held = base.sentences.select("sentence", "heading_id").join(touched, "heading_id", "left_semi")
+        firsts = firsts.join(held, ["sentence", "heading_id"], "left_anti")
+    ided = dense_ids(firsts, ORDER, "sentence_id", start=next_id(base and base.sentences, "sentence_id"))
     sentences = ided.select("sentence_id", "sentence", F.array().cast("array<string>").alias("dependencies"),
                             "heading_id")
     return sentences, ided.select("sentence_id", "sentence", "entities")
 
 
-def build_entities(sent_entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+def new_entities(sent_entities: DataFrame, base: KB | None = None) -> tuple[DataFrame, DataFrame]:
     """K4/K5: entities in first-appearance order and distinct links."""
     links = sent_entities.select("sentence_id", F.explode("entities").alias("entity")).distinct()
     first = links.groupBy("entity").agg(F.min("sentence_id").alias("first_sid"))
-    entities = dense_ids(first, ["first_sid", "entity"], "entity_id").select("entity_id", "entity")
-    norms = links.join(entities, "entity").select("sentence_id", "entity_id")
-    return entities, norms
+    if base is not None:
+        first = first.join(base.entities.select("entity"), "entity", "left_anti")
+    start = next_id(base and base.entities, "entity_id")
+    entities = dense_ids(first, ["first_sid", "entity"], "entity_id", start=start).select("entity_id", "entity")
+    known = entities if base is None else entities.unionByName(base.entities.select("entity_id", "entity"))
+    return entities, links.join(known, "entity").select("sentence_id", "entity_id")
 
 
 def build_frame_index(sentences: DataFrame, frame_map=None) -> DataFrame:
@@ -124,20 +161,49 @@ def heading_info(sentences: DataFrame, headings: DataFrame) -> DataFrame:
     return agg.join(headings.select("heading_id", "heading"), "heading_id")
 
 
-def build_kb(kb_input: DataFrame, truncate: bool = False, tag_map=None, frame_map=None) -> KB:
-    """Entry A: docs -> KB tables. ``tagged`` is materialised once because
-    headings, sentences and entities all read it."""
-    sents = section_sentences(kb_input, truncate)
-    tagged = tag(sents, tag_map=tag_map).drop("toks").checkpoint(eager=True)
-    headings = build_headings(sections(kb_input, truncate)).checkpoint(eager=True)
-    sentences, sent_entities = build_sentences(tagged, headings)
+def kb_rows(kb_input: DataFrame, base: KB | None = None, truncate: bool = False, tag_map=None, frame_map=None) -> KB:
+    """Entry A: docs -> the rows they add to ``base`` (all rows without one).
+    Sections, tagged sentences and the numbered tables are read several times
+    and materialised once. ``heading_info`` has the new sentences' part."""
+    secs = sections(kb_input, truncate).checkpoint(eager=True)
+    tagged = tag(section_sentences(secs), tag_map=tag_map).drop("toks", "text").checkpoint(eager=True)
+    headings = new_headings(secs, base).checkpoint(eager=True)
+    known = headings if base is None else headings.unionByName(base.headings.select(*headings.columns))
+    sentences, sent_entities = new_sentences(tagged, known, base)
     sentences = sentences.checkpoint(eager=True)
-    entities, norms = build_entities(sent_entities.select("sentence_id", "entities"))
-    frame_index = build_frame_index(sentences, frame_map)
-    # the KB tables are the build's output: materialise each once
-    kb = KB(headings, sentences, entities.checkpoint(eager=True), norms.checkpoint(eager=True),
-            frame_index.checkpoint(eager=True), heading_info(sentences, headings).checkpoint(eager=True))
-    return kb
+    entities, norms = new_entities(sent_entities.select("sentence_id", "entities"), base)
+    return KB(headings, sentences, entities, norms, build_frame_index(sentences, frame_map), heading_info(sentences, known))
+
+
+def build_kb(kb_input: DataFrame, truncate: bool = False, tag_map=None, frame_map=None) -> KB:
+    """A whole KB that is not stored: its tables are materialised once."""
+    kb = kb_rows(kb_input, None, truncate, tag_map, frame_map)
+    return KB(**{name: df.checkpoint(eager=True) for name, df in kb.tables().items()})
+
+
+def stored(snapshot: Snapshot) -> KB:
+    """The KB of a published version."""
+    return KB(**{f.name: snapshot.table(f.name) for f in fields(KB)})
+
+
+def upsert(catalog: Catalog, kb_input: DataFrame, only_on: int | None = None, **options) -> Snapshot:
+    """Adds documents to the live KB of a catalog as a new version. The new
+    rows are numbered against one version; if another publisher was faster,
+    they are made again against that one. With ``only_on``, nothing is added
+    unless that is the live number (0: none), and the live version returned."""
+    while True:
+        live = catalog.snapshot()
+        number = live.number if live else 0
+        if only_on is not None and number != only_on:
+            return live
+        rows = kb_rows(kb_input, stored(live) if live else None, **options)
+        version = f"{number + 1}-{uuid.uuid4().hex[:8]}"
+        # by heading, so that the sentences of one heading are read from few row groups
+        by_heading = rows.sentences.repartitionByRange("heading_id", "sentence_id").sortWithinPartitions("heading_id", "sentence_id")
+        catalog.write(version, {**rows.tables(), "sentences": by_heading})
+        got = catalog.publish(version, live, expect=number)
+        if got is not None:
+            return catalog.snapshot(got)
 
 
 # ------------------------------------------------------------- read helpers
@@ -150,14 +216,37 @@ def heading_content(sentences: DataFrame, headings: DataFrame, heading_ids: Data
         "heading_id", "heading", "sentence_id", "sentence")
 
 
+#: Sentences of a heading that K10 joins into one part.
+PART_SENTENCES = 4_096
+
+
+def heading_parts(sentences: DataFrame, headings: DataFrame, heading_ids: DataFrame, size: int = PART_SENTENCES) -> DataFrame:
+    """K10 for headings of any length: (heading_id, heading, part, content),
+    decoded and rebuilt sentences joined by blanks in id order, ``size`` of
+    them a part; the parts in order, joined by blanks, are the heading's text.
+    A heading's sentences are dealt over range partitions, counted there and
+    numbered on, so no task or row holds them all."""
+    rows = heading_content(sentences, headings, heading_ids).select(
+        "heading_id", "heading", "sentence_id", T.rebuild_sentence(T.decode_tagged(F.col("sentence"))).alias("s"))
+    n = int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = (rows.repartitionByRange(n, "heading_id", "sentence_id").withColumn("_pid", F.spark_partition_id())
+              .checkpoint(eager=True))
+    counts = ranged.groupBy("heading_id", "_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("heading_id").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("heading_id", "_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    place = F.row_number().over(Window.partitionBy("heading_id", "_pid").orderBy("sentence_id"))
+    numbered = (ranged.withColumn("_k", place).join(offsets, ["heading_id", "_pid"])
+                .withColumn("part", F.floor((F.col("_off") + F.col("_k") - 1) / size).cast("long")))
+    return (numbered.groupBy("heading_id", "heading", "part")
+            .agg(F.array_sort(F.collect_list(F.struct("sentence_id", "s"))).alias("ss"))  # ``size`` at most
+            .select("heading_id", "heading", "part", F.array_join(F.transform("ss", lambda x: x["s"]), " ").alias("content")))
+
+
 def heading_text(sentences: DataFrame, headings: DataFrame, heading_ids: DataFrame) -> DataFrame:
-    """For a bounded set of heading ids, decoded and rebuilt sentences
-    joined by blanks in id order."""
-    rows = heading_content(sentences, headings, heading_ids).withColumn(
-        "s", T.rebuild_sentence(T.decode_tagged(F.col("sentence"))))
-    agg = rows.groupBy("heading_id", "heading").agg(
-        F.array_sort(F.collect_list(F.struct("sentence_id", "s"))).alias("ss"))
-    return agg.select("heading_id", "heading", F.array_join(F.transform("ss", lambda x: x["s"]), " ").alias("content"))
+    """K10 as one text a heading, for headings whose text fits a row."""
+    parts = heading_parts(sentences, headings, heading_ids)
+    return parts.groupBy("heading_id", "heading").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "content"))), lambda x: x["content"]), " ").alias("content"))
 
 
 def ordered_entities(entities: DataFrame) -> DataFrame:

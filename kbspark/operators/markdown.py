@@ -2,7 +2,8 @@
 
 A document row holds all its lines, so heading state is computed with
 array functions inside that row: no shuffle, no window over a partition.
-Per document the work is O(lines x heading lines).
+Per document the work is linear in its lines: the heading state is one fold
+over the heading lines.
 """
 
 from __future__ import annotations
@@ -18,21 +19,22 @@ MAX_PATH_LEVEL = 7
 def _line_info(content: Column) -> Column:
     """array<struct<i, lvl, txt>>: lvl = heading level (0 for content),
     txt = stripped heading text or stripped content line."""
-    return F.transform(content, lambda line, i: F.struct(
-        i.alias("i"),
-        T.heading_level(line).alias("lvl"),
-        F.when(T.heading_level(line) > 0, T.strip_markdown(T.heading_text(line)))
-        .otherwise(T.strip_markdown(line)).alias("txt")))
+    return F.transform(F.transform(content, lambda line: F.struct(T.heading_level(line).alias("lvl"), line.alias("line"))), lambda x, i: F.struct(
+        i.alias("i"), x["lvl"].alias("lvl"),
+        T.strip_markdown(F.when(x["lvl"] > 0, T.heading_text(x["line"])).otherwise(x["line"])).alias("txt")))
 
 
-def _level_text(heads: Column, k: int, truncate: bool) -> Column:
-    """Text of the last level-k heading in ``heads``; with ``truncate`` only
-    if no shallower heading comes after it."""
-    last = F.try_element_at(F.filter(heads, lambda h: h["lvl"] == k), F.lit(-1))
-    if not truncate or k == 1:
-        return last["txt"]
-    later_shallower = F.exists(heads, lambda h: (h["lvl"] < k) & (h["i"] > last["i"]))
-    return F.when(last.isNotNull() & ~later_shallower, last["txt"])
+def _level_states(heads: Column, truncate: bool) -> Column:
+    """The texts of levels 1..7 before the first heading and behind each, by
+    one fold whose state is those texts."""
+    none = F.array(*[F.lit(None).cast("string")] * MAX_PATH_LEVEL)
+
+    def step(acc: Column, h: Column) -> Column:
+        now = F.transform(F.element_at(acc, -1), lambda x, k: F.when(k == h["lvl"] - 1, h["txt"])
+                          .when(F.lit(truncate) & (k >= h["lvl"]), F.lit(None).cast("string")).otherwise(x))
+        return F.array_append(acc, now)
+
+    return F.aggregate(heads, F.array(none), step)
 
 
 def sections_column(content: Column, page_headings: Column, product: Column, truncate: bool = False) -> Column:
@@ -42,36 +44,32 @@ def sections_column(content: Column, page_headings: Column, product: Column, tru
     the last page heading). With ``truncate=False`` a deeper level keeps its
     last text after a shallower heading (the original behaviour); with
     ``truncate=True`` it is cleared. Sections without content lines are
-    dropped.
+    dropped: what lies between two headings is content, so a section is a
+    slice of the lines.
     """
-    def with_info(info: Column) -> Column:
-        return T.let(F.filter(info, lambda x: x["lvl"] > 0), lambda heads: with_heads(info, heads))
-
-    def with_heads(info: Column, heads: Column) -> Column:
-        head_idx = F.transform(heads, lambda h: h["i"])
-        body = F.transform(F.filter(info, lambda x: x["lvl"] == 0), lambda x: F.struct(
-            x["i"].alias("i"), x["txt"].alias("txt"),
-            F.size(F.filter(head_idx, lambda j: j < x["i"])).alias("sec")))
-        return T.let(body, lambda b: build(heads, b))
-
-    def build(heads: Column, body: Column) -> Column:
-        n_heads = F.size(heads)
-        n_page = F.size(page_headings)
-        crumbs = F.slice(page_headings, 1, F.greatest(n_page - 1, F.lit(0)))
-        page_heading = F.try_element_at(page_headings, F.lit(-1))
+    n_page = F.size(page_headings)
+    crumbs = F.slice(page_headings, 1, F.greatest(n_page - 1, F.lit(0)))
+    page_heading = F.try_element_at(page_headings, F.lit(-1))
 
+    def build(info: Column, heads: Column, states: Column) -> Column:
         def section(s: Column) -> Column:
-            before = F.slice(heads, 1, s)
-            levels = [F.coalesce(_level_text(before, 1, truncate), page_heading)]
-            levels += [_level_text(before, k, truncate) for k in range(2, MAX_PATH_LEVEL + 1)]
-            path = F.concat(F.array(product), crumbs, F.filter(F.array(*levels), lambda x: x.isNotNull()))
-            lines = F.transform(F.filter(body, lambda b: b["sec"] == s), lambda b: b["txt"])
-            return F.struct(s.alias("section_idx"), path.alias("path"), lines.alias("lines"))
+            first = F.when(s == 0, F.lit(0)).otherwise(F.try_element_at(heads, F.greatest(s, F.lit(1)))["i"] + 1)
+            end = F.coalesce(F.try_element_at(heads, s + 1)["i"], F.size(info))
+            return F.struct(s.alias("section_idx"), F.element_at(states, s + 1).alias("levels"),
+                            F.transform(F.slice(info, first + 1, end - first), lambda x: x["txt"]).alias("lines"))
+
+        full = F.filter(F.transform(F.sequence(F.lit(0), F.size(heads)), section), lambda x: F.size(x["lines"]) > 0)
+
+        def with_path(x: Column) -> Column:
+            levels = F.transform(x["levels"], lambda t, k: F.when(k == 0, F.coalesce(t, page_heading)).otherwise(t))
+            path = F.concat(F.array(product), crumbs, F.filter(levels, lambda t: t.isNotNull()))
+            return F.struct(x["section_idx"].alias("section_idx"), path.alias("path"), x["lines"].alias("lines"))
 
-        all_secs = F.transform(F.sequence(F.lit(0), n_heads), section)
-        return F.filter(all_secs, lambda x: F.size(x["lines"]) > 0)
+        return F.transform(full, with_path)
 
-    return T.let(_line_info(content), with_info)
+    return T.let(_line_info(content), lambda info: T.let(
+        F.filter(info, lambda x: x["lvl"] > 0), lambda heads: T.let(
+            _level_states(heads, truncate), lambda states: build(info, heads, states))))
 
 
 def sections(docs: DataFrame, truncate: bool = False) -> DataFrame:

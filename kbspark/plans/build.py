@@ -1,9 +1,17 @@
-"""Reusable plans: KB from the driver tables, question tables, memoised while
-the files they read stay as they are, so that registered queries share one build."""
+"""Reusable plans: the KB of the driver tables and what is read from it.
+
+Nothing is remembered in the session: the KB is a published version in a
+catalog under the shared checkpoint folder, and shared intermediates are
+written tables beside it. Both are found again, by any session, as long as the
+files they were made from stay as they are.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import os
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,35 +19,58 @@ from pyspark.sql import functions as F
 from kbspark.operators import kb as K
 from kbspark.operators import pages as P
 from kbspark.operators import retrieval as R
-from kbspark.session import ensure_checkpoint_dir
+from kbspark.session import scratch_table_dir
+from kbspark.sources import tables as S
 from kbspark.sources.tables import read_table
 
-_CACHE: dict = {}
+#: Goes up when a stored table would come out differently.
+LAYOUT = 1
 
 
-def _key(spark: SparkSession, sf_dir: str, what: str, *tables: str):
-    """Memo key: the application, the folder and the state of the files that
-    the plan reads, so that a changed table is read anew."""
+def _key(spark: SparkSession, sf_dir: str, what: str, *tables: str) -> str:
+    """Names what is made from the tables of a folder, by the folder and the
+    state of their files, so that a changed table is read anew."""
     states = []
     for name in tables:
         files = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")).select("_metadata.*")
         at = F.struct("file_modification_time", "file_path", "file_size")
         row = files.agg(F.count(F.lit(1)).alias("n"), F.max(at).cast("string").alias("last")).first()
         states.append((name, row["n"], row["last"]))
-    return (spark.sparkContext.applicationId, sf_dir, what, *states)
+    told = hashlib.sha256(repr((LAYOUT, sf_dir, *states)).encode()).hexdigest()[:24]
+    return f"{what}-{told}"
+
+
+def saved(spark: SparkSession, root: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table under ``root``, made and written if it is not there. It is
+    complete before its pointer file names it; the first pointer counts."""
+    at, fs = S._file_system(spark, f"{root}/{name}.at")
+    if not fs.exists(at):
+        path = f"{root}/{name}-{uuid.uuid4().hex[:8]}"
+        df = make()
+        df.write.parquet(path)
+        S.put_if_absent(spark, f"{root}/{name}.at", path)
+    stream = fs.open(at)
+    try:
+        path = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return spark.read.parquet(path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"])
 
 
+def kb_catalog(spark: SparkSession, sf_dir: str) -> S.Catalog:
+    return S.Catalog(spark, scratch_table_dir(spark, _key(spark, sf_dir, "kb", "documents")))
+
+
 def kb_from_documents(spark: SparkSession, sf_dir: str) -> K.KB:
-    """Entry A on the ``documents`` table (memoised per session and folder)."""
-    k = _key(spark, sf_dir, "kb_documents", "documents")
-    if k not in _CACHE:
-        ensure_checkpoint_dir(spark)
-        _CACHE[k] = K.build_kb(P.kb_input_from_documents(documents(spark, sf_dir)))
-    return _CACHE[k]
+    """Entry A on the ``documents`` table: the published version, which is
+    built and published first if there is none."""
+    catalog = kb_catalog(spark, sf_dir)
+    live = catalog.snapshot() or K.upsert(catalog, P.kb_input_from_documents(documents(spark, sf_dir)), only_on=0)
+    return K.stored(live)
 
 
 def question_id():
@@ -54,23 +85,18 @@ def user_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         question_id(), F.col("text").alias("question"))
 
 
-def retrieval(spark: SparkSession, sf_dir: str) -> R.Retrieval:
-    """Q1-Q8 intermediates for all user questions (memoised)."""
-    k = _key(spark, sf_dir, "retrieval", "documents", "conversations")
-    if k not in _CACHE:
-        kb = kb_from_documents(spark, sf_dir)
-        _CACHE[k] = R.retrieve(user_questions(spark, sf_dir), kb)
-    return _CACHE[k]
+def _answers_root(spark: SparkSession, sf_dir: str) -> str:
+    return scratch_table_dir(spark, _key(spark, sf_dir, "answers", "documents", "conversations"))
 
 
-def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entry B for all user questions against the documents KB (memoised)."""
-    k = _key(spark, sf_dir, "answers", "documents", "conversations")
-    if k not in _CACHE:
-        kb = kb_from_documents(spark, sf_dir)
-        _CACHE[k] = R.answer(None, kb, retrieval=retrieval(spark, sf_dir)).checkpoint(eager=True)
-    return _CACHE[k]
+def retrieval(spark: SparkSession, sf_dir: str) -> R.Retrieval:
+    """Q1-Q8 intermediates for all user questions, each a written table."""
+    root = _answers_root(spark, sf_dir)
+    return R.retrieve(user_questions(spark, sf_dir), lambda: kb_from_documents(spark, sf_dir),
+                      keep=lambda make, name: saved(spark, root, name, make))
 
 
-def clear_cache() -> None:
-    _CACHE.clear()
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entry B for all user questions against the documents KB, a written table."""
+    return saved(spark, _answers_root(spark, sf_dir), "answers", lambda: R.answer(
+        None, kb_from_documents(spark, sf_dir), retrieval=retrieval(spark, sf_dir)))

@@ -240,7 +240,7 @@ user_sents AS (
 
 def simple() -> dict[str, str]:
     q = {}
-    q["s1_scan_documents"] = "SELECT doc_id, lang, source, n_chars FROM documents"
+    q["s1_scan_documents"] = "SELECT doc_id, text, lang, source, n_chars FROM documents"
     q["s2_row_counts"] = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in TABLES)
     q["c1_canonical_url"] = "SELECT page_id, split_part(url, '?', 1) AS canonical_id FROM pages"
     links = page_links_sql()

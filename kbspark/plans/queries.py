@@ -22,6 +22,7 @@ from kbspark.operators import hierarchy as HI
 from kbspark.operators import markdown as M
 from kbspark.operators import pages as P
 from kbspark.operators import retrieval as R
+from kbspark.operators.kb import spread
 from kbspark.plans import build as B
 from kbspark.sources import tables as S
 from kbspark.sources.tables import read_table
@@ -37,7 +38,7 @@ FORCED_WORDS = 2         # D3: entities of so many words serve as forced phrases
 
 # ----------------------------------------------------------------- S
 def s1_scan_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return read_table(spark, sf, "documents", ["doc_id", "lang", "source", "n_chars"])
+    return read_table(spark, sf, "documents", ["doc_id", "text", "lang", "source", "n_chars"])
 
 
 def s2_row_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -109,7 +110,7 @@ def m4_sections(spark: SparkSession, sf: str) -> DataFrame:
 
 # ----------------------------------------------------------------- T
 def _sentences(spark: SparkSession, sf: str) -> DataFrame:
-    return _doc_lines(spark, sf).select("doc_id", "line_no",
+    return spread(_doc_lines(spark, sf), "doc_id", "line_no").select("doc_id", "line_no",
                                         F.posexplode(T.sentences(F.col("line"))).alias("sent_idx", "sentence"))
 
 

@@ -1,14 +1,19 @@
 """Sources and sinks (S1-S10): driver tables, word lists, KB catalog.
 
 Driver tables are read with the schema of their files, KB tables with an
-explicit one. Writes go to folders (parquet). A KB version is written in full
-before the one pointer file is replaced that names the live version, so that
-readers, also of other sessions, never see a half-built KB.
+explicit one. Writes go to folders (parquet). A KB version is a list of
+segments, folders that are written in full and then never changed; publishing
+it creates the next numbered pointer file, which fails if that number is
+there, so that two publishers cannot tie and readers, also of other sessions,
+never see a half-built KB.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,10 +120,61 @@ def lexicon(spark: SparkSession) -> DataFrame:
     return df.join(lemmas(spark), ["form", "pos"], "left").select("form", "pos", "tag", F.coalesce("lemma", "form").alias("lemma"))
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Creates a small file with all its content at once; False if one of that
+    name is there. A finished file is moved to the name without overwriting
+    (on a local disk, linked: its rename would overwrite)."""
+    jvm = spark.sparkContext._jvm
+    at, fs = _file_system(spark, path)
+    fs.mkdirs(at.getParent())
+    draft = jvm.org.apache.hadoop.fs.Path(at.getParent(), f"_{uuid.uuid4().hex}")
+    out = fs.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        if fs.getScheme() == "file":
+            local = [jvm.java.io.File(x.toUri().getPath()).toPath() for x in (at, draft)]
+            jvm.java.nio.file.Files.createLink(*local)
+        else:
+            kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+            how = spark.sparkContext._gateway.new_array(kind, 1)
+            how[0] = kind.NONE
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), fs.getConf()).rename(draft, at, how)
+        return True
+    except Exception as e:
+        if "AlreadyExists" not in str(e):
+            raise
+        return False
+    finally:
+        fs.delete(draft, False)
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """A published version: what a reader that holds it sees never changes."""
+    spark: SparkSession
+    number: int
+    version: str
+    segments: tuple[str, ...]
+
+    def table(self, name: str) -> DataFrame:
+        """A table over all segments. A heading's sentences may lie in several:
+        ``heading_info`` has one row for each and the rows are merged."""
+        df = self.spark.read.schema(KB_SCHEMAS[name]).parquet(*[f"{s}/{name}" for s in self.segments])
+        if name != "heading_info" or len(self.segments) == 1:
+            return df
+        return df.groupBy("heading_id").agg(F.min("first_sentence_id").alias("first_sentence_id"),
+                                            F.max("last_sentence_id").alias("last_sentence_id"), F.first("heading").alias("heading"))
+
+
 class Catalog:
     """KB tables under a root folder, versioned. ``publish`` makes a
-    fully written version the live one by adding one row to the pointer
-    table; the row added last counts."""
+    fully written version the live one; the highest number counts."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -148,18 +204,44 @@ class Catalog:
     def read(self, version: str, name: str) -> DataFrame:
         return read_or_empty(self.spark, f"{self.version_dir(version)}/{name}", KB_SCHEMAS[name])
 
-    def publish(self, version: str) -> None:
-        """One atomic append switches all tables at once."""
-        row = self.spark.createDataFrame([(version,)], "version string").select("version", F.current_timestamp().alias("at"))
-        row.coalesce(1).write.mode("append").parquet(f"{self.root}/live")
+    def publish(self, version: str, base: Snapshot | None = None, expect: int | None = None) -> int | None:
+        """One pointer file switches all tables at once. The version's own
+        folder comes behind the segments of ``base``. Returns the number it
+        got. With ``expect``, it must follow that number (0: be the first);
+        None if another publisher was faster."""
+        segments = [*(base.segments if base else ()), self.version_dir(version)]
+        while True:
+            number = (self.number() if expect is None else expect) + 1
+            if put_if_absent(self.spark, f"{self.root}/live/{number:012d}", json.dumps({"version": version, "segments": segments})):
+                return number
+            if expect is not None:
+                return None
+
+    def number(self) -> int:
+        """The number published last; 0 before the first."""
+        at, fs = _file_system(self.spark, f"{self.root}/live")
+        names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+        return max([int(n) for n in names if n.isdigit()], default=0)
+
+    def snapshot(self, number: int | None = None) -> Snapshot | None:
+        """The live version, or the one of a number, for a reader to hold."""
+        number = number or self.number()
+        if not number:
+            return None
+        at, fs = _file_system(self.spark, f"{self.root}/live/{number:012d}")
+        stream = fs.open(at)
+        try:
+            told = json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+        return Snapshot(self.spark, number, told["version"], tuple(told["segments"]))
 
     def live(self) -> str | None:
         """The version published last, or None."""
-        row = (read_or_empty(self.spark, f"{self.root}/live", "version string, at timestamp")
-               .agg(F.max_by("version", "at").alias("v")).first())
-        return row["v"]
+        now = self.snapshot()
+        return now and now.version
 
     def live_table(self, name: str) -> DataFrame:
         """A table of the live version; empty before the first publish."""
-        version = self.live()
-        return self.spark.createDataFrame([], KB_SCHEMAS[name]) if version is None else self.read(version, name)
+        now = self.snapshot()
+        return now.table(name) if now else self.spark.createDataFrame([], KB_SCHEMAS[name])
