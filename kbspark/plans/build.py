@@ -73,6 +73,18 @@ def kb_from_documents(spark: SparkSession, sf_dir: str) -> K.KB:
     return K.stored(live)
 
 
+def upserted_catalog(spark: SparkSession, sf_dir: str) -> S.Catalog:
+    """A KB that got the documents in two batches, even ids first: the second
+    one is an upsert into the published first."""
+    catalog = S.Catalog(spark, scratch_table_dir(spark, _key(spark, sf_dir, "kb-upserted", "documents")))
+    docs = documents(spark, sf_dir)
+    odd = F.coalesce(F.col("doc_id") % 2 != 0, F.lit(True))
+    for number, batch in enumerate((docs.where(~odd), docs.where(odd))):
+        if catalog.number() == number:
+            K.upsert(catalog, P.kb_input_from_documents(batch), only_on=number)
+    return catalog
+
+
 def question_id():
     """q_id of a conversation turn: both numbers, so no two turns share one."""
     return F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("q_id")

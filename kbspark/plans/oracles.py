@@ -304,6 +304,29 @@ sc AS (SELECT *, len(tags) AS n,
        CASE WHEN contains(sentence, '?') THEN 1 ELSE 0 END AS q FROM tg)
 SELECT conv_id, turn, sent_idx, round(((n + 1) * q + CASE WHEN fw > 0 THEN n - fw + 1 ELSE 0 END
        + CASE WHEN fm > 0 THEN n - fm + 1 ELSE 0 END)::DOUBLE / (3.0 * (n + 1)), 9) AS score FROM sc"""
+    q["t15_question_marks"] = q["t15_question_score"].replace("c.text,", "(translate(c.text, '.', '?') || ' Or'),", 1).replace(
+        "trim(c.text,", "trim(translate(c.text, '.', '?') || ' Or',")
+    q["c10_clean_items"] = f"""
+WITH heads AS ({q["c4_title_h1"]}),
+items AS (SELECT p.page_id, split_part(p.url, '?', 1) AS doc_id, h.title, h.h1, regexp_replace(p.html, '<[^>]*>', chr(10), 'g') AS content
+          FROM pages p JOIN heads h USING (page_id) WHERE h.title <> ''),
+firsts AS (SELECT * FROM items WHERE content <> '' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY page_id) = 1),
+cleaned AS (SELECT doc_id, page_id, {sanitize('title')} AS title, {sanitize('h1')} AS heading, {clean_lines('content')} AS lines FROM firsts)
+SELECT doc_id, page_id, title, heading, array_to_string(lines, chr(10)) AS content FROM cleaned
+WHERE (length(title) > 0 OR length(heading) > 0) AND len(lines) > 0"""
+    said = (r"array_to_string(list_transform(list_filter(string_split({}, ' '), lambda x: x <> ''), "
+            r"lambda x: regexp_replace(x, '__[^_]*$', '')), ' ')")
+    phrase = (f"list_reduce([{said.format('p')}] || list_transform(regexp_extract_all(p, {lit(EN)}), lambda m: {said.format('m')}), "
+              f"lambda acc, e: replace(acc, e, {lit(G.ENTITY_PLACEHOLDER)}))")
+    joined = strip(f"array_to_string(list_filter(list_transform(pieces, lambda p, k: CASE WHEN k % 2 = 0 THEN {phrase} "
+                   f"ELSE {said.format('p')} END), lambda x: x <> ''), ' ')")
+    unbracketed = strip(f"regexp_replace({joined}, {lit(T.BRACKET_TAG_PATTERN)}, ' ', 'g')")
+    merged = strip(rf"regexp_replace({unbracketed}, '({G.ENTITY_PLACEHOLDER})(\s+{G.ENTITY_PLACEHOLDER})+', '\1', 'g')")
+    q["t12_sentence_template"] = f"""
+WITH {DOC_SENTS},
+tg AS (SELECT doc_id, line_no, sent_idx, {encode(tag_sentence('sentence'))} AS enc FROM doc_sents),
+cut AS (SELECT doc_id, line_no, sent_idx, string_split(regexp_replace(enc || ' ', {lit(NP)}, chr(1) || '\\0' || chr(1), 'g'), chr(1)) AS pieces FROM tg)
+SELECT doc_id, line_no, sent_idx, {let(merged, 'tv', "CASE WHEN tv = '' THEN NULL WHEN regexp_matches(tv, '[!;:.]$') THEN tv ELSE tv || '.' END")} AS template FROM cut"""
     q["k14_progress"] = """
 WITH e AS (
   SELECT event_type AS job, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n,
@@ -405,6 +428,10 @@ kinfo AS (SELECT s.heading_id, h.heading, min(s.sentence_id) AS first_sentence_i
           FROM ksentences s JOIN kheadings h USING (heading_id) GROUP BY s.heading_id, h.heading)"""
 
 
+#: Documents in two batches, even ids first, give the KB of that order.
+TWO_BATCHES = KB_CTE.replace("ORDER BY doc_id,", "ORDER BY doc_id % 2, doc_id,").replace("ORDER BY f.doc_id,", "ORDER BY f.doc_id % 2, f.doc_id,")
+
+
 def kb_queries() -> dict[str, str]:
     w = f"WITH {KB_CTE}"
     q = {}
@@ -448,6 +475,18 @@ grams AS (SELECT DISTINCT sentence_id, array_to_string(w[i:i + k - 1], ' ') AS e
           FROM ws, unnest(range(1, {maxw} + 1)) AS a(k), unnest(range(1, len(w) - k + 2)) AS b(i))
 SELECT sentence_id, entity FROM grams
 WHERE entity IN (SELECT entity FROM kentities WHERE len(string_split(entity, ' ')) = {maxw})"""
+    q["k3_upsert"] = f"""WITH {TWO_BATCHES}
+SELECT 'heading' AS kind, heading_id AS id, parent_id AS ref, array_to_string(hpath, ' > ') AS text FROM kheadings
+UNION ALL SELECT 'sentence', sentence_id, heading_id, sentence FROM ksentences
+UNION ALL SELECT 'entity', entity_id, 0, entity FROM kentities
+UNION ALL SELECT 'link', sentence_id, entity_id, '' FROM knorms
+UNION ALL SELECT 'frame', sentence_id, 0, frame FROM kframes
+UNION ALL SELECT 'first', heading_id, first_sentence_id, heading FROM kinfo
+UNION ALL SELECT 'last', heading_id, last_sentence_id, heading FROM kinfo"""
+    kb_tables = {"headings": "kheadings", "sentences": "ksentences", "entities": "kentities", "normalizations": "knorms",
+                 "frame_index": "kframes", "heading_info": "kinfo"}
+    q["s8_live_counts"] = f"WITH {TWO_BATCHES} " + " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, 2 AS number, count(*) AS n FROM {t}" for name, t in kb_tables.items())
     q["k12_ordered_entities"] = f"{w} SELECT row_number() OVER (ORDER BY entity) AS pos, entity_id, entity FROM kentities"
     q["k13_sentence_lookup"] = f"""{w},
 req AS (SELECT heading_id AS req, u.i - 1 AS pos, u.id AS sentence_id FROM kinfo,

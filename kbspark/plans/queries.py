@@ -77,6 +77,18 @@ def c4_title_h1(spark: SparkSession, sf: str) -> DataFrame:
     return P.title_and_h1(_pages(spark, sf))
 
 
+def c10_clean_items(spark: SparkSession, sf: str) -> DataFrame:
+    """C2, C8-C11 on items made natively: title and h1 by C4, each text
+    between tags a line of content; pages without a title go."""
+    pages = _pages(spark, sf)
+    lines = pages.select("page_id", "url", F.regexp_replace("html", "<[^>]*>", "\n").alias("content"))
+    items = lines.join(P.title_and_h1(pages), "page_id").select(
+        "page_id", "url", F.nullif("title", F.lit("")).alias("title"), F.lit(None).cast("array<string>").alias("hierarchy"),
+        F.col("h1").alias("heading"), "content")
+    return P.clean_items(items).select("doc_id", "page_id", "title", F.array_join("heading", " > ").alias("heading"),
+                                       F.array_join("content", "\n").alias("content"))
+
+
 def c12_product_key(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "pages", ["page_id", "url"]).select("page_id", T.product_key(F.col("url"), PRODUCT_PREFIX).alias("product"))
 
@@ -166,6 +178,16 @@ def t15_question_score(spark: SparkSession, sf: str) -> DataFrame:
                     F.round(G.question_score(toks, F.col("sentence")), 9).alias("score"))
 
 
+def t15_question_marks(spark: SparkSession, sf: str) -> DataFrame:
+    """T15 of the user turns with their full stops as question marks: the
+    driver's own questions have none inside."""
+    asked = _user_turns(spark, sf).withColumn("text", F.concat(F.translate("text", ".", "?"), F.lit(" Or")))
+    s = asked.select("conv_id", "turn", F.posexplode(
+        T.line_sentences(T.question_trim(F.col("text")))).alias("sent_idx", "sentence"))
+    toks = G.tag_sentence(F.col("sentence"))
+    return s.select("conv_id", "turn", "sent_idx", F.round(G.question_score(toks, F.col("sentence")), 9).alias("score"))
+
+
 # ----------------------------------------------------------------- K
 def k2_headings(spark: SparkSession, sf: str) -> DataFrame:
     kb = B.kb_from_documents(spark, sf)
@@ -241,6 +263,41 @@ def k11_sentence_count(spark: SparkSession, sf: str) -> DataFrame:
     return S.count_rows(B.kb_from_documents(spark, sf).sentences)
 
 
+def k3_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """K1-K7 as upserts: all rows of a KB that got the documents in two
+    batches, as (kind, id, ref, text)."""
+    from kbspark.operators.kb import stored
+    kb = stored(B.upserted_catalog(spark, sf).snapshot())
+    zero, none = F.lit(0).cast("long"), F.lit("")
+    parts = {
+        "heading": kb.headings.select("heading_id", F.coalesce("parent_id", zero), F.array_join("path", " > ")),
+        "sentence": kb.sentences.select("sentence_id", "heading_id", "sentence"),
+        "entity": kb.entities.select("entity_id", zero, "entity"),
+        "link": kb.normalizations.select("sentence_id", "entity_id", none),
+        "frame": kb.frame_index.select("sentence_id", zero, "frame"),
+        "first": kb.heading_info.select("heading_id", "first_sentence_id", "heading"),
+        "last": kb.heading_info.select("heading_id", "last_sentence_id", "heading"),
+    }
+    out = None
+    for kind, df in parts.items():
+        df = df.toDF("id", "ref", "text").select(F.lit(kind).alias("kind"), "id", "ref", "text")
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+def s8_live_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of each table of the live version, as a session sees them that
+    knows the catalog's folder alone; the first version stays readable."""
+    root = B.upserted_catalog(spark, sf).root
+    live = S.Catalog(spark.newSession(), root).snapshot()
+    names = ["headings", "sentences", "entities", "normalizations", "frame_index", "heading_info"]
+    out = None
+    for name in names:
+        df = S.count_rows(live.table(name)).select(F.lit(name).alias("table_name"), F.lit(live.number).alias("number"), "n")
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
 def k15_heading_info(spark: SparkSession, sf: str) -> DataFrame:
     return B.kb_from_documents(spark, sf).heading_info.select(
         "heading_id", "heading", "first_sentence_id", "last_sentence_id")
@@ -268,7 +325,7 @@ def d3_forced_entities(spark: SparkSession, sf: str) -> DataFrame:
     """D3 with the KB's entities of two words as the forced phrases."""
     kb = B.kb_from_documents(spark, sf)
     forced = kb.entities.where(F.size(F.split("entity", " ")) == FORCED_WORDS).select("entity")
-    return GR.forced_entities(kb.sentences, forced, FORCED_WORDS)
+    return GR.forced_entities(kb.sentences, forced)
 
 
 def g1_edges_touching_question_entities(spark: SparkSession, sf: str) -> DataFrame:
@@ -361,7 +418,8 @@ def st2_clean_page_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def st3_question_stream(spark: SparkSession, sf: str) -> DataFrame:
-    return ST.answer_question_stream(spark, sf, B.kb_from_documents(spark, sf))
+    B.kb_from_documents(spark, sf)  # published, if it was not
+    return ST.answer_question_stream(spark, sf, B.kb_catalog(spark, sf))
 
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -371,6 +429,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "c2_first_page_per_url": c2_first_page_per_url,
     "c3_out_links": c3_out_links,
     "c4_title_h1": c4_title_h1,
+    "c10_clean_items": c10_clean_items,
     "c12_product_key": c12_product_key,
     "c9_clean_lines": c9_clean_lines,
     "c6_docs_from_pages": c6_docs_from_pages,
@@ -382,6 +441,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "t10_part_name_ngrams": t10_part_name_ngrams,
     "t13_important_tokens": t13_important_tokens,
     "t15_question_score": t15_question_score,
+    "t15_question_marks": t15_question_marks,
     "t16_question_trim": t16_question_trim,
     "t17_alnum_length": t17_alnum_length,
     "e2_np_vp_segments": e2_np_vp_segments,
@@ -402,6 +462,8 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "k11_sentence_count": k11_sentence_count,
     "k14_progress": k14_progress,
     "k15_heading_info": k15_heading_info,
+    "k3_upsert": k3_upsert,
+    "s8_live_counts": s8_live_counts,
     "d1_acronym_expansion": d1_acronym_expansion,
     "d2_entity_stoplist": d2_entity_stoplist,
     "d3_forced_entities": d3_forced_entities,
