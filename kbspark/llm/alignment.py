@@ -38,7 +38,12 @@ from kbspark.llm import common as C
 from kbspark.llm import tokens
 from kbspark.llm.lm import packed, unpacked
 
-BATCH_BYTES = 8_000_000  # of text in a batch
+BATCH_BYTES = 3_000_000  # of text in a batch
+REMEMBERED = 400_000     # chunks of a worker
+TEXTS_AT_ONCE = 200      # of a batch, in the arrays that link them
+AT_ONCE = 8_000          # chunks analysed together
+BLOCK = 500              # chunks encoded in one text
+ONE = np.int64(1).tobytes()
 PIECE_BITS = 32          # a pair's code: A's id, then so many bits of B's
 BLANK = "▁"
 FENCE = "\n"
@@ -76,6 +81,7 @@ class Aligner:
     """Groups and links of texts by their chunks."""
 
     def __init__(self, path_a: str = tokens.BYTE_BPE, path_b: str = tokens.PIECE_BPE, memo: tokens.Memo | None = None):
+        tokens.single_threaded()
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
@@ -96,8 +102,8 @@ class Aligner:
         return [text] if self.whole else tokens.chunks(text)
 
     def spans(self, texts: list[str]) -> tuple:
-        """Ids, texts' token counts and exact byte ends (over the texts laid end
-        to end) by A and by B, and which texts both give back."""
+        """Ids and exact byte ends (over the texts laid end to end) by A and by
+        B, and which texts both give back."""
         sizes = np.array([len(t.encode()) for t in texts], np.int64)
         base = np.cumsum(sizes) - sizes
         joined = "".join(texts)
@@ -126,27 +132,45 @@ class Aligner:
                 at = np.concatenate([[0], np.cumsum(n)])
                 for k, t in enumerate(texts):
                     good[k] &= b"".join(map(table.__getitem__, ids[at[k]:at[k + 1]].tolist())) == t.encode()
-        return ids_a, n_a, end_a, ids_b, n_b, end_b, base + sizes, good
-
-    def analysed(self, texts: list[str]) -> list[tuple | None]:
-        """For each text (n_a, n_b, groups, links, digest text, pair codes,
-        times that each is linked); None if it is not given back."""
-        ids_a, n_a, end_a, ids_b, n_b, end_b, ends, good = self.spans(texts)
-        if not good.all():
-            rest = iter(self.analysed([t for t, x in zip(texts, good) if x]) if good.any() else [])
-            return [next(rest) if x else None for x in good]
-        cuts = np.intersect1d(end_a, end_b)
+        return ids_a, end_a, ids_b, end_b, good
+
+    def analysed(self, parts: list[str]) -> dict[str, tuple | None]:
+        """Of each chunk (n_a, n_b, groups, links, digest text, pair codes,
+        times that each is linked); None if it is not given back. Chunks that
+        begin with white space and do not end with it are encoded many in a
+        text, as all that stand in one are."""
+        free = [c for c in parts if not self.whole and c[0] in " \n\t" and not c[-1].isspace()]
+        blocks = [free[k:k + BLOCK] for k in range(0, len(free), BLOCK)]
+        alone = parts if self.whole else set(parts).difference(free)
+        out: dict[str, tuple | None] = {}
+        while blocks or alone:
+            blocks, alone = blocks + [[c] for c in alone], []
+            found = self.spans(["".join(b) for b in blocks])
+            good = found[-1]
+            if good.all():
+                return out | self.groups([c for b in blocks for c in b], *found[:-1])
+            out.update((b[0], None) for b, x in zip(blocks, good) if len(b) == 1 and not x)
+            alone = [c for b, x in zip(blocks, good) if len(b) > 1 and not x for c in b]
+            blocks = [b for b, x in zip(blocks, good) if x]
+        return out
+
+    def groups(self, parts: list[str], ids_a: np.ndarray, end_a: np.ndarray, ids_b: np.ndarray, end_b: np.ndarray) -> dict[str, tuple]:
+        """From the tokens of chunks laid end to end."""
+        ends = np.cumsum([len(c.encode()) for c in parts])
+        n_a = np.bincount(np.searchsorted(ends, end_a), minlength=len(parts))
+        n_b = np.bincount(np.searchsorted(ends, end_b), minlength=len(parts))
+        cuts = np.intersect1d(end_a, end_b, assume_unique=True)
         group_a, group_b = np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)
         in_a, in_b = np.bincount(group_a, minlength=len(cuts)), np.bincount(group_b, minlength=len(cuts))
         text_of = np.searchsorted(ends, cuts)
-        n_groups = np.bincount(text_of, minlength=len(texts))
-        n_links = np.bincount(text_of, in_a * in_b, minlength=len(texts)).astype(np.int64)
+        n_groups = np.bincount(text_of, minlength=len(parts))
+        n_links = np.bincount(text_of, in_a * in_b, minlength=len(parts)).astype(np.int64)
         # digest: A's ids of a group, then B's, each with the sign behind it
         before_a, before_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
         out = np.empty(len(ids_a) + len(ids_b), object)
         last_a, last_b = np.append(group_a[1:] != group_a[:-1], True), np.append(group_b[1:] != group_b[:-1], True)
         out[np.arange(len(ids_a)) + before_b[group_a]] = np.where(last_a, self.said["|"][ids_a], self.said[","][ids_a])
-        ending = last_b & np.isin(end_b, ends)
+        ending = last_b & (ends[np.searchsorted(ends, end_b)] == end_b)
         out[np.arange(len(ids_b)) + (before_a + in_a)[group_b]] = np.where(
             ending, self.said["\n"][ids_b], np.where(last_b, self.said[";"][ids_b], self.said[","][ids_b]))
         digest = "".join(out.tolist()).split("\n")
@@ -160,9 +184,10 @@ class Aligner:
         right = np.arange(len(left)) - np.repeat(np.cumsum(many) - many, many) + (np.cumsum(own_b) - own_b)[key_a[left] // wide]
         code = (key_a[left] % wide) * wide + key_b[right] % wide
         times = times_a[left] * times_b[right]
-        at = np.concatenate([[0], np.cumsum(np.bincount(text_of[key_a[left] // wide], minlength=len(texts)))]).tolist()
-        return [(*x, code[i:j].tobytes(), times[i:j].tobytes())
-                for *x, i, j in zip(n_a.tolist(), n_b.tolist(), n_groups.tolist(), n_links.tolist(), digest, at, at[1:])]
+        at = np.concatenate([[0], np.cumsum(np.bincount(text_of[key_a[left] // wide], minlength=len(parts)))]).tolist()
+        raw, one = code.tobytes(), (np.add.reduceat(times != 1, at[:-1]) == 0).tolist()  # every chunk has links
+        return {c: (*x, raw[8 * i:8 * j], b"" if plain else times[i:j].tobytes())
+                for c, plain, *x, i, j in zip(parts, one, n_a.tolist(), n_b.tolist(), n_groups.tolist(), n_links.tolist(), digest, at, at[1:])}
 
     def __call__(self, texts: list[str | None]) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each text (n_a, n_b, groups, links, digest); the distinct pairs of
@@ -171,9 +196,8 @@ class Aligner:
         need = set().union(*cut)
         new = self.memo.missing(need)
         known = self.memo.young
-        for k in range(0, len(new), tokens.AT_ONCE):
-            part = new[k:k + tokens.AT_ONCE]
-            known.update(zip(part, self.analysed(part)))
+        for k in range(0, len(new), AT_ONCE):
+            known.update(self.analysed(new[k:k + AT_ONCE]))
         number = {c: k for k, c in enumerate(need)}
         found = [known[c] for c in number]
         bad = {c for c, x in zip(number, found) if x is None}
@@ -181,25 +205,29 @@ class Aligner:
         none = (0, 0, 0, 0, "", b"", b"")
         cols = list(zip(*[x or none for x in found])) or [[]] * 7
         said, plain = cols[4], np.array(cols[:4], np.int64).reshape(4, -1)
-        code, times = (np.frombuffer(b"".join(c), np.int64) for c in cols[5:])
+        code = np.frombuffer(b"".join(cols[5]), np.int64)
+        times = np.frombuffer(b"".join(t or ONE * (len(c) // 8) for c, t in zip(*cols[5:])), np.int64)
         many = np.array([len(x) // 8 for x in cols[5]], np.int64)
         pairs, place = np.unique(code, return_inverse=True)
-        heads = []
-        idx = [np.fromiter(map(number.__getitem__, c), np.int64, len(c)) for c in cut]
-        for x in idx:
-            text = ";".join(map(said.__getitem__, x.tolist()))
-            heads.append((*plain[:, x].sum(axis=1).tolist(), text))
-        flat = np.concatenate(idx) if idx else np.zeros(0, np.int64)
-        doc = np.repeat(np.arange(len(idx)), [len(x) for x in idx])
-        width = np.int64(max(1, len(number)))
-        held, n = np.unique(doc * width + flat, return_counts=True)  # chunks of each text
-        chunk = held % width
-        row = np.repeat(np.arange(len(held)), many[chunk])
-        src = np.arange(len(row)) + np.repeat((np.cumsum(many) - many)[chunk] - np.cumsum(many[chunk]) + many[chunk], many[chunk])
-        wide = np.int64(max(1, len(pairs)))
-        key, inverse = np.unique((held // width)[row] * wide + place[src], return_inverse=True)
-        links = np.bincount(inverse, n[row] * times[src], minlength=len(key)).astype(np.int64)
-        return heads, pairs, key // wide, key % wide, links
+        first = np.cumsum(many) - many
+        heads, out = [], []
+        for k in range(0, len(cut), TEXTS_AT_ONCE):
+            idx = [np.fromiter(map(number.__getitem__, c), np.int64, len(c)) for c in cut[k:k + TEXTS_AT_ONCE]]
+            heads += [(*plain[:, x].sum(axis=1).tolist(), ";".join(map(said.__getitem__, x.tolist()))) for x in idx]
+            doc = np.repeat(np.arange(k, k + len(idx)), [len(x) for x in idx])
+            width = np.int64(max(1, len(number)))
+            held, n = np.unique(doc * width + np.concatenate(idx), return_counts=True)  # chunks of each text
+            chunk = held % width
+            row = np.repeat(np.arange(len(held)), many[chunk])
+            src = np.arange(len(row)) + np.repeat(first[chunk] - np.cumsum(many[chunk]) + many[chunk], many[chunk])
+            wide = np.int64(max(1, len(pairs)))
+            key = (held // width)[row] * wide + place[src]
+            order = np.argsort(key)
+            key, value = key[order], (n[row] * times[src])[order]
+            at = np.flatnonzero(np.diff(key, prepend=-1))
+            out.append((key[at] // wide, key[at] % wide, np.add.reduceat(value, at) if len(at) else value))
+        doc, at, links = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+        return heads, pairs, doc, at, links
 
 
 # ---- Spark jobs -----------------------------------------------------------
@@ -208,12 +236,13 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """PARTS rows of doc_id and text: a row for each document, whose pairs are
     places in its batch's list, and one row for each batch with that list and
     in how many of its documents each pair is."""
-    memo = docs.sparkSession.sparkContext.broadcast(tokens.Memo())
+    kept = docs.sparkSession.sparkContext.broadcast({})
     names = [x.split()[0] for x in PARTS.split(",")]
     kinds = [pa.int64()] * 6 + [pa.string(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        align, task = Aligner(path_a, path_b, memo.value), TaskContext.get().partitionId()
+        align = tokens.one_of_worker(kept, lambda: Aligner(path_a, path_b, tokens.Memo(REMEMBERED)))
+        task = TaskContext.get().partitionId()
         for k, (ids, texts) in enumerate(C.text_batches(batches, BATCH_BYTES)):
             heads, pairs, doc, at, links = align(texts)
             batch = (task << 32) + k

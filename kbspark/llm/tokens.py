@@ -19,11 +19,14 @@ other chunks go to the tokenizer.
 from __future__ import annotations
 
 import base64
+import os
 import re
+from collections.abc import Callable
 
 import numpy as np
 import public_tokenizers
 import tiktoken
+from pyspark import Broadcast
 from tokenizers import Tokenizer
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -50,15 +53,11 @@ def chunks(text: str) -> list[str]:
 
 class Memo:
     """Values of chunks: when the young half is full, it becomes the old one
-    and what is used again moves over. Sent to another process it is empty, so
-    that a broadcast one serves all tasks of a worker."""
+    and what is used again moves over."""
 
     def __init__(self, most: int = REMEMBERED):
         self.half, self.young, self.old = max(1, most // 2), {}, {}
 
-    def __reduce__(self):
-        return Memo, (2 * self.half,)
-
     def missing(self, need: set[str]) -> list[str]:
         """What has to be put in; everything else of ``need`` is young now."""
         if len(self.young) >= self.half:
@@ -69,6 +68,19 @@ class Memo:
         return list(new.difference(self.young))
 
 
+def one_of_worker(kept: Broadcast, make: Callable[[], object]):
+    """What ``make`` gives, made once in a worker: ``kept`` is a broadcast
+    empty dictionary, which the tasks of a worker share."""
+    if not kept.value:
+        kept.value["it"] = make()
+    return kept.value["it"]
+
+
+def single_threaded() -> None:
+    """A task has one core; the tokenizers library would use all."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
+
 def rank_encoding(path: str) -> tiktoken.Encoding:
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -79,6 +91,7 @@ class IdBytes:
     """Ids as little-endian unsigned 32-bit numbers."""
 
     def __init__(self, path: str = BYTE_BPE, rank_file: str | None = RANK_FILE, memo: Memo | None = None):
+        single_threaded()
         self.tokenizer = Tokenizer.from_file(path)
         self.ranks = rank_encoding(rank_file) if rank_file else None
         self.memo = memo or Memo()
