@@ -3,8 +3,9 @@
 Documents are pieces of at most ``SEQUENCE`` tokens; a pattern is one, two or
 three lengths that fill a sequence to the last token. Repeat counts of all
 patterns over the lengths that occur are fitted to the histogram of lengths by
-non-negative least squares, rounded, and clipped to the pieces there are. What
-the patterns leave over is packed by best fit, longest first, on the histogram
+non-negative least squares, rounded, and clipped to the pieces there are; a
+little less than the fit may leave a better mix, so some shares of it are
+tried. What the patterns leave over is packed by best fit, longest first, on the histogram
 (bins of equal contents are one entry with a count), so the fit costs the same
 at every corpus size. Each length's pieces are then numbered and take their
 places in the plan by that number, wherever they lie.
@@ -34,6 +35,7 @@ CLOSING = b"\0\0\0\0"   # id 0 behind every document
 PARTS = 512             # hash parts that a length's pieces are numbered in
 ROUNDS = 300            # of the least-squares descent at most
 GAIN = 1e-5             # it ends when a round's share of the error is below
+SHARES = (1.0, 0.99, 0.95, 0.85, 0.7)  # of the fitted counts: the one that needs fewest sequences is taken
 BATCH_BYTES = 4_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, _task int, _place long"
@@ -149,8 +151,15 @@ def plan(hist: np.ndarray) -> list[tuple[int, list[tuple[int, int]]]]:
     left = hist.astype(np.int64).copy()
     left[0] = 0
     rows = patterns(np.flatnonzero(left), len(hist) - 1)
-    done = rounded(rows, fitted(rows, left), left) if len(rows) else []
-    return done + best_fit(left)
+    if not len(rows):
+        return best_fit(left)
+    x, best = fitted(rows, left), None
+    for share in SHARES:
+        rest = left.copy()
+        made = rounded(rows, share * x, rest) + best_fit(rest)
+        if best is None or sum(n for n, _ in made) < sum(n for n, _ in best):
+            best = made
+    return best
 
 
 def places(made: list[tuple[int, list[tuple[int, int]]]]) -> np.ndarray:
@@ -174,8 +183,11 @@ def pieces(docs: DataFrame, tokenizer: str = tokens.BYTE_BPE, full: int = SEQUEN
     """PIECES rows of doc_id and text: only documents longer than a sequence
     are cut, the first piece takes what full ones leave."""
 
+    kept = docs.sparkSession.sparkContext.broadcast({})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task, place = tokens.IdBytes(tokenizer), TaskContext.get().partitionId(), 0
+        encode = tokens.one_of_worker(kept, lambda: tokens.IdBytes(tokenizer))
+        task, place = TaskContext.get().partitionId(), 0
         for ids, texts in C.text_batches(batches, BATCH_BYTES):
             rows = []
             for i, raw in zip(ids, encode([t or "" for t in texts])):

@@ -225,8 +225,6 @@ def search(batches: Iterator[pa.RecordBatch], items: list[Item], least: np.ndarr
 
 def ranked(docs: DataFrame, rows: list[tuple[int | None, list[bytes]]]) -> DataFrame:
     """RESULT rows of one block of items."""
-    spark = docs.sparkSession
-    sc = spark.sparkContext
     number = {t: k for k, t in enumerate(sorted({t for _, terms in rows for t in terms}))}
     found = C.written(scanned(docs, number), "search-terms", compression="zstd")
     told = found.where("docs is not null")
@@ -239,10 +237,10 @@ def ranked(docs: DataFrame, rows: list[tuple[int | None, list[bytes]]]) -> DataF
         weight[r["term"]] = term_weight(n_docs, r["df"])
     items = [Item(Counter(number[t] for t in terms), weight) for _, terms in rows]
     vecs = C.written(vectors(found.where("terms is not null"), weight, n_docs, n_tokens), "search-vectors", compression="zstd")
-    shared = sc.broadcast((items, weight.astype(float), [i for i, _ in rows]))
+    ids, weights = [i for i, _ in rows], weight.astype(float)  # they go along with the functions that use them
 
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = seeds(batches, shared.value[0])
+        got = seeds(batches, items)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(got)), [len(x) for x in got]), pa.int32()),
                                           pa.array(np.concatenate(got), pa.int64())], names=["item", "score"])
 
@@ -254,8 +252,7 @@ def ranked(docs: DataFrame, rows: list[tuple[int | None, list[bytes]]]) -> DataF
         least[r["item"]] = r["score"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, weight, ids = shared.value
-        best, _ = search(batches, items, least, weight)
+        best, _ = search(batches, items, least, weights)
         out = [(q, ids[q], d, s) for q, x in enumerate(best) for s, d in x]
         cols = list(zip(*out)) or [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int32(), pa.int64(), pa.int64(), pa.int64()])],
