@@ -31,10 +31,10 @@ TRAIN_DOCS = 400      # bound of the labelled sample, per language
 ROUNDS = 4            # of expectation-maximisation
 SMOOTHING = 0.01      # added to each expected piece count
 LOG_UNKNOWN = math.log(1e-7)  # of a character outside the vocabulary
-LONGEST = 32          # letters of a run that are segmented together
+RESCALED = 24         # letters after which the sums of a run are scaled anew
 CACHE = 300_000       # tokens whose likelihood a task remembers
 GROUP = 256           # documents looked up together
-SCALE = 1e3           # of a character's likelihood: 1e-9 to 1e3 each, 33 at most
+SCALE = 1e3           # of a character's likelihood: 1e-9 to 1e3 each, so RESCALED of them stay in range
 CHAR_BITS = 21       # of a code point
 MARK = "▁"       # begins a word in the vocabulary
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -50,14 +50,9 @@ def load_pieces(path: str = VOCABULARY) -> list[str]:
 
 
 def runs(token: str) -> list[str]:
-    """Letter runs of a token, marked as words; long ones in parts."""
+    """Letter runs of a token, marked as words."""
     token = token.lower()
-    if token.isalpha() and len(token) <= LONGEST:
-        return [MARK + token]
-    out = []
-    for run in LETTERS.findall(token):
-        out += [MARK * (k == 0) + run[k:k + LONGEST] for k in range(0, len(run), LONGEST)]
-    return out
+    return [MARK + token] if token.isalpha() else [MARK + run for run in LETTERS.findall(token)]
 
 
 class Lattice:
@@ -119,7 +114,8 @@ class Lattice:
 
     def likelihoods(self, words: list[str], logp: np.ndarray) -> np.ndarray:
         """Log likelihoods of words. Sums run in plain numbers: SCALE for each
-        character keeps those of a run of LONGEST within range."""
+        character keeps them in range, and every RESCALED characters what is
+        summed so far is divided by the sum there, whose logarithm is kept."""
         p = np.exp(logp) * SCALE ** self.length[:, None].astype(float)
         out = np.zeros((len(words), logp.shape[1]))
         for at in by_length(words):
@@ -127,12 +123,17 @@ class Lattice:
             k, n, depth = ids.shape
             alpha = np.zeros((n + 1, k, logp.shape[1]))
             alpha[0] = 1
+            kept = np.zeros((k, logp.shape[1]))
             for i in range(n):
+                if i and i % RESCALED == 0:  # sums from before reach depth - 1 positions on
+                    here = alpha[i].copy()
+                    alpha[i:i + depth] /= here
+                    kept += np.log(here)
                 for m in range(1, min(depth, n - i) + 1):
                     on = np.flatnonzero(ids[:, i, m - 1] != -1)
                     if len(on):
                         alpha[i + m, on] += alpha[i, on] * p[ids[on, i, m - 1]]
-            out[at] = np.log(alpha[n]) - n * math.log(SCALE)
+            out[at] = np.log(alpha[n]) + kept - n * math.log(SCALE)
         return out
 
     def expected(self, words: list[str], weight: np.ndarray, logp: np.ndarray, total: np.ndarray) -> None:
