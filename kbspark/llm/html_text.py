@@ -1,9 +1,12 @@
 """8. HTML main text by composite text density.
 
 Every element gets its characters per tag, adjusted for link text; the element
-with the largest sum of its children's densities is found, the smallest
-density on its path up to the body is the threshold, and the densest subtree
-above the threshold is the article. Elements that are boilerplate by their tag,
+with the largest sum of its children's densities is found, and the smallest
+density on its path up to the body is the threshold. On that path an ancestor
+with more than one child above the threshold is taken whole; of one without,
+the other children that are mostly unlinked text blocks (a headline, a lead, a
+second article) join in. An article or main tag only speaks for an ancestor.
+Elements that are boilerplate by their tag,
 role or class take no part; a role or class that would take most of the page's
 text marks a wrapper, not boilerplate, and its elements stay.
 
@@ -17,6 +20,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,9 +29,11 @@ from pyspark.sql import functions as F
 
 from kbspark.llm import common as C
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+#: Quotes delimit a value behind an equals sign only; no part is tried twice.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>|<[!?][^>]*+>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+UNREAD = re.compile(r"</(script|style|title|textarea|iframe|noscript)\s*>", re.I)  # what ends them is found by text alone
 RAW = frozenset("script style noscript template textarea title iframe svg math select option button".split())
 SECTIONS = frozenset("nav header footer aside dialog menu".split())  # looked at if no text is left without them
 CONTROLS = frozenset(["label", "legend"])
@@ -51,8 +57,10 @@ MARKS = frozenset(
 #: Of those, words of elements that stand beside an article however long they are.
 BESIDE = frozenset("comment comments commentlist consent cookie cookies disqus gdpr modal newsletter popup reply replies respond subscribe "
                    "disclaimer".split())
+#: A piece of text by its tag, which a lone line in a div is not.
+TEXT_BLOCKS = frozenset("article blockquote dl figure h1 h2 h3 h4 h5 h6 main ol p pre section table ul".split())
 WITHOUT = frozenset("has no with without".split())  # class='has-sidebar' marks no sidebar
-ARTICLE_CHARS = 200  # of an article or main element that stands beside all marked ones
+ARTICLE_CHARS = 200  # of an article or main element that stands beside all marked ones, or of marked ones that may be wrappers
 PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 SPACE = re.compile(r"[ \t\n\x0b\x0c\r]+")
 
@@ -96,60 +104,98 @@ def marks_of(tag: str, attributes: str) -> frozenset[str]:
     return out
 
 
+class Open:
+    """The place in the tree, and how many elements of a tag are open, so that
+    no end tag walks up for what is not there: in all, since the innermost
+    boilerplate element (an inline end tag does not reach out of one), and, of
+    paragraphs, since the innermost element that a start tag looks up to."""
+
+    FENCES = frozenset("article body div section td li".split())
+
+    def __init__(self, root: Node):
+        self.at = root
+        self.all: Counter = Counter()
+        self.inner: list[Counter] = [Counter()]
+        self.paragraphs = [0]
+
+    def push(self, node: Node) -> None:
+        self.at = node
+        self.all[node.tag] += 1
+        if node.marks:
+            self.inner.append(Counter())
+        self.inner[-1][node.tag] += 1
+        if node.marks or node.tag in self.FENCES:
+            self.paragraphs.append(0)
+        self.paragraphs[-1] += node.tag == "p"
+
+    def pop(self) -> None:
+        node, self.at = self.at, self.at.up
+        self.all[node.tag] -= 1
+        self.inner[-1][node.tag] -= 1
+        if node.marks:
+            self.inner.pop()
+        self.paragraphs[-1] -= node.tag == "p"
+        if node.marks or node.tag in self.FENCES:
+            self.paragraphs.pop()
+
+    def close(self, tag: str) -> bool:
+        """Ends the innermost open element of a tag and all inside."""
+        if not (self.all if tag in BLOCK else self.inner[-1])[tag]:
+            return False
+        while self.at.tag != tag:
+            self.pop()
+        self.pop()
+        return True
+
+
 def parse(page: str) -> Node:
     """The tree of the page without boilerplate elements."""
     root = Node("#root", None)
-    at, here, n, marked = root, 0, len(page), False
+    open_, here, n, marked = Open(root), 0, len(page), False
+    last = page.rfind(">")
     while here < n:
-        m = TOKEN.search(page, here)
+        m = TOKEN.search(page, here) if here <= last else None
         if not m:
-            at.items.append(page[here:])
+            comment = page.find("<!--", here)  # one that does not end
+            open_.at.items.append(page[here:] if comment < 0 else page[here:comment])
             break
         if m.start() > here:
-            at.items.append(page[here:m.start()])
+            open_.at.items.append(page[here:m.start()])
         here = m.end()
         tag = (m[2] or "").lower()
         if not tag:
             continue
         if m[1]:
-            node = at
-            while node is not None and node.tag != tag:
-                # an inline end tag does not reach out of a boilerplate element
-                node = None if node.marks and tag not in BLOCK else node.up
-            if node is not None and node.up is not None:
-                at = node.up
-            elif tag == "p":
-                at.items.append(Node("p", at))
+            if not open_.close(tag) and tag == "p":
+                open_.at.items.append(Node("p", open_.at))
+            continue
+        if tag in ("script", "style", "title", "textarea", "iframe", "noscript"):
+            end = next((x for x in UNREAD.finditer(page, here) if x[1].lower() == tag), None)
+            here = end.end() if end else n
+            open_.at.items.append(Node(tag, open_.at))  # a break between blocks
             continue
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, here)
-            if tag in ("script", "style", "title", "textarea", "iframe", "noscript"):
-                here = end.end() if end else n
-                at.items.append(Node(tag, at))  # a break between blocks
-                continue
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
-            at.items.append(Node(tag, at))
+            open_.at.items.append(Node(tag, open_.at))
             continue
-        if tag in P_ENDS:
-            node = at
-            while node is not None and not node.marks and node.tag not in ("p", "article", "body", "div", "section", "td", "li"):
-                node = node.up
-            if node is not None and node.tag == "p":
-                at = node.up
+        if tag in P_ENDS and open_.paragraphs[-1]:
+            while open_.at.tag != "p":
+                open_.pop()
+            open_.pop()
         if tag in CLOSING:
-            node = at
+            node = open_.at
             while node.up is not None and node.tag not in BLOCK:
                 node = node.up
             if node.tag in ENDS and tag in ENDS[node.tag]:
-                at = node
-        while at.tag in ENDS and tag in ENDS[at.tag]:
-            at = at.up
-        if tag in ("article", "main") and (at.marks is GONE or at.marks is SECTION):
-            at = at.up  # never closed
+                while open_.at is not node:
+                    open_.pop()
+        while open_.at.tag in ENDS and tag in ENDS[open_.at.tag]:
+            open_.pop()
+        if tag in ("article", "main") and (open_.at.marks is GONE or open_.at.marks is SECTION):
+            open_.pop()  # never closed
         marks = marks_of(tag, m[3])
         marked = marked or bool(marks)
-        at.items.append(node := Node(tag, at, marks))
-        at = node
+        open_.at.items.append(node := Node(tag, open_.at, marks))
+        open_.push(node)
     if marked:
         prune(root)
     return root
@@ -204,7 +250,7 @@ def prune(root: Node) -> None:
         left = root.link_chars - sum(x.link_chars for x in marked)
         plain = [x for x in marked if x.marks is not SECTION and x.chars]
         doubted = [x for x in plain if not x.marks & BESIDE]
-        if sum(x.chars for x in doubted) <= left:
+        if (most := sum(x.chars for x in doubted)) <= left or left and most < ARTICLE_CHARS:
             doubted = plain if sum(x.chars for x in plain) > 20 * left else [] if left else marked
         if whole or not doubted:
             break
@@ -267,37 +313,49 @@ def weigh(nodes: list[Node]) -> None:
         node.total = sum(x.density for x in node.items if type(x) is Node)
 
 
-def article(root: Node) -> Node:
-    """The subtree that holds the main text."""
+def article(root: Node) -> list[Node]:
+    """The subtrees that hold the main text, in page order: the one of the
+    largest sum, and going up from it to the body either the whole ancestor or
+    those of its other children that are text as well."""
     nodes = in_order(root)
     weigh(nodes)
+    textual: set[int] = set()  # nodes with a text block inside
+    for node in reversed(nodes):
+        if node.tag in TEXT_BLOCKS or any(type(x) is Node and id(x) in textual for x in node.items):
+            textual.add(id(node))
     body = next((x for x in nodes if x.tag == "body"), root)
     top = max(in_order(body), key=lambda x: x.total)
     if not top.total:
-        return body
+        return [body]
     limit, node = top.density, top
     while node is not body and node.up is not None:
         limit = min(limit, node.density)
         node = node.up
     limit = min(limit, body.density)
-    best, node = top, top
+    def children(node: Node) -> tuple[list[Node], list[bool]]:
+        """With text inside, and which of them are text by the threshold or by
+        their blocks."""
+        inner = [x for x in node.items if type(x) is Node and x.chars]
+        return inner, [x.density >= limit or 2 * x.link_chars < x.chars and id(x) in textual for x in inner]
+
+    parts, node = [top], top
     while node is not body and node.up is not None:
-        node = node.up
+        child, node = node, node.up
+        inner, text = children(node)
         # an ancestor takes over if text stands there beside the densest child:
-        # it reaches the threshold and more than one of its children does
-        dense = [x for x in node.items if type(x) is Node and x.chars and x.density >= limit]
-        if len(dense) > 1 and node.density >= limit or any(type(x) is str and x.strip() for x in node.items):
-            best = node
-    for marked in nodes:  # an explicit article around or inside the choice is its natural bound
-        if marked.tag in ("article", "main") and 2 * marked.chars >= best.chars and (_inside(best, marked) or _inside(marked, best)):
-            return marked
-    return best
-
-
-def _inside(node: Node | None, outer: Node) -> bool:
-    while node is not None and node is not outer:
-        node = node.up
-    return node is outer
+        # more than one of its children reaches the threshold, or it is an article
+        if (node.tag in ("article", "main") or sum(x.density >= limit for x in inner) > 1
+                or any(type(x) is str and x.strip() for x in node.items)):
+            parts = [node]
+        else:
+            at = inner.index(child)
+            parts = ([x for x, t in zip(inner[:at], text) if t and 2 * x.link_chars < x.chars] + parts
+                     + [x for x, t in zip(inner[at + 1:], text[at + 1:]) if t and 2 * x.link_chars < x.chars])
+    if parts == [body] and not any(type(x) is str and x.strip() for x in body.items):
+        inner, text = children(body)  # lone lines in front of all text and behind are none of it
+        if any(text):
+            parts = inner[text.index(True):len(text) - text[::-1].index(True)]
+    return parts
 
 
 def blocks(node: Node) -> Iterator[str]:
@@ -325,7 +383,7 @@ def blocks(node: Node) -> Iterator[str]:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    found = (SPACE.sub(" ", entities.unescape(b)).strip(" ") for b in blocks(article(parse(page))))
+    found = (SPACE.sub(" ", entities.unescape(b)).strip(" ") for part in article(parse(page)) for b in blocks(part))
     return " ".join(b for b in found if b)
 
 
