@@ -473,10 +473,10 @@ def test_planted_variants_are_found_however_common(spark, common):
     assert sum(a < wrong[i][1] and wrong[i][0] < b for i, a, b in spans) <= 0.01 * len(rows)
 
 
-def test_few_labels_leave_certain_candidates(spark):
+def test_trees_decide_where_the_corpus_has_few_labels(spark):
     docs = documents(spark, [(1, "mail ann [at] host [dot] com"), (2, "call 1 (988) 555-2485 now"), (3, "invoice 1 (988) 555-2485"), (4, "in 12 34")])
     model, limits = pii.train(docs)
-    assert model is None
+    assert max(limits) <= 1
     got = {r.doc_id: r.spans for r in pii.detect(docs, model, limits).collect()}
     assert got == {1: "email:5:28", 2: "phone:5:21", 3: "", 4: ""}
 
@@ -484,10 +484,9 @@ def test_few_labels_leave_certain_candidates(spark):
 def test_pii_odd_rows_and_redaction(spark):
     docs = documents(spark, [*ODD, (20, "mail a.b@c.de or +1 (988) 555-2485 now")]).withColumn("spans", F.lit("mine"))
     model, limits = pii.train(docs)
-    assert model is None
     assert pii.detect(docs, model, limits).count() == len(ODD) + 1
     out = pii.redact(docs)
     assert out.columns == docs.columns
     text = {r.doc_id: r.text for r in out.collect()}
     assert text[20] == "mail [EMAIL] or [PHONE] now" and text[1] is None and text[4] == "one"
-    assert pii.detect(docs.limit(0), None, limits).count() == 0
+    assert pii.detect(docs.limit(0), model, limits).count() == 0
