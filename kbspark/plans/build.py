@@ -3,11 +3,12 @@
 Nothing is remembered in the session: the KB is a published version in a
 catalog under the shared checkpoint folder, and shared intermediates are
 written tables beside it. Both are found again, by any session, as long as the
-files they were made from stay as they are.
+files they were made from and the code stay as they are.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 import uuid
@@ -23,20 +24,30 @@ from kbspark.session import scratch_table_dir
 from kbspark.sources import tables as S
 from kbspark.sources.tables import read_table
 
-#: Goes up when a stored table would come out differently.
-LAYOUT = 1
+
+@functools.cache
+def _made_by() -> str:
+    """Digest of the code that stored tables are made by."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    told = hashlib.sha256()
+    for part in ("functions", "operators", "plans", "sources"):
+        for name in sorted(os.listdir(os.path.join(root, part))):
+            if name.endswith(".py"):
+                with open(os.path.join(root, part, name), "rb") as f:
+                    told.update(f.read())
+    return told.hexdigest()
 
 
 def _key(spark: SparkSession, sf_dir: str, what: str, *tables: str) -> str:
-    """Names what is made from the tables of a folder, by the folder and the
-    state of their files, so that a changed table is read anew."""
+    """Names what is made from the tables of a folder, by the folder, the
+    state of their files and the code, so that after a change it is made anew."""
     states = []
     for name in tables:
         files = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")).select("_metadata.*")
         at = F.struct("file_modification_time", "file_path", "file_size")
         row = files.agg(F.count(F.lit(1)).alias("n"), F.max(at).cast("string").alias("last")).first()
         states.append((name, row["n"], row["last"]))
-    told = hashlib.sha256(repr((LAYOUT, sf_dir, *states)).encode()).hexdigest()[:24]
+    told = hashlib.sha256(repr((_made_by(), sf_dir, *states)).encode()).hexdigest()[:24]
     return f"{what}-{told}"
 
 

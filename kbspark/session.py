@@ -15,7 +15,7 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "kbspark") -> SparkSession:
+                app_name: str = "kbspark", checkpoint_dir: str | None = None) -> SparkSession:
     """Local session for tests and the bench; a cluster session is reused as is."""
     active = SparkSession.getActiveSession()
     if active is not None:
@@ -35,6 +35,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("KB_DRIVER_MEMORY", "16g"))
     )
+    if checkpoint_dir:
+        builder = builder.config(CHECKPOINT_CONF, checkpoint_dir)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
