@@ -8,12 +8,12 @@ such a place (checked when it is loaded). So the ids of a text are those of
 its chunks in order, and every distinct chunk is encoded once while it is
 remembered; nothing is cut from any text.
 
-``RANK_FILE`` names a tiktoken file of the same vocabulary. Chunks of Latin
-characters are then encoded by their ranks: each merge of the tokenizer is the
+``RANK_FILE`` names a tiktoken file of the same vocabulary. Texts of Latin
+characters are encoded whole by its ranks: each merge of the tokenizer is the
 one that merging its bytes by ranks ends with (a test goes through them all),
-so both give the same ids; the character classes of the two libraries could
-differ elsewhere, and special tokens exist in the tokenizer alone, so all
-other chunks go to the tokenizer.
+so both give the same ids, three times as fast. The character classes of the
+two libraries could differ elsewhere, and special tokens exist in the tokenizer
+alone, so of all other texts the chunks that hold such go to the tokenizer.
 """
 
 from __future__ import annotations
@@ -97,12 +97,19 @@ class IdBytes:
         self.memo = memo or Memo()
 
     def ids(self, new: list[str]) -> list[list[int]]:
-        latin = [self.ranks is not None and SPECIAL not in c and LATIN.fullmatch(c) is not None for c in new]
+        latin = [self.plain(c) for c in new]
         rest = self.tokenizer.encode_batch_fast([c for c, x in zip(new, latin) if not x], add_special_tokens=False)
         rest = iter(rest)
         return [self.ranks.encode_ordinary(c) if x else next(rest).ids for c, x in zip(new, latin)]
 
+    def plain(self, text: str) -> bool:
+        return self.ranks is not None and SPECIAL not in text and LATIN.fullmatch(text) is not None
+
     def __call__(self, texts: list[str]) -> list[bytes]:
+        rest = iter(self.by_chunks([t for t in texts if not self.plain(t)]))
+        return [self.ranks.encode_to_numpy(t).astype("<u4").tobytes() if self.plain(t) else next(rest) for t in texts]
+
+    def by_chunks(self, texts: list[str]) -> list[bytes]:
         cut = [chunks(t) for t in texts]
         new = self.memo.missing(set().union(*cut))
         known = self.memo.young
