@@ -175,6 +175,21 @@ def sentence_entities(toks: Column, noun_lemmas: Column | None = None) -> Column
     return F.array_sort(F.array_distinct(F.filter(F.flatten(per_span), lambda e: e != "")))
 
 
+def entities_with_table(df: DataFrame, toks_col: str, lemmas: DataFrame) -> DataFrame:
+    """E3 with a lemma table (form, pos, lemma) of any size: distinct (row_id,
+    entity). The distinct phrases of the input are normalised once, with one
+    join to the noun lemmas. A form listed twice takes its smallest lemma."""
+    nouns = (lemmas.where("pos = 'n'").groupBy(F.lower("form").alias("form")).agg(F.min("lemma").alias("lemma")))
+    found = df.select("row_id", F.explode(F.flatten(F.transform(entity_leaves(F.col(toks_col)), T.valid_entities))).alias("phrase"))
+    forms = (found.select("phrase").distinct().withColumn("t", T.phrase_form(F.col("phrase")))
+             .withColumn("right", T.rightmost(F.col("t")))
+             .withColumn("form", F.when(F.col("right") == "", F.col("t")).otherwise(F.col("right"))).join(nouns, "form", "left"))
+    lemma = F.coalesce("lemma", "form")  # of whichever of the two is used
+    entity = T.lemmatised(F.col("t"), F.col("right"), lemma, lemma)
+    of = forms.select("phrase", entity.alias("entity")).where("entity <> ''")
+    return found.join(of, "phrase").select("row_id", "entity").distinct()
+
+
 def _matches(code: Column, pattern: str, offset: Column | None = None) -> Column:
     """Pieces of a code string as array<struct<hit, start (1-based), len>>: the
     pattern's matches and what lies between, in order."""

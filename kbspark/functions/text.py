@@ -163,19 +163,31 @@ def normalize_phrase(text: Column, lemma_map: Column | None = None, lemmatize: b
     ``lemma_map`` maps a noun form to its lemma (a map Column); forms not in
     it are their own lemma.
     """
+    lm = lemma_map if lemmatize else None
+    return let(phrase_form(text, ignore_num), lambda t: let(rightmost(t), lambda right: lemmatised(
+        t, right, _lemma_of(t, lm), None if lm is None else _lemma_of(right, lm))))
+
+
+def phrase_form(text: Column, ignore_num: bool = False) -> Column:
+    """T8 before lemmas."""
     t = F.regexp_replace(text, r"(?<=[A-Ze])s$", "")
     # the "ies" -> "y" rule never fires after the rule above; kept for fidelity
     t = F.regexp_replace(t, r"(?<=[A-Za-z])ies$", "y")
     t = F.regexp_replace(t, r"[^A-Za-z.\s]" if ignore_num else r"[^A-Za-z0-9.\s]", " ")
-    t = F.lower(py_strip(F.regexp_replace(t, r"\s+", " ")))
-    lm = lemma_map if lemmatize else None
+    return F.lower(py_strip(F.regexp_replace(t, r"\s+", " ")))
+
+
+def rightmost(t: Column) -> Column:
+    """The rightmost word behind a blank, or an empty text."""
+    return F.regexp_extract(t, r"(?<=\s)(\w+)$", 1)
 
-    def lemmatised(t: Column, right: Column) -> Column:
-        whole = F.regexp_replace(_lemma_of(t, lm), r"\s+", "")
-        replaced = t if lm is None else F.regexp_replace(F.replace(t, right, _lemma_of(right, lm)), r"\s+", " ")
-        return F.when(right == "", whole).otherwise(replaced)
 
-    return let(t, lambda t: let(F.regexp_extract(t, r"(?<=\s)(\w+)$", 1), lambda right: lemmatised(t, right)))
+def lemmatised(t: Column, right: Column, whole_lemma: Column, right_lemma: Column | None) -> Column:
+    """T8 once the lemmas of the whole text and of its rightmost word are known
+    (None: the word stays)."""
+    whole = F.regexp_replace(whole_lemma, r"\s+", "")
+    replaced = t if right_lemma is None else F.regexp_replace(F.replace(t, right, right_lemma), r"\s+", " ")
+    return F.when(right == "", whole).otherwise(replaced)
 
 
 def valid_entities(leaves: Column) -> Column:

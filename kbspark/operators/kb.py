@@ -66,12 +66,34 @@ def spread(df: DataFrame, *keys: str, parts: int | None = None) -> DataFrame:
     return df.repartition(parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def tag(df: DataFrame, text_col: str = "text", tag_map=None) -> DataFrame:
-    """T3/T4 + T5 + E3 on a sentence table."""
-    toks = G.tag_sentence(F.col(text_col), tag_map)
-    return (df.withColumn("toks", toks)
-            .withColumn("sentence", T.encode_tagged(F.col("toks")))
-            .withColumn("entities", G.sentence_entities(F.col("toks"))))
+@dataclass(frozen=True)
+class Words:
+    """A user's word tables of any size: lexicon (form, tag), lemmas (form, pos,
+    lemma) and lexical units (unit, frame). They are joined to the distinct
+    words of the input; the shipped lists stand for those that are None."""
+    lexicon: DataFrame | None = None
+    lemmas: DataFrame | None = None
+    units: DataFrame | None = None
+
+
+def tag(df: DataFrame, text_col: str = "text", tag_map=None, words: Words | None = None, keys: list[str] | None = None) -> DataFrame:
+    """T3/T4 + T5 + E3 on a sentence table. With ``words`` the columns ``keys``
+    must name a row."""
+    words = words or Words()
+    row = F.struct(*keys) if keys else None
+    if words.lexicon is None:
+        out = df.withColumn("toks", G.tag_sentence(F.col(text_col), tag_map))
+    else:
+        cut = df.withColumn("row_id", row).withColumn("toks", T.tokens(F.col(text_col)))
+        out = G.tag_with_table(cut, "toks", words.lexicon).drop("row_id")
+    out = out.withColumn("sentence", T.encode_tagged(F.col("toks")))
+    if words.lemmas is None:
+        return out.withColumn("entities", G.sentence_entities(F.col("toks")))
+    out = out.withColumn("row_id", row)
+    found = (G.entities_with_table(out, "toks", words.lemmas).groupBy("row_id")
+             .agg(F.array_sort(F.collect_list("entity")).alias("entities")))  # of one sentence
+    none = F.array().cast("array<string>")
+    return out.join(found, "row_id", "left").withColumn("entities", F.coalesce("entities", none)).drop("row_id")
 
 
 def next_id(df: DataFrame | None, column: str, first: int = 1) -> int:
@@ -143,13 +165,16 @@ def new_entities(sent_entities: DataFrame, base: KB | None = None) -> tuple[Data
     return entities, links.join(known, "entity").select("sentence_id", "entity_id")
 
 
-def build_frame_index(sentences: DataFrame, frame_map=None) -> DataFrame:
+def build_frame_index(sentences: DataFrame, frame_map=None, words: Words | None = None) -> DataFrame:
     """F1-F6 + K7: inverted index (frame, sentence_id), one row per pair.
 
     Kept exploded on purpose: a frame present in a third of all sentences
     would otherwise become one unbounded array in one row.
     """
     toks = T.decode_tagged(F.col("sentence"))
+    if words is not None and words.units is not None:
+        rows = sentences.select(F.col("sentence_id").alias("row_id"), toks.alias("toks"))
+        return FR.frames_with_tables(rows, "toks", words.units, words.lemmas).select("frame", F.col("row_id").alias("sentence_id"))
     return (sentences.select("sentence_id", F.explode(FR.sentence_frames(toks, frame_map)).alias("frame"))
             .distinct())
 
@@ -161,23 +186,27 @@ def heading_info(sentences: DataFrame, headings: DataFrame) -> DataFrame:
     return agg.join(headings.select("heading_id", "heading"), "heading_id")
 
 
-def kb_rows(kb_input: DataFrame, base: KB | None = None, truncate: bool = False, tag_map=None, frame_map=None) -> KB:
+def kb_rows(kb_input: DataFrame, base: KB | None = None, truncate: bool = False, tag_map=None, frame_map=None,
+            words: Words | None = None) -> KB:
     """Entry A: docs -> the rows they add to ``base`` (all rows without one).
     Sections, tagged sentences and the numbered tables are read several times
     and materialised once. ``heading_info`` has the new sentences' part."""
     secs = sections(kb_input, truncate).checkpoint(eager=True)
-    tagged = tag(section_sentences(secs), tag_map=tag_map).drop("toks", "text").checkpoint(eager=True)
+    sents = section_sentences(secs)
+    if words is not None:
+        sents = sents.checkpoint(eager=True)
+    tagged = tag(sents, tag_map=tag_map, words=words, keys=ORDER).drop("toks", "text").checkpoint(eager=True)
     headings = new_headings(secs, base).checkpoint(eager=True)
     known = headings if base is None else headings.unionByName(base.headings.select(*headings.columns))
     sentences, sent_entities = new_sentences(tagged, known, base)
     sentences = sentences.checkpoint(eager=True)
     entities, norms = new_entities(sent_entities.select("sentence_id", "entities"), base)
-    return KB(headings, sentences, entities, norms, build_frame_index(sentences, frame_map), heading_info(sentences, known))
+    return KB(headings, sentences, entities, norms, build_frame_index(sentences, frame_map, words), heading_info(sentences, known))
 
 
-def build_kb(kb_input: DataFrame, truncate: bool = False, tag_map=None, frame_map=None) -> KB:
+def build_kb(kb_input: DataFrame, **options) -> KB:
     """A whole KB that is not stored: its tables are materialised once."""
-    kb = kb_rows(kb_input, None, truncate, tag_map, frame_map)
+    kb = kb_rows(kb_input, **options)
     return KB(**{name: df.checkpoint(eager=True) for name, df in kb.tables().items()})
 
 

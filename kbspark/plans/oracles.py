@@ -483,6 +483,11 @@ UNION ALL SELECT 'link', sentence_id, entity_id, '' FROM knorms
 UNION ALL SELECT 'frame', sentence_id, 0, frame FROM kframes
 UNION ALL SELECT 'first', heading_id, first_sentence_id, heading FROM kinfo
 UNION ALL SELECT 'last', heading_id, last_sentence_id, heading FROM kinfo"""
+    q["k4_by_tables"] = f"""{w}
+SELECT 'sentence' AS kind, sentence_id AS id, heading_id AS ref, sentence AS text FROM ksentences
+UNION ALL SELECT 'entity', entity_id, 0, entity FROM kentities
+UNION ALL SELECT 'link', sentence_id, entity_id, '' FROM knorms
+UNION ALL SELECT 'frame', sentence_id, 0, frame FROM kframes"""
     kb_tables = {"headings": "kheadings", "sentences": "ksentences", "entities": "kentities", "normalizations": "knorms",
                  "frame_index": "kframes", "heading_info": "kinfo"}
     q["s8_live_counts"] = f"WITH {TWO_BATCHES} " + " UNION ALL ".join(
@@ -518,6 +523,7 @@ def question_queries() -> dict[str, str]:
     q = {}
     q["q1_question_analysis"] = (f"WITH {Q_CTE} SELECT q_id, sent_idx, array_to_string(q_entities, '|') AS entities, "
                                  f"array_to_string(q_frames, '|') AS frames FROM qan")
+    q["q1_by_tables"] = q["q1_question_analysis"]
     q["f6_question_frames"] = f"WITH {Q_CTE} SELECT q_id, sent_idx, unnest(q_frames) AS frame FROM qan"
     seg = R.SEGMENTS
     cand = f"""WITH {KB_CTE}, {Q_CTE},

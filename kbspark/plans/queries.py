@@ -285,6 +285,29 @@ def k3_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+def k4_by_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """The KB by word tables (lexicon, lemmas and units as a user would give
+    them, here the shipped ones): sentences, entities, links and frames."""
+    from kbspark.operators.kb import Words, kb_rows
+    words = Words(S.lexicon(spark), S.lemmas(spark), S.lexical_units(spark))
+    kb = kb_rows(P.kb_input_from_documents(B.documents(spark, sf)), words=words)
+    zero, none = F.lit(0).cast("long"), F.lit("")
+    parts = {"sentence": kb.sentences.select("sentence_id", "heading_id", "sentence"), "entity": kb.entities.select("entity_id", zero, "entity"),
+             "link": kb.normalizations.select("sentence_id", "entity_id", none), "frame": kb.frame_index.select("sentence_id", zero, "frame")}
+    out = None
+    for kind, df in parts.items():
+        df = df.toDF("id", "ref", "text").select(F.lit(kind).alias("kind"), "id", "ref", "text")
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+def q1_by_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Q1 by word tables."""
+    from kbspark.operators.kb import Words
+    an = R.analyse_questions(B.user_questions(spark, sf), words=Words(S.lexicon(spark), S.lemmas(spark), S.lexical_units(spark)))
+    return an.select("q_id", "sent_idx", F.array_join("q_entities", "|").alias("entities"), F.array_join("q_frames", "|").alias("frames"))
+
+
 def s8_live_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of each table of the live version, as a session sees them that
     knows the catalog's folder alone; the first version stays readable."""
@@ -463,6 +486,8 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "k14_progress": k14_progress,
     "k15_heading_info": k15_heading_info,
     "k3_upsert": k3_upsert,
+    "k4_by_tables": k4_by_tables,
+    "q1_by_tables": q1_by_tables,
     "s8_live_counts": s8_live_counts,
     "d1_acronym_expansion": d1_acronym_expansion,
     "d2_entity_stoplist": d2_entity_stoplist,
