@@ -61,15 +61,19 @@ def default_lemma(form: Column) -> Column:
     return _looked_up({f"{f}__{p}": l for (f, p), l in LEMMAS.items()}, form)
 
 
+#: Of the characters that tokens consist of (T3), those that are no letter or digit.
+MARKS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
+
+
 def bare_key(tok: Column) -> Column:
-    return F.lower(F.regexp_replace(tok, r"^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", ""))
+    return F.lower(F.btrim(tok, F.lit(MARKS)))
 
 
 def rule_tag(tok: Column, idx: Column, key: Column | None = None) -> Column:
-    """Tag of a token that is not in the lexicon; ``key`` is its bare form."""
+    """Tag of a token that is no bracket tag and not in the lexicon; ``key`` is
+    its bare form."""
     key = bare_key(tok) if key is None else key
-    e = (F.when(tok.isin(*BRACKET_TAGS), tok)
-         .when(key == "", F.when(tok.rlike(r"^[.!?]+$"), ".").when(tok == ",", ",")
+    e = (F.when(key == "", F.when(tok.rlike(r"^[.!?]+$"), ".").when(tok == ",", ",")
                .when(tok.rlike(r"^[:;]+$"), ":").otherwise("SYM"))
          .when(key.rlike("[0-9]"), F.when(key.rlike(NUMBER_PATTERN), "CD").otherwise("NN"))
          .when((idx > 0) & F.substring(tok, 1, 1).between("A", "Z"), "NNP"))
@@ -169,10 +173,9 @@ def entity_leaves(toks: Column) -> Column:
 def sentence_entities(toks: Column, noun_lemmas: Column | None = None) -> Column:
     """Set of normalised entities of a tagged sentence (sorted, distinct)."""
     lm = noun_lemmas if noun_lemmas is not None else default_noun_lemma_map()
-    per_span = F.transform(entity_leaves(toks),
-                           lambda leaves: F.transform(T.valid_entities(leaves),
-                                                      lambda e: T.normalize_phrase(e, lm)))
-    return F.array_sort(F.array_distinct(F.filter(F.flatten(per_span), lambda e: e != "")))
+    phrases = T.let(toks, lambda tk: F.flatten(F.transform(entity_leaves(tk), T.valid_entities)))
+    found = F.transform(phrases, lambda e: T.normalize_phrase(e, lm))
+    return F.array_sort(F.array_distinct(F.filter(found, lambda e: e != "")))
 
 
 def entities_with_table(df: DataFrame, toks_col: str, lemmas: DataFrame) -> DataFrame:
@@ -267,16 +270,19 @@ def sentence_template(toks: Column) -> Column:
     joined by blanks, bracket tags removed, runs of ``ENTITY`` merged, and a
     period added unless the text ends in ! ; : or . (NULL for no tokens).
     """
-    def words(start: Column, length: Column) -> Column:
-        return F.array_join(F.transform(F.slice(toks, start, length), lambda t: t["token"]), " ")
+    def joined(tk: Column) -> Column:
+        def words(start: Column, length: Column) -> Column:
+            return F.array_join(F.transform(F.slice(tk, start, length), lambda t: t["token"]), " ")
+
+        def phrase(seg: Column) -> Column:
+            inside = F.filter(_matches(seg["code"], "Ef*", seg["start"]), lambda m: m["hit"])
+            return F.aggregate(F.transform(inside, lambda sp: words(sp["start"], sp["len"])),
+                               words(seg["start"], seg["len"]),
+                               lambda acc, e: F.replace(acc, e, F.lit(ENTITY_PLACEHOLDER)))
 
-    def phrase(seg: Column) -> Column:
-        inside = F.filter(_matches(seg["code"], "Ef*", seg["start"]), lambda m: m["hit"])
-        return F.aggregate(F.transform(inside, lambda sp: words(sp["start"], sp["len"])),
-                           words(seg["start"], seg["len"]),
-                           lambda acc, e: F.replace(acc, e, F.lit(ENTITY_PLACEHOLDER)))
+        return F.array_join(F.transform(_segments(tk), phrase), " ")
 
-    s = T.py_strip(F.array_join(F.transform(_segments(toks), phrase), " "))
+    s = T.py_strip(T.let(toks, joined))
     s = T.py_strip(F.regexp_replace(s, T.BRACKET_TAG_PATTERN, " "))
     # a placeholder right behind another goes; no repeated group is needed
     s = T.py_strip(F.regexp_replace(s, rf"(?<={ENTITY_PLACEHOLDER})\s+{ENTITY_PLACEHOLDER}", ""))

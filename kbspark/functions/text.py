@@ -11,6 +11,8 @@ loops such as ``[ac]*`` or ``.+?`` are used on whole lines.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -135,8 +137,8 @@ def decode_tagged(text: Column) -> Column:
     parts = F.filter(F.split(text, " "), lambda x: x != "")
     return F.transform(parts, lambda x: F.when(
         x.contains("__"),
-        F.struct(F.regexp_extract(x, r"(?s)^(.*)__(.*)$", 1).alias("token"),
-                 F.regexp_extract(x, r"(?s)^(.*)__(.*)$", 2).alias("pos")),
+        F.struct(F.substring(x, F.lit(1), F.length(x) - F.length(F.substring_index(x, "__", -1)) - 2).alias("token"),
+                 F.substring_index(x, "__", -1).alias("pos")),
     ).otherwise(F.struct(x.alias("token"), F.lit(None).cast("string").alias("pos"))))
 
 
@@ -170,11 +172,14 @@ def normalize_phrase(text: Column, lemma_map: Column | None = None, lemmatize: b
 
 def phrase_form(text: Column, ignore_num: bool = False) -> Column:
     """T8 before lemmas."""
-    t = F.regexp_replace(text, r"(?<=[A-Ze])s$", "")
-    # the "ies" -> "y" rule never fires after the rule above; kept for fidelity
-    t = F.regexp_replace(t, r"(?<=[A-Za-z])ies$", "y")
-    t = F.regexp_replace(t, r"[^A-Za-z.\s]" if ignore_num else r"[^A-Za-z0-9.\s]", " ")
-    return F.lower(py_strip(F.regexp_replace(t, r"\s+", " ")))
+    def cut(t: Column) -> Column:
+        # what the patterns look for is tested first: most phrases have none of it
+        t = F.when(t.endswith("s"), F.regexp_replace(t, r"(?<=[A-Ze])s$", "")).otherwise(t)
+        # the "ies" -> "y" rule never fires after the rule above; kept for fidelity
+        return F.when(t.endswith("ies"), F.regexp_replace(t, r"(?<=[A-Za-z])ies$", "y")).otherwise(t)
+
+    t = F.regexp_replace(let(text, cut), r"[^A-Za-z.\s]" if ignore_num else r"[^A-Za-z0-9.\s]", " ")
+    return F.lower(F.trim(F.regexp_replace(t, r"\s+", " ")))
 
 
 def rightmost(t: Column) -> Column:
@@ -191,15 +196,20 @@ def lemmatised(t: Column, right: Column, whole_lemma: Column, right_lemma: Colum
 
 
 def valid_entities(leaves: Column) -> Column:
-    """Phrase candidates from the tokens of one entity span."""
-    kept = F.filter(leaves, lambda x: ~x.rlike(LINK_PATTERN))
-    cleaned = F.transform(kept, lambda x: py_strip(F.regexp_replace(x, JUNK_PATTERN, "")))
+    """Phrase candidates from the tokens of one entity span. A token has no
+    white space, and most have no sign that the patterns look for, which is
+    tested first."""
+    def holds(x: Column, *parts: str) -> Column:
+        return reduce(Column.__or__, [x.contains(p) for p in parts])
+
+    kept = F.filter(leaves, lambda x: ~(holds(x, ":", "<", "{") & x.rlike(LINK_PATTERN)))
+    cleaned = F.transform(kept, lambda x: F.when(holds(x, ".", "etc"), py_strip(F.regexp_replace(x, JUNK_PATTERN, ""))).otherwise(x))
     cleaned = F.filter(cleaned, lambda y: (F.length(y) >= MIN_LEAF_LENGTH) & (F.length(y) <= MAX_LEAF_LENGTH))
-    pieces = F.transform(F.split(F.array_join(cleaned, " "), PUNCT_SPLIT_PATTERN), py_strip)
+    pieces = F.transform(F.split(F.array_join(cleaned, " "), PUNCT_SPLIT_PATTERN), F.trim)
     good = F.filter(pieces, lambda x: (x != "") & (F.length(x) >= MIN_ENTITY_LENGTH)
                     & (F.length(x) <= MAX_ENTITY_LENGTH)
-                    & (F.length(F.regexp_replace(x, r"[A-Za-z.\s]", "")) / F.length(x) < NON_ALPHA_SHARE_LIMIT))
-    return F.transform(good, lambda x: F.regexp_replace(x, r"^[. ]+|[. ]+$", ""))
+                    & (F.length(F.regexp_replace(x, r"[A-Za-z.\s]+", "")) / F.length(x) < NON_ALPHA_SHARE_LIMIT))
+    return F.transform(good, lambda x: F.btrim(x, F.lit(". ")))
 
 
 def ngrams_with_size(phrase: Column) -> Column:

@@ -338,15 +338,15 @@ def run_answers(spark, sf, cat, base):
 
 def test_words_of_a_user_reach_build_and_questions(spark):
     words = K.Words(spark.createDataFrame([("zorp", "JJ"), ("Flies", "VBZ"), ("flies", "XX")], "form string, tag string"),
-                    spark.createDataFrame([("geese", "n", "goose"), ("geese", "n", "goosey"), ("geese", "v", "no"), ("zorps", "v", "zorp")], "form string, pos string, lemma string"),
-                    spark.createDataFrame([("flies.v", "Motion")], "unit string, frame string"))
-    rows = [(1, "Here zorp geese go. The goat flies away.", "en", "a")]
+                    spark.createDataFrame([("geese", "n", "goose"), ("geese", "n", "goosey"), ("geese", "v", "no"), ("flies", "v", "fly")], "form string, pos string, lemma string"),
+                    spark.createDataFrame([("fly.v", "Motion")], "unit string, frame string"))
+    rows = [(1, "Zorp geese. The goat flies away.", "en", "a")]
     kb = K.kb_rows(kb_input(spark, rows), words=words)
     assert {"zorp goose"} <= {r.entity for r in kb.entities.collect()}
     told = {r.sentence_id: r.sentence for r in kb.sentences.collect()}
-    assert "zorp__JJ geese__" in told[1] and "flies__VBZ" in told[2]  # the smallest tag of a form listed twice
+    assert told[1].startswith("Zorp__JJ geese.__") and "flies__VBZ" in told[2]  # the smallest tag of a form listed twice
     assert ("Motion", 2) in {(r.frame, r.sentence_id) for r in kb.frame_index.collect()}
-    asked = R.analyse_questions(spark.createDataFrame([("q", "What do zorp geese want. Who flies"), ("n", None)], "q_id string, question string"), words=words)
+    asked = R.analyse_questions(spark.createDataFrame([("q", "Zorp geese. Who flies"), ("n", None)], "q_id string, question string"), words=words)
     got = {r.sent_idx: r for r in asked.collect()}
     assert "zorp goose" in got[0].q_entities and "Motion" in got[1].q_frames
     assert K.build_kb(kb_input(spark, rows), words=K.Words()).entities.count() == K.build_kb(kb_input(spark, rows)).entities.count()
