@@ -12,20 +12,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kbspark.session import ensure_checkpoint_dir
+from kbspark.session import Keep, checkpointed, ensure_checkpoint_dir
 
 
 def dense_ids(df: DataFrame, order_cols: list[str], id_col: str, start: int = 1,
-              num_partitions: int | None = None) -> DataFrame:
+              num_partitions: int | None = None, keep: Keep = checkpointed) -> DataFrame:
     """Add ``id_col`` = start, start+1, ... following ``order_cols`` (which
-    must be unique per row)."""
+    must be unique per row). ``keep`` materialises the stamped rows."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stamped = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-               .withColumn("_pid", F.spark_partition_id())
-               .withColumn("_mid", F.monotonically_increasing_id())
-               .checkpoint(eager=True))
+    stamped = keep(df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+                   .withColumn("_pid", F.spark_partition_id())
+                   .withColumn("_mid", F.monotonically_increasing_id()), f"numbered-{id_col}")
     counts = stamped.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))

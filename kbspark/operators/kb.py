@@ -26,6 +26,7 @@ from kbspark.functions import tagging as G
 from kbspark.functions import text as T
 from kbspark.operators.ids import dense_ids
 from kbspark.operators.markdown import sections
+from kbspark.session import Keep, Scratch, checkpointed
 from kbspark.sources.tables import Catalog, Snapshot
 
 ROOT_ID = 1
@@ -101,7 +102,7 @@ def next_id(df: DataFrame | None, column: str, first: int = 1) -> int:
     return first if top is None else top + 1
 
 
-def new_headings(secs: DataFrame, base: KB | None = None) -> DataFrame:
+def new_headings(secs: DataFrame, base: KB | None = None, keep: Keep = checkpointed) -> DataFrame:
     """K1/K2: every path prefix of a section is a heading under its parent
     prefix (also for sections without sentences); ids in first-appearance
     order (ROOT = 1, parents before children). A path of the base is no new
@@ -116,7 +117,7 @@ def new_headings(secs: DataFrame, base: KB | None = None) -> DataFrame:
                          F.col("o.section_idx").alias("o3"))
     if base is not None:
         first = first.join(base.headings.select(F.col("path").alias("hpath")), "hpath", "left_anti")
-    ided = dense_ids(first, ["o1", "o2", "o3", "k"], "heading_id", start=next_id(base and base.headings, "heading_id", ROOT_ID + 1))
+    ided = dense_ids(first, ["o1", "o2", "o3", "k"], "heading_id", start=next_id(base and base.headings, "heading_id", ROOT_ID + 1), keep=keep)
     parents = ided.select(F.col("hpath").alias("ppath"), F.col("heading_id").alias("parent_id"))
     if base is not None:
         parents = parents.unionByName(base.headings.where(F.col("heading_id") != ROOT_ID).select(
@@ -133,7 +134,8 @@ def new_headings(secs: DataFrame, base: KB | None = None) -> DataFrame:
     return root.unionByName(with_parent)
 
 
-def new_sentences(tagged: DataFrame, headings: DataFrame, base: KB | None = None) -> tuple[DataFrame, DataFrame]:
+def new_sentences(tagged: DataFrame, headings: DataFrame, base: KB | None = None,
+                  keep: Keep = checkpointed) -> tuple[DataFrame, DataFrame]:
     """K3/K6: one row per (sentence, heading), first occurrence wins; dense
     ids in text order. Returns (sentences, per-sentence entities)."""
     # a path names exactly one heading, so de-duplicate on (sentence, path)
@@ -147,20 +149,21 @@ def new_sentences(tagged: DataFrame, headings: DataFrame, base: KB | None = None
         touched = firsts.select("heading_id").distinct()
         held = base.sentences.select("sentence", "heading_id").join(touched, "heading_id", "left_semi")
         firsts = firsts.join(held, ["sentence", "heading_id"], "left_anti")
-    ided = dense_ids(firsts, ORDER, "sentence_id", start=next_id(base and base.sentences, "sentence_id"))
+    ided = dense_ids(firsts, ORDER, "sentence_id", start=next_id(base and base.sentences, "sentence_id"), keep=keep)
     sentences = ided.select("sentence_id", "sentence", F.array().cast("array<string>").alias("dependencies"),
                             "heading_id")
     return sentences, ided.select("sentence_id", "sentence", "entities")
 
 
-def new_entities(sent_entities: DataFrame, base: KB | None = None) -> tuple[DataFrame, DataFrame]:
+def new_entities(sent_entities: DataFrame, base: KB | None = None,
+                 keep: Keep = checkpointed) -> tuple[DataFrame, DataFrame]:
     """K4/K5: entities in first-appearance order and distinct links."""
     links = sent_entities.select("sentence_id", F.explode("entities").alias("entity")).distinct()
     first = links.groupBy("entity").agg(F.min("sentence_id").alias("first_sid"))
     if base is not None:
         first = first.join(base.entities.select("entity"), "entity", "left_anti")
     start = next_id(base and base.entities, "entity_id")
-    entities = dense_ids(first, ["first_sid", "entity"], "entity_id", start=start).select("entity_id", "entity")
+    entities = dense_ids(first, ["first_sid", "entity"], "entity_id", start=start, keep=keep).select("entity_id", "entity")
     known = entities if base is None else entities.unionByName(base.entities.select("entity_id", "entity"))
     return entities, links.join(known, "entity").select("sentence_id", "entity_id")
 
@@ -187,20 +190,19 @@ def heading_info(sentences: DataFrame, headings: DataFrame) -> DataFrame:
 
 
 def kb_rows(kb_input: DataFrame, base: KB | None = None, truncate: bool = False, tag_map=None, frame_map=None,
-            words: Words | None = None) -> KB:
+            words: Words | None = None, keep: Keep = checkpointed) -> KB:
     """Entry A: docs -> the rows they add to ``base`` (all rows without one).
     Sections, tagged sentences and the numbered tables are read several times
-    and materialised once. ``heading_info`` has the new sentences' part."""
-    secs = sections(kb_input, truncate).checkpoint(eager=True)
+    and materialised once, by ``keep``. ``heading_info`` has the new sentences' part."""
+    secs = keep(sections(kb_input, truncate), "sections")
     sents = section_sentences(secs)
     if words is not None:
-        sents = sents.checkpoint(eager=True)
-    tagged = tag(sents, tag_map=tag_map, words=words, keys=ORDER).drop("toks", "text").checkpoint(eager=True)
-    headings = new_headings(secs, base).checkpoint(eager=True)
+        sents = keep(sents, "sentences")
+    tagged = keep(tag(sents, tag_map=tag_map, words=words, keys=ORDER).drop("toks", "text"), "tagged")
+    headings = keep(new_headings(secs, base, keep), "headings")
     known = headings if base is None else headings.unionByName(base.headings.select(*headings.columns))
-    sentences, sent_entities = new_sentences(tagged, known, base)
-    sentences = sentences.checkpoint(eager=True)
-    entities, norms = new_entities(sent_entities.select("sentence_id", "entities"), base)
+    sentences, sent_entities = new_sentences(tagged, known, base, keep)  # both read the numbered rows
+    entities, norms = new_entities(sent_entities.select("sentence_id", "entities"), base, keep)
     return KB(headings, sentences, entities, norms, build_frame_index(sentences, frame_map, words), heading_info(sentences, known))
 
 
@@ -225,11 +227,13 @@ def upsert(catalog: Catalog, kb_input: DataFrame, only_on: int | None = None, **
         number = live.number if live else 0
         if only_on is not None and number != only_on:
             return live
-        rows = kb_rows(kb_input, stored(live) if live else None, **options)
+        work = Scratch(catalog.spark, catalog.root)
+        rows = kb_rows(kb_input, stored(live) if live else None, keep=work.keep, **options)
         version = f"{number + 1}-{uuid.uuid4().hex[:8]}"
         # by heading, so that the sentences of one heading are read from few row groups
         by_heading = rows.sentences.repartitionByRange("heading_id", "sentence_id").sortWithinPartitions("heading_id", "sentence_id")
         catalog.write(version, {**rows.tables(), "sentences": by_heading})
+        work.clear()
         got = catalog.publish(version, live, expect=number)
         if got is not None:
             return catalog.snapshot(got)

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -70,3 +72,28 @@ def scratch_table_dir(spark: SparkSession, name: str) -> str:
     """A folder for an intermediate table, under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base.rstrip("/"), "tables", name)
+
+
+#: Materialises a DataFrame, given a name for it.
+Keep = Callable[[DataFrame, str], DataFrame]
+
+
+def checkpointed(df: DataFrame, name: str) -> DataFrame:
+    return df.checkpoint(eager=True)
+
+
+class Scratch:
+    """Intermediate tables of one job under a shared folder: compressed, read
+    by column, and gone when the job is done with them."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, f"{root.rstrip('/')}/work-{uuid.uuid4().hex[:12]}"
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
