@@ -1,4 +1,5 @@
-"""Token-level forms of the tagger and of entities against the Column rules."""
+"""Token-level forms of the tagger and of entities against the Column rules,
+and what the question queries make."""
 
 from __future__ import annotations
 
@@ -14,6 +15,7 @@ from kbspark.functions import frames as FR  # noqa: E402
 from kbspark.functions import tagging as G  # noqa: E402
 from kbspark.functions import text as T  # noqa: E402
 from kbspark.functions import words as W  # noqa: E402
+from kbspark.operators import retrieval as R  # noqa: E402
 
 PARTS = ("-LRB- -RRB- the Tables classes is running etc. i.e. e.g. http://a.b <b {x a:12 Es Flies us stories big bigger quickly "
          "and 3.5 12ab __ a__b a_ ... , ; X Aies AES of. (this) very best y.z C++ -- a|b don't 0x x0 000 10 etc \x1c \x0b é").split(" ")
@@ -42,6 +44,18 @@ def test_frames_of_items_are_the_frames_of_sentences(spark):
     assert one and sorted(one) == sorted(FR.frames_by_item(df, "x").collect())
 
 
+def test_analysis_needs_no_kb(spark):
+    asked = spark.createDataFrame([("1", "Where is the table?")], "q_id string, question string")
+    made = []
+
+    def kb():
+        raise AssertionError("a KB was made")
+
+    r = R.retrieve(asked, kb, keep=lambda make, name: (made.append(name), make())[1])
+    assert r.analysed.select("q_entities").first()[0] == ["table"] and made == ["analysed"]
+    assert r.lookups.count() == 1 and made == ["analysed", "lookups"]
+
+
 def test_every_kept_table_goes_through_keep(spark):
     """So that a caller can have compressed files for all of them."""
     from kbspark.operators.kb import kb_rows
