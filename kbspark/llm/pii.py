@@ -3,12 +3,13 @@
 High-recall generators propose overlapping spans of four kinds; boosted trees
 over format and context features score them; per kind a threshold calibrated
 for precision selects those that are added to the base spans, which always
-stay. The trees learn from a bounded sample: right are the base spans, as they
+stay. The trees learn from the candidates of all documents, equal ones counted,
+level by level from sums over the executors' rows: right are the base spans, as they
 stand and loosened (sign dropped, at and dot spelled out, other separators);
 wrong are candidates that fail the check of their kind or stand behind an
 anti-cue, and loosened base spans made to do so. Other candidates have no label
 and count neither in the fit nor in the calibration. Generated lines with spans
-of every kind are learned from beside the sample, so that the trees know all
+of every kind are learned from beside them, so that the trees know all
 kinds whatever the corpus holds, and they alone decide what is added.
 
 Defined results: null and empty texts have no spans; equal texts have equal
@@ -22,18 +23,22 @@ import bisect
 import hashlib
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbspark.llm import common as C
+from kbspark.session import ensure_checkpoint_dir
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCS = 20_000        # documents, about, whose candidates may be learned from
-SAMPLE_CANDIDATES = 20_000  # bound of the candidates, those of lowest hash
+LONGEST = 1_024             # a feature above counts as this in training
+BLOCK_ROWS = 20_000         # different candidates that a task learns from, about
+SCALE = 2**20               # steps of a gradient, in which sums are exact
+STEPS = 10_000              # of a probability, in which thresholds are found
 GENERATED = 600             # lines
 PRECISION = 0.98            # that a threshold must reach on the calibration part
 TREES, DEPTH, RATE, BINS, MIN_LEAF = 40, 3, 0.3, 32, 20
@@ -233,50 +238,105 @@ def features(text: str, span: Span) -> list[float]:
 
 # ---- boosted trees --------------------------------------------------------
 
+Block = tuple[np.ndarray, np.ndarray, np.ndarray]  # bins by feature, labels and numbers of equal rows
+
+
+def edges_of(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Limits of the bins of a feature with these values, in order: the
+    quantiles of all rows."""
+    ends = np.cumsum(counts)
+    at = np.linspace(0, 1, BINS) * (ends[-1] - 1)
+    low, high = (values[np.searchsorted(ends, f(at), side="right")] for f in (np.floor, np.ceil))
+    return np.unique(low + (high - low) * (at - np.floor(at)))
+
+
+def binned_rows(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    return np.stack([np.searchsorted(e, c) for e, c in zip(edges, x.T)], axis=1).astype(np.uint8)
+
+
+def nodes(tree: list, binned: np.ndarray) -> np.ndarray:
+    """The place in a tree, whose limits are bins, that each row comes to."""
+    f, limit, left, right = (np.array([n[i] for n in tree], int) for i in range(4))
+    inner = f >= 0
+    left, right = (np.where(inner, x, np.arange(len(tree))) for x in (left, right))
+    at, rows = np.zeros(len(binned), int), np.arange(len(binned))
+    for _ in range(DEPTH):
+        at = np.where(binned[rows, f[at]] <= limit[at], left[at], right[at])
+    return at
+
+
+def histogram(block: Block, start: float, trees: list, places: list[int], width: int) -> np.ndarray:
+    """Sums of gradient, curvature and count by place of the last tree, feature
+    and bin; whole numbers, so that the order of adding does not matter."""
+    binned, y, n = block
+    score = np.full(len(y), start)
+    for tree in trees[:-1]:
+        score += np.array([node[4] for node in tree])[nodes(tree, binned)]
+    p = 1 / (1 + np.exp(-score))
+    slot = np.full(len(trees[-1]), -1)
+    slot[places] = np.arange(len(places))
+    at = slot[nodes(trees[-1], binned)]
+    rows = at >= 0
+    out = np.zeros((3, len(places), binned.shape[1], width), np.int64)
+    for i, v in enumerate((n * (y - p) * SCALE, n * p * (1 - p) * SCALE, n)):
+        v = np.rint(v[rows])  # whole: sums in doubles are exact
+        for f in range(binned.shape[1]):
+            cell = at[rows] * width + binned[rows, f]
+            out[i, :, f] = np.bincount(cell, v, len(places) * width).reshape(len(places), width)
+    return out
+
+
 class Boosted:
-    """Gradient boosting of small regression trees on the logistic loss."""
+    """Gradient boosting of small regression trees on the logistic loss. Each
+    level of a tree is one pass over the rows, which may lie in many blocks."""
 
     def __init__(self):
         self.start, self.trees = 0.0, []
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> "Boosted":
-        edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS))) for c in x.T]
-        binned = np.stack([np.searchsorted(e, c) for e, c in zip(edges, x.T)], axis=1)
-        p = y.mean()
-        self.start = float(np.log(p / (1 - p)))
-        score = np.full(len(y), self.start)
+        """Of rows at hand."""
+        edges = [edges_of(*np.unique(c, return_counts=True)) for c in x.T]
+        block = binned_rows(x, edges), y, np.ones(len(y))
+        return self.boost(edges, float(y.mean()), lambda *asked: histogram(block, *asked))
+
+    def boost(self, edges: list[np.ndarray], share: float, sums: Callable[..., np.ndarray]) -> "Boosted":
+        """``sums`` adds up the ``histogram`` of all rows."""
+        self.start, width = float(np.log(share / (1 - share))), max(len(e) for e in edges) + 1
+        grown: list = []
         for _ in range(TREES):
-            p = 1 / (1 + np.exp(-score))
-            tree: list = []
-            self._grow(tree, binned, edges, y - p, p * (1 - p), np.arange(len(y)), 0, score)
-            self.trees.append(tree)
+            grown.append([(-1, 0, 0, 0, 0.0)])
+            places = [0]
+            for _ in range(DEPTH):
+                if places:
+                    places = self._level(grown[-1], places, edges, sums(self.start, grown, places, width))
+        self.trees = [[(f, float(edges[f][k]) if f >= 0 else 0.0, left, right, value) for f, k, left, right, value in tree] for tree in grown]
         return self
 
-    def _grow(self, tree, binned, edges, g, h, rows, depth, score) -> int:
-        """Adds a node (feature, limit, left, right, value); returns its place."""
-        place, best = len(tree), (1e-6, None)
-        tree.append(None)
-        if depth < DEPTH and len(rows) >= 2 * MIN_LEAF:
-            whole = g[rows].sum() ** 2 / (h[rows].sum() + 1)
-            for f, e in enumerate(edges):
-                b = binned[rows, f]
-                gs, hs, ns = (np.cumsum(np.bincount(b, w, len(e) + 1))[:-1] for w in (g[rows], h[rows], None))
-                ok = (ns >= MIN_LEAF) & (len(rows) - ns >= MIN_LEAF)
-                gain = np.where(ok, gs ** 2 / (hs + 1) + (g[rows].sum() - gs) ** 2 / (h[rows].sum() - hs + 1) - whole, 0)
-                k = int(np.argmax(gain)) if len(gain) else 0
-                if len(gain) and gain[k] > best[0]:
-                    best = (gain[k], (f, k))
-        if best[1] is None:
-            value = RATE * float(g[rows].sum() / (h[rows].sum() + 1))
-            score[rows] += value
-            tree[place] = (-1, 0.0, 0, 0, value)
-            return place
-        f, k = best[1]
-        low = binned[rows, f] <= k
-        left = self._grow(tree, binned, edges, g, h, rows[low], depth + 1, score)
-        right = self._grow(tree, binned, edges, g, h, rows[~low], depth + 1, score)
-        tree[place] = (f, float(edges[f][k]), left, right, 0.0)
-        return place
+    def _level(self, tree: list, places: list[int], edges: list[np.ndarray], sums: np.ndarray) -> list[int]:
+        """Splits the places where that gains; returns those that may be split on."""
+        below = []
+        for slot, place in enumerate(places):
+            g, h, n = sums[0, slot] / SCALE, sums[1, slot] / SCALE, sums[2, slot]
+            whole = [v[0].sum() for v in (g, h, n)]
+            best, cut = 1e-6, None
+            if whole[2] >= 2 * MIN_LEAF:
+                for f, e in enumerate(edges):
+                    gs, hs, ns = (np.cumsum(v[f])[:len(e)] for v in (g, h, n))
+                    ok = (ns >= MIN_LEAF) & (whole[2] - ns >= MIN_LEAF)
+                    gain = np.where(ok, gs ** 2 / (hs + 1) + (whole[0] - gs) ** 2 / (whole[1] - hs + 1) - whole[0] ** 2 / (whole[1] + 1), 0)
+                    k = int(np.argmax(gain)) if len(gain) else 0
+                    if len(gain) and gain[k] > best:
+                        best, cut = gain[k], (f, k, gs[k], hs[k])
+            if cut is None:
+                tree[place] = (-1, 0, 0, 0, RATE * float(whole[0] / (whole[1] + 1)))
+                continue
+            f, k, left_g, left_h = cut
+            at = len(tree)
+            tree[place] = (f, k, at, at + 1, 0.0)
+            for sg, sh in ((left_g, left_h), (whole[0] - left_g, whole[1] - left_h)):
+                tree.append((-1, 0, 0, 0, RATE * float(sg / (sh + 1))))
+            below += [at, at + 1]
+        return below
 
     def __call__(self, x: list[float]) -> float:
         total = self.start
@@ -288,11 +348,12 @@ class Boosted:
         return float(1 / (1 + np.exp(-total)))
 
 
-def calibrated(p: np.ndarray, y: np.ndarray, precision: float = PRECISION) -> float:
+def calibrated(p: np.ndarray, y: np.ndarray, precision: float = PRECISION, n: np.ndarray | None = None) -> float:
     """The least threshold of at least a half from which on the precision is
-    reached; above 1 if there is none."""
+    reached; above 1 if there is none. ``n``: how many rows each stands for."""
+    n = np.ones(len(y)) if n is None else n
     order = np.argsort(-p, kind="stable")
-    right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
+    right = np.cumsum((y * n)[order]) / np.cumsum(n[order])
     last = np.append(p[order][1:] != p[order][:-1], True) if len(p) else np.zeros(0, bool)
     good = np.flatnonzero((right >= precision) & last & (p[order] >= 0.5))
     return float(p[order][good[-1]]) if len(good) else 2.0
@@ -339,37 +400,68 @@ def generated(lines: int = GENERATED) -> Iterator[str]:
         yield " ".join([other, *head, span, *(word() for _ in range(rng.randint(0, 5)))])
 
 
-def labelled(docs: DataFrame, n_docs: int) -> DataFrame:
-    """u, label, whether a proposal can look so, and features of the candidates
-    of the sampled documents that have a label."""
-    share = min(1.0, SAMPLE_DOCS / max(n_docs, 1))
+def as_row(u: int, y: int, loose: int, x: list[float]) -> tuple[int, int, bool, list[int]]:
+    """Label, whether a proposal can look so, whether it calibrates (a third by
+    hash) and features, which are whole numbers."""
+    return y, loose, u % 3 == 2, [min(int(v), LONGEST) for v in x]
 
+
+def labelled(docs: DataFrame) -> DataFrame:
+    """The candidates of all documents and of the generated lines that have a
+    label, equal ones as one row with their number ``n``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [r for u, text in zip(b.column(0).to_pylist(), b.column(1)) for r in labelled_spans(text.as_py() or "", u)]
+            rows = [as_row(*r) for u, text in zip(b.column(0).to_pylist(), b.column(1)) for r in labelled_spans(text.as_py() or "", u)]
             cols = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.float64())])],
-                                             ["u", "y", "loose", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int16())])],
+                                             ["y", "loose", "part", "x"])
 
-    src = docs.select(C.unit_draw(5, F.col("doc_id"), F.xxhash64("text")).alias("u"), F.col("text").cast("string")).where(F.col("u") < share)
-    return src.mapInArrow(run, "u long, y int, loose int, x array<double>")
+    schema = "y int, loose int, part boolean, x array<short>"
+    src = docs.select(C.unit_draw(5, F.col("doc_id"), F.xxhash64("text")).alias("u"), F.col("text").cast("string"))
+    lines = [as_row(*r) for k, line in enumerate(generated()) for r in labelled_spans(line, k / 2**40)]
+    return (src.mapInArrow(run, schema).unionByName(docs.sparkSession.createDataFrame(lines, schema))
+            .groupBy("y", "loose", "part", "x").agg(F.count(F.lit(1)).alias("n")))
 
 
 def train(docs: DataFrame) -> tuple[Boosted, list[float]]:
-    """The trees, fitted on two thirds of the labelled candidates, and the
-    threshold of each kind, calibrated on what proposals can look like of the
-    rest."""
-    rows = labelled(docs, docs.count()).orderBy("u", "y", "loose", "x").limit(SAMPLE_CANDIDATES).collect()
-    rows = sorted([tuple(r) for r in rows] + [r for k, line in enumerate(generated()) for r in labelled_spans(line, k / 2**40)])
-    y = np.array([r[1] for r in rows], float)
-    x = np.array([r[3] for r in rows])
-    loose = np.array([r[2] for r in rows]) == 1
-    part = np.arange(len(rows)) % 3 == 2  # rows come by hash
-    model = Boosted().fit(x[~part], y[~part])
+    """The trees, fitted on two thirds of the labelled candidates of all
+    documents, and the threshold of each kind, calibrated on what proposals can
+    look like of the rest, in steps of 1 / ``STEPS``. The rows stay in blocks
+    on the executors; sums by node, feature and bin come to the driver."""
+    ensure_checkpoint_dir(docs.sparkSession)
+    rows = labelled(docs).checkpoint(eager=True)
+    fit = rows.where(~F.col("part"))
+    seen = fit.select("n", F.posexplode("x").alias("f", "v")).groupBy("f", "v").agg(F.sum("n").alias("n")).collect()  # by a bounded number of values
+    width = 1 + max(r["f"] for r in seen)
+    values = [sorted((r["v"], r["n"]) for r in seen if r["f"] == f) for f in range(width)]
+    edges = [edges_of(*(np.array(c, float) for c in zip(*v))) for v in values]
+    told = fit.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("y")).first()
+    parts = -(-told["rows"] // BLOCK_ROWS)
+
+    def block(rows: Iterator) -> Iterator[Block]:
+        cols = list(zip(*rows))
+        if cols:
+            yield binned_rows(np.array(cols[2], float), edges), np.array(cols[0], float), np.array(cols[1], float)
+
+    blocks = fit.select("y", "n", "x").repartition(parts).rdd.mapPartitions(block).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = Boosted().boost(edges, told["y"] / told["n"], lambda *asked: blocks.map(
+            lambda b: histogram(b, *asked)).treeReduce(np.add))
+    finally:
+        blocks.unpersist()
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column(2).to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([v[0] for v in x], pa.int32()),
+                                              pa.array([int(model(v) * STEPS) for v in x], pa.int32())], ["y", "n", "kind", "step"])
+
+    rest = (rows.where("part and loose = 1").select("y", "n", "x").mapInArrow(scored, "y int, n long, kind int, step int")
+            .groupBy("kind", "step").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("y")).collect())
     limits = []
     for k in range(len(KINDS)):
-        rest = (x[:, 0] == k) & loose & part
-        limits.append(calibrated(np.array([model(v) for v in x[rest].tolist()]), y[rest]))
+        step, n, y = (np.array([r[c] for r in rest if r["kind"] == k], float) for c in ("step", "n", "y"))
+        limits.append(calibrated(step / STEPS, y / np.maximum(n, 1), n=n))
     return model, limits
 
 

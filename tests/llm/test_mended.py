@@ -8,6 +8,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kbspark.llm import html_text, langid, pii
 
@@ -89,3 +90,29 @@ def test_overlaps_are_tested_in_order(monkeypatch):
 def test_generated_lines_hold_every_kind_and_wrong_ones():
     labels = {(int(x[0]), y) for k, line in enumerate(pii.generated()) for _, y, can, x in pii.labelled_spans(line, k / 2**40) if can}
     assert labels == {(k, y) for k in range(4) for y in (0, 1)}
+
+
+def test_pii_learns_from_every_document(spark):
+    """More documents than the former sample's 20,000: each one's candidates count."""
+    n = 20_500
+    text = F.concat(F.lit("order "), F.col("id"), F.lit(" host 10.0."), F.col("id") % 256, F.lit(".7 mail a.b@c"), F.col("id") % 7, F.lit(".org"))
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"))
+    got = pii.labelled(docs).where("y = 1 and loose = 0").agg(F.sum("n")).first()[0]
+    lines = sum(y == 1 and not loose for k, line in enumerate(pii.generated()) for _, y, loose, _ in pii.labelled_spans(line, k / 2**40))
+    assert got == 2 * n + lines
+
+
+def test_pii_trees_of_blocks_are_those_of_the_whole():
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 40, (3_000, 5)).astype(float)
+    y = (x[:, 1] + x[:, 3] > 40).astype(float)
+    whole = pii.Boosted().fit(x, y)
+    edges = [pii.edges_of(*np.unique(c, return_counts=True)) for c in x.T]
+    assert all(np.array_equal(e, np.unique(np.quantile(c, np.linspace(0, 1, pii.BINS)))) for e, c in zip(edges, x.T))
+    blocks = [(pii.binned_rows(x[i::7], edges), y[i::7], np.ones(len(y[i::7]))) for i in range(7)]
+    parts = pii.Boosted().boost(edges, float(y.mean()), lambda *asked: sum(pii.histogram(b, *asked) for b in blocks))
+    assert parts.trees == whole.trees and parts.start == whole.start
+    # each value once, with its number
+    rows, n = np.unique(np.column_stack([y, x]), axis=0, return_counts=True)
+    once = pii.Boosted().boost(edges, float(y.mean()), lambda *asked: pii.histogram((pii.binned_rows(rows[:, 1:], edges), rows[:, 0], n.astype(float)), *asked))
+    assert [[t[:2] for t in tree] for tree in once.trees[:3]] == [[t[:2] for t in tree] for tree in whole.trees[:3]]
