@@ -140,7 +140,7 @@ def t4_tagged(spark: SparkSession, sf: str) -> DataFrame:
 
 def e3_entities(spark: SparkSession, sf: str) -> DataFrame:
     s = _sentences(spark, sf)
-    return s.select("doc_id", "line_no", "sent_idx", F.explode(W.tagged_entities(W.tagged_texts("sentence"))).alias("entity"))
+    return s.select("doc_id", "line_no", "sent_idx", F.explode(W.sentence_entities("sentence")).alias("entity"))
 
 
 def t8_normalize_part_names(spark: SparkSession, sf: str) -> DataFrame:
@@ -418,16 +418,14 @@ def s10_answers_json(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def e2_np_vp_segments(spark: SparkSession, sf: str) -> DataFrame:
-    s = _sentences(spark, sf).withColumn("toks", W.tag_sentences("sentence"))
-    seg = s.select("doc_id", "line_no", "sent_idx", F.posexplode(G.np_vp_segments(F.col("toks"))).alias("i", "g"))
+    seg = _sentences(spark, sf).select("doc_id", "line_no", "sent_idx", F.posexplode(W.sentence_segments("sentence")).alias("i", "g"))
     return seg.select("doc_id", "line_no", "sent_idx", "i", F.col("g.label").alias("label"),
                       F.col("g.start").alias("start"), F.col("g.len").alias("len"))
 
 
 def t12_sentence_template(spark: SparkSession, sf: str) -> DataFrame:
     """T12 on every sentence of the documents table."""
-    s = _sentences(spark, sf).withColumn("toks", W.tag_sentences("sentence"))
-    return s.select("doc_id", "line_no", "sent_idx", G.sentence_template(F.col("toks")).alias("template"))
+    return _sentences(spark, sf).select("doc_id", "line_no", "sent_idx", W.sentence_templates("sentence").alias("template"))
 
 
 def f6_question_frames(spark: SparkSession, sf: str) -> DataFrame:

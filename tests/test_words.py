@@ -38,6 +38,19 @@ def test_token_rules_are_the_column_rules(spark):
         assert (r.t, r.x, r.e, r.d) == (r.t2, r.x2, r.e2, r.d2)
 
 
+def test_rules_of_whole_sentences_are_the_column_rules(spark):
+    """Entities, segments and templates straight from the sentence; a mark behind the last token is cut off early."""
+    made = [x + mark for _, x in rows(250) if x for mark in ("", ".", ",", "!", "?", "..", " .")]
+    made += [f"The {x}{mark}" for x in ("x" * 24, "x" * 25, "x" * 26, "a", "0", "10", "etc", "Aies", "ties", "AES", "E") for mark in ("", ".", ",", "!?", "?")]
+    df = spark.createDataFrame([*enumerate(made), (-1, None), (-2, "")], "i long, s string")
+    toks = G.tag_sentence(F.col("s"))
+    both = df.select("s", G.sentence_entities(toks).alias("e"), G.np_vp_segments(toks).alias("g"), G.sentence_template(toks).alias("t"),
+                     W.sentence_entities("s").alias("e2"), W.tagged_entities(W.tagged_texts("s")).alias("e3"),
+                     W.sentence_segments("s").alias("g2"), W.sentence_templates("s").alias("t2"))
+    for r in both.collect():
+        assert (r.e, r.e, r.g, r.t) == (r.e2, r.e3, r.g2, r.t2), r.s
+
+
 def test_frames_of_items_are_the_frames_of_sentences(spark):
     df = spark.createDataFrame([r for r in rows(300) if r[1] is not None], "row_id long, s string").withColumn("x", W.tagged_texts("s"))
     one = df.select("row_id", F.explode(FR.sentence_frames(T.decode_tagged(F.col("x")))).alias("frame")).collect()
