@@ -49,6 +49,11 @@ def let(value: Column, fn) -> Column:
     return F.try_element_at(F.transform(F.array(value), fn), F.lit(1))
 
 
+def strip_line(c: Column) -> Column:
+    """``py_strip`` of a text without the line ends that are beyond ASCII."""
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
+
+
 def py_strip(c: Column) -> Column:
     """Strip leading/trailing whitespace (all ``\\s``, not just blanks)."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -60,12 +65,12 @@ def canonical_url(url: Column) -> Column:
     return F.substring_index(url, "?", 1)
 
 
-def sanitize(text: Column) -> Column:
+def sanitize(text: Column, strip=py_strip) -> Column:
     """Blanks before closing / after opening marks removed, runs of
     blanks squeezed, trimmed; text in angle brackets wrapped in backticks."""
     t = F.regexp_replace(text, SANITIZE_SPACE_PATTERN, "")
-    t = py_strip(F.regexp_replace(t, r"\s{2,}", " "))
-    return F.when(t.startswith("<") & t.endswith(">"), F.concat(F.lit("`"), t, F.lit("`"))).otherwise(t)
+    t = strip(F.regexp_replace(t, r"\s{2,}", " "))
+    return let(t, lambda x: F.when(x.startswith("<") & x.endswith(">"), F.concat(F.lit("`"), x, F.lit("`"))).otherwise(x))
 
 
 def split_lines(text: Column) -> Column:
@@ -75,7 +80,7 @@ def split_lines(text: Column) -> Column:
 
 def clean_lines(content: Column) -> Column:
     """Split into lines, sanitise each, drop empty lines."""
-    return F.filter(F.transform(split_lines(content), sanitize), lambda x: x != "")
+    return F.filter(F.transform(split_lines(content), lambda line: sanitize(line, strip_line)), lambda x: x != "")
 
 
 def product_key(url: Column, prefix: str = "/display/") -> Column:
@@ -98,9 +103,12 @@ def heading_text(line: Column) -> Column:
 def strip_markdown(text: Column) -> Column:
     """M2: links to their text, emphasis / list / code marks to blanks,
     squeeze blanks, trim."""
-    t = F.regexp_replace(text, MD_LINK_PATTERN, "$1")
-    t = F.regexp_replace(t, MD_MARK_PATTERN, " ")
-    return py_strip(F.regexp_replace(t, r"\s{2,}", " "))
+    def unmarked(t: Column) -> Column:
+        # what the patterns look for is tested first: most lines have none of it
+        t = F.when(t.contains("]("), F.regexp_replace(t, MD_LINK_PATTERN, "$1")).otherwise(t)
+        return let(t, lambda x: F.when(x.contains("**") | x.contains("+") | x.contains("`"), F.regexp_replace(x, MD_MARK_PATTERN, " ")).otherwise(x))
+
+    return py_strip(F.regexp_replace(let(text, unmarked), r"\s{2,}", " "))
 
 
 # --------------------------------------------------------------------- T rules
@@ -129,7 +137,8 @@ def tokens(sentence: Column) -> Column:
 
 def token_text(sentence: Column) -> Column:
     """The tokens of T3 joined by blanks."""
-    return F.regexp_replace(py_strip(F.regexp_replace(sentence, r"[^\x00-\x7F]", "")), r"\s+", " ")
+    ascii_only = F.when(F.octet_length(sentence) == F.length(sentence), sentence).otherwise(F.regexp_replace(sentence, r"[^\x00-\x7F]", ""))
+    return F.regexp_replace(strip_line(ascii_only), r"\s+", " ")
 
 
 def encode_tagged(toks: Column) -> Column:

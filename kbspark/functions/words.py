@@ -25,6 +25,7 @@ REMEMBERED = 500_000
 END_MARKS = ".,!?"  # of those T9 splits at
 TEXT = Ty.StringType()  # as objects: a type's text is read by a session, and there may be none yet
 SEGMENT = Ty.StructType([Ty.StructField("label", TEXT), Ty.StructField("start", Ty.IntegerType()), Ty.StructField("len", Ty.IntegerType())])
+ANALYSED = Ty.StructType([Ty.StructField("sentence", TEXT), Ty.StructField("entities", Ty.ArrayType(TEXT))])
 TAGGED = Ty.ArrayType(Ty.StructType([Ty.StructField("token", TEXT), Ty.StructField("pos", TEXT)]))
 
 
@@ -42,7 +43,7 @@ class Remembered(dict):
         return value
 
 
-def _pattern(text: str):
+def pattern(text: str):
     return re.compile(text, re.ASCII)
 
 
@@ -51,21 +52,27 @@ def tag_rules():
     def ends(pattern: str) -> tuple[str, ...]:
         return tuple(pattern.strip("()$").split("|"))
 
-    number = _pattern(NUMBER_PATTERN.removesuffix("$"))
+    number, digit = pattern(NUMBER_PATTERN.removesuffix("$")), pattern("[0-9]")
     endings = [(ends(pattern), least, tag) for pattern, least, tag in SUFFIX_RULES]
     plural, not_plural = ends(PLURAL_RULE[0]), ends(PLURAL_RULE[1])
 
     def tag(key: tuple[bytes, bool]) -> str:
         tok, first = key[0].decode(), key[1]
-        bare = tok.strip(MARKS).lower()
-        if tok in BRACKET_TAGS:
-            return tok
-        if (known := LEXICON_TAGS.get(tok.lower()) or LEXICON_TAGS.get(bare)) is not None:
-            return known
-        if not bare:
-            return "." if not tok.strip(".!?") else "," if tok == "," else ":" if not tok.strip(":;") else "SYM"
-        if any("0" <= c <= "9" for c in bare):
-            return "CD" if number.fullmatch(bare) else "NN"
+        low = tok.lower()
+        if tok.isalpha():  # most tokens: no mark to cut off, no digit
+            bare = low
+            if (known := LEXICON_TAGS.get(low)) is not None:
+                return known
+        else:
+            bare = low.strip(MARKS)
+            if tok in BRACKET_TAGS:
+                return tok
+            if (known := LEXICON_TAGS.get(low) or LEXICON_TAGS.get(bare)) is not None:
+                return known
+            if not bare:
+                return "." if not tok.strip(".!?") else "," if tok == "," else ":" if not tok.strip(":;") else "SYM"
+            if not bare.isalpha() and digit.search(bare):
+                return "CD" if number.fullmatch(bare) else "NN"
         if not first and "A" <= tok[0] <= "Z":
             return "NNP"
         for last, least, found in endings:
@@ -94,10 +101,10 @@ def chunk_letter(pos: str) -> str:
 
 def phrase_rules():
     """The normal forms of the entities in a span of tokens."""
-    link, junk, split = _pattern(LINK_PATTERN), _pattern(JUNK_PATTERN), _pattern(PUNCT_SPLIT_PATTERN)
-    letters, final_s, final_ies = _pattern(r"[A-Za-z.\s]+"), _pattern(r"(?<=[A-Ze])s$"), _pattern(r"(?<=[A-Za-z])ies$")
-    marks, blanks, last = _pattern(r"[^A-Za-z0-9.\s]"), _pattern(r"\s+"), _pattern(r"(?<=\s)(\w+)$")
-    outer = _pattern(r"^\s+|\s+$")
+    link, junk, split = pattern(LINK_PATTERN), pattern(JUNK_PATTERN), pattern(PUNCT_SPLIT_PATTERN)
+    letters, final_s, final_ies = pattern(r"[A-Za-z.\s]+"), pattern(r"(?<=[A-Ze])s$"), pattern(r"(?<=[A-Za-z])ies$")
+    marks, blanks, last = pattern(r"[^A-Za-z0-9.\s]"), pattern(r"\s+"), pattern(r"(?<=\s)(\w+)$")
+    outer = pattern(r"^\s+|\s+$")
     lemmas = {f: lemma for (f, p), lemma in LEMMAS.items() if p == "n"}
 
     def plain(t: str) -> str:
@@ -181,7 +188,7 @@ def segment_rules():
 def template_rules():
     """T12 of tokens and their letters."""
     segments, blanks = Remembered(segment_rules()), " \t\n\r\x0b\x0c"
-    bracket, again = _pattern(BRACKET_TAG_PATTERN), _pattern(rf"(?<={ENTITY_PLACEHOLDER})\s+{ENTITY_PLACEHOLDER}")
+    bracket, again = pattern(BRACKET_TAG_PATTERN), pattern(rf"(?<={ENTITY_PLACEHOLDER})\s+{ENTITY_PLACEHOLDER}")
 
     def of(tokens: list[str], letters: str) -> str | None:
         phrases = []
@@ -236,6 +243,20 @@ def _entity_memo() -> tuple[Remembered, Remembered, Remembered]:
     return _entities["letter"], _entities["spans"], _entities["of"]
 
 
+@F.arrow_udf(ANALYSED)
+def analysed_texts(sentences: pa.Array) -> pa.Array:
+    """T3 + T4 + T5 and E1 + E3 of sentences that are not null, in one pass
+    over their tokens."""
+    _, spans, of = _entity_memo()
+    tagged, entities, ends = [], [], [0]
+    for cut in cut_sentences(sentences.to_pylist()):
+        tagged.append(" ".join([f"{x[0]}__{x[1]}" for x in cut]))
+        entities += sorted({e for a, b in spans["".join([x[2] for x in cut])][1] for e in of[" ".join([x[0] for x in cut[a:b]])]})
+        ends.append(len(entities))
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(entities, pa.string()))
+    return pa.StructArray.from_arrays([pa.array(tagged, pa.string()), lists], ["sentence", "entities"])
+
+
 @F.arrow_udf(TAGGED)
 def tag_sentences(sentences: pa.Array) -> pa.Array:
     """T3 + T4."""

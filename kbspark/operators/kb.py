@@ -156,14 +156,21 @@ def new_sentences(sents: DataFrame, base: KB | None = None, keep: Keep = checkpo
             T.token_text(F.array_join(W.decoded("sentence")["token"], " ")).alias("text"), "heading_id")
         firsts = firsts.join(held, ["text", "heading_id"], "left_anti")
     ided = dense_ids(firsts, ["occ"], "sentence_id", start=next_id(base and base.sentences, "sentence_id"), keep=keep)
-    return ided.select("sentence_id", "heading_id", "text")
+    return ided.drop("occ")
+
+
+def analysed(rows: DataFrame) -> DataFrame:
+    """T4 + T5 and E3 by the shipped words: ``sentence`` and ``entities`` in place of ``text``."""
+    return rows.withColumn("a", W.analysed_texts("text")).select(*[c for c in rows.columns if c != "text"], "a.sentence", "a.entities")
 
 
 def tagged_sentences(rows: DataFrame, tag_map=None, words: Words | None = None, keep: Keep = checkpointed) -> DataFrame:
     """The sentences table of numbered rows, in order of their heading, so that
     the sentences of one heading are read from few row groups."""
     by = ["heading_id", "sentence_id"]
-    if words is not None and words.lexicon is not None:
+    if "sentence" in rows.columns:  # analysed
+        dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    elif words is not None and words.lexicon is not None:
         cut = rows.withColumn("row_id", F.col("sentence_id")).withColumn("toks", T.tokens(F.col("text")))
         tagged = G.tag_with_table(cut, "toks", words.lexicon, keep=keep).select(
             "sentence_id", "heading_id", T.encode_tagged(F.col("toks")).alias("sentence"))
@@ -176,6 +183,8 @@ def tagged_sentences(rows: DataFrame, tag_map=None, words: Words | None = None,
 
 def sentence_links(sentences: DataFrame, words: Words | None = None) -> DataFrame:
     """Distinct (sentence_id, entity)."""
+    if "entities" in sentences.columns:  # analysed
+        return sentences.select("sentence_id", F.explode("entities").alias("entity"))
     if words is None or words.lemmas is None:
         return sentences.select("sentence_id", F.explode(W.tagged_entities("sentence")).alias("entity"))
     rows = sentences.select(F.col("sentence_id").alias("row_id"), W.decoded("sentence").alias("toks"))
@@ -220,14 +229,19 @@ def kb_rows(kb_input: DataFrame, base: KB | None = None, truncate: bool = False,
             words: Words | None = None, keep: Keep = checkpointed) -> KB:
     """Entry A: docs -> the rows they add to ``base`` (all rows without one).
     Sections, sentences and the numbered tables are read several times and
-    materialised once, by ``keep``. ``heading_info`` has the new sentences' part."""
+    materialised once, by ``keep``. ``heading_info`` has the new sentences' part.
+    By the shipped words, tags and entities are made in one pass, when the
+    sentences are numbered, and kept with them."""
+    words = words or Words()
+    shipped = tag_map is None and words.lexicon is None and words.lemmas is None
     secs = keep(sections(kb_input, truncate), "sections")
     headings = keep(new_headings(secs, base, keep), "headings")
     known = headings if base is None else headings.unionByName(base.headings.select(*headings.columns))
     paths = known.where(F.col("heading_id") != ROOT_ID).select("path", "heading_id")
-    numbered = new_sentences(section_sentences(secs.join(paths, "path")), base, keep)
+    numbered = new_sentences(section_sentences(secs.join(paths, "path")), base,
+                             (lambda df, name: keep(analysed(df), name)) if shipped else keep)
     sentences = keep(tagged_sentences(numbered, tag_map, words, keep), "sentences")
-    entities, norms = new_entities(sentence_links(sentences, words), base, keep)
+    entities, norms = new_entities(sentence_links(numbered if shipped else sentences, words), base, keep)
     return KB(headings, sentences, entities, norms, build_frame_index(sentences, frame_map, words, keep), heading_info(sentences, known))
 
 

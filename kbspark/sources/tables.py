@@ -195,7 +195,7 @@ class Catalog:
         """Tables of a version, with the columns of KB_SCHEMAS in their order."""
         for name, df in tables.items():
             cols = [f.name for f in self.spark.createDataFrame([], KB_SCHEMAS[name]).schema]
-            df.select(*cols).write.mode("overwrite").parquet(f"{self.version_dir(version)}/{name}")
+            df.select(*cols).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.version_dir(version)}/{name}")
 
     def drop(self, version: str) -> None:
         """A version back to empty tables (ids restart at ROOT)."""

@@ -77,3 +77,38 @@ def test_every_kept_table_goes_through_keep(spark):
                                  "doc_id string, doc_order long, product string, heading array<string>, content array<string>")
     kb = kb_rows(docs, keep=lambda df, name: (kept.append(name), df.checkpoint(eager=True))[1])
     assert kb.sentences.count() == 2 and {"sections", "headings", "sentences", "item-frames"} <= set(kept) and "tagged" not in kept
+
+
+def test_analysis_in_one_pass_is_tags_and_entities(spark):
+    made = [*(x for _, x in rows(300) if x is not None), "é\u00e9", "The 3 x2 big-tables", "-LRB- a"]
+    df = spark.createDataFrame([*enumerate(made)], "i long, s string")
+    toks = G.tag_sentence(F.col("s"))
+    a = W.analysed_texts("s")
+    for r in df.select("s", T.encode_tagged(toks).alias("x"), G.sentence_entities(toks).alias("e"), a["sentence"].alias("x2"), a["entities"].alias("e2")).collect():
+        assert (r.x, r.e) == (r.x2, r.e2), r.s
+
+
+def test_frames_of_a_token_by_function_are_the_column_rules(spark):
+    words = [*PARTS, "was", "running", "Tables", "es", "aes", "goes", "in", "of", "A.b.", "a.b", "don't", "e-mail", "x", "12", "1a2b", "ies", "under", "Under.", "__", "a__b"]
+    items = [f"{w}__{tag}" for w in words for tag in ("NN", "VBZ", "JJ", "RB", "IN", "SYM", "-LRB-", ".")] + ["bare", "a__", "__NN", ""]
+    df = spark.createDataFrame([(x,) for x in items], "item string")
+    for r in df.select("item", FR.sentence_frames(T.decode_tagged(F.col("item"))).alias("a"), FR.item_frames("item").alias("b")).collect():
+        assert r.a == r.b, r.item
+
+
+def test_tags_and_entities_are_made_once_in_a_build(spark):
+    """One pass of Python over the sentences, for tags and entities; another one only over the distinct tokens, for frames."""
+    from kbspark.operators.kb import kb_rows
+    plans = {}
+    docs = spark.createDataFrame([("1", 1, "p", ["h"], ["The big table is here.", "A note.", "A note."])],
+                                 "doc_id string, doc_order long, product string, heading array<string>, content array<string>")
+
+    def keep(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return df.checkpoint(eager=True)
+
+    kb = kb_rows(docs, keep=keep)
+    plans |= {name: df._jdf.queryExecution().optimizedPlan().toString() for name, df in kb.tables().items() if name != "sentences"}
+    assert {name for name, plan in plans.items() if "ArrowEvalPython" in plan} == {"numbered-sentence_id", "item-frames"}
+    assert sorted(r.sentence for r in kb.sentences.collect()) == ["A__DT note.__NN", "The__DT big__NN table__JJ is__VBZ here.__RB"]
+    assert sorted(r.entity for r in kb.entities.collect()) == ["big", "note"]
