@@ -114,8 +114,8 @@ def strip_markdown(text: Column) -> Column:
 # --------------------------------------------------------------------- T rules
 def sentences(text: Column) -> Column:
     """Split text into sentences, trimmed, shorter than 4 chars dropped."""
-    found = F.regexp_extract_all(text, F.lit(SENTENCE_PATTERN), 0)
-    return F.filter(F.transform(found, py_strip), lambda s: F.length(s) >= MIN_SENT_LENGTH)
+    found = F.regexp_extract_all(text, F.lit(SENTENCE_PATTERN), 0)  # no dot matches a line end, so none beyond ASCII is found
+    return F.filter(F.transform(found, strip_line), lambda s: F.length(s) >= MIN_SENT_LENGTH)
 
 
 def line_sentences(text: Column) -> Column:

@@ -25,7 +25,6 @@ REMEMBERED = 500_000
 END_MARKS = ".,!?"  # of those T9 splits at
 TEXT = Ty.StringType()  # as objects: a type's text is read by a session, and there may be none yet
 SEGMENT = Ty.StructType([Ty.StructField("label", TEXT), Ty.StructField("start", Ty.IntegerType()), Ty.StructField("len", Ty.IntegerType())])
-ANALYSED = Ty.StructType([Ty.StructField("sentence", TEXT), Ty.StructField("entities", Ty.ArrayType(TEXT))])
 TAGGED = Ty.ArrayType(Ty.StructType([Ty.StructField("token", TEXT), Ty.StructField("pos", TEXT)]))
 
 
@@ -208,7 +207,7 @@ _tags: dict = {}
 _entities: dict = {}
 
 
-def _tag_memo() -> tuple[Remembered, Remembered]:
+def tag_memo() -> tuple[Remembered, Remembered]:
     """(token, tag, the letter of the tag) of a token behind the first of its
     sentence, and of a first one."""
     if "rest" not in _tags:
@@ -226,13 +225,13 @@ def _tag_memo() -> tuple[Remembered, Remembered]:
 
 def cut_sentences(texts: list[str | None]) -> Iterator[list[tuple[str, str, str]] | None]:
     """T3 + T4 of each sentence."""
-    rest, first = _tag_memo()
+    rest, first = tag_memo()
     for s in texts:
         cut = ascii_tokens(s) if s is not None else None
         yield [first[cut[0]], *[rest[t] for t in cut[1:]]] if cut else cut
 
 
-def _entity_memo() -> tuple[Remembered, Remembered, Remembered]:
+def entity_memo() -> tuple[Remembered, Remembered, Remembered]:
     if "of" not in _entities:
         def letter(item: str) -> tuple[str, str]:
             token, _, pos = item.rpartition("__")
@@ -243,20 +242,6 @@ def _entity_memo() -> tuple[Remembered, Remembered, Remembered]:
     return _entities["letter"], _entities["spans"], _entities["of"]
 
 
-@F.arrow_udf(ANALYSED)
-def analysed_texts(sentences: pa.Array) -> pa.Array:
-    """T3 + T4 + T5 and E1 + E3 of sentences that are not null, in one pass
-    over their tokens."""
-    _, spans, of = _entity_memo()
-    tagged, entities, ends = [], [], [0]
-    for cut in cut_sentences(sentences.to_pylist()):
-        tagged.append(" ".join([f"{x[0]}__{x[1]}" for x in cut]))
-        entities += sorted({e for a, b in spans["".join([x[2] for x in cut])][1] for e in of[" ".join([x[0] for x in cut[a:b]])]})
-        ends.append(len(entities))
-    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(entities, pa.string()))
-    return pa.StructArray.from_arrays([pa.array(tagged, pa.string()), lists], ["sentence", "entities"])
-
-
 @F.arrow_udf(TAGGED)
 def tag_sentences(sentences: pa.Array) -> pa.Array:
     """T3 + T4."""
@@ -279,7 +264,7 @@ def tagged_texts(sentences: pa.Array) -> pa.Array:
 @F.arrow_udf(Ty.ArrayType(TEXT))
 def sentence_entities(sentences: pa.Array) -> pa.Array:
     """T3 + T4 + E1 + E3."""
-    _, spans, of = _entity_memo()
+    _, spans, of = entity_memo()
     out = []
     for cut in cut_sentences(sentences.to_pylist()):
         out.append(None if cut is None else sorted({e for a, b in spans["".join([x[2] for x in cut])][1] for e in of[" ".join([x[0] for x in cut[a:b]])]}))
@@ -309,7 +294,7 @@ def sentence_templates(sentences: pa.Array) -> pa.Array:
 @F.arrow_udf(Ty.ArrayType(TEXT))
 def tagged_entities(tagged: pa.Array) -> pa.Array:
     """T6 + E1 + E3 of sentences as T5 writes them."""
-    letter, spans, of = _entity_memo()
+    letter, spans, of = entity_memo()
     out = []
     for s in tagged.to_pylist():
         if s is None:

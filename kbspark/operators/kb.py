@@ -26,6 +26,7 @@ from kbspark.functions import frames as FR
 from kbspark.functions import tagging as G
 from kbspark.functions import text as T
 from kbspark.functions import words as W
+from kbspark.functions.analysis import analysed_texts
 from kbspark.operators.ids import dense_ids
 from kbspark.operators.markdown import sections
 from kbspark.session import Keep, Scratch, checkpointed
@@ -160,8 +161,8 @@ def new_sentences(sents: DataFrame, base: KB | None = None, keep: Keep = checkpo
 
 
 def analysed(rows: DataFrame) -> DataFrame:
-    """T4 + T5 and E3 by the shipped words: ``sentence`` and ``entities`` in place of ``text``."""
-    return rows.withColumn("a", W.analysed_texts("text")).select(*[c for c in rows.columns if c != "text"], "a.sentence", "a.entities")
+    """T4 + T5, E3 and the tokens with frames by the shipped words, in place of ``text``."""
+    return rows.withColumn("a", analysed_texts("text")).select(*[c for c in rows.columns if c != "text"], "a.*")
 
 
 def tagged_sentences(rows: DataFrame, tag_map=None, words: Words | None = None, keep: Keep = checkpointed) -> DataFrame:
@@ -212,6 +213,8 @@ def build_frame_index(sentences: DataFrame, frame_map=None, words: Words | None
     if words is not None and words.units is not None:
         rows = sentences.select(F.col("sentence_id").alias("row_id"), W.decoded("sentence").alias("toks"))
         found = FR.frames_with_tables(rows, "toks", words.units, words.lemmas, keep=keep)
+    elif "items" in sentences.columns and frame_map is None:  # analysed
+        found = FR.item_rows_frames(sentences.select(F.col("sentence_id").alias("row_id"), F.explode("items").alias("item")), keep=keep)
     else:
         rows = sentences.select(F.col("sentence_id").alias("row_id"), "sentence")
         found = FR.frames_by_item(rows, "sentence", frame_map, keep)
@@ -230,8 +233,8 @@ def kb_rows(kb_input: DataFrame, base: KB | None = None, truncate: bool = False,
     """Entry A: docs -> the rows they add to ``base`` (all rows without one).
     Sections, sentences and the numbered tables are read several times and
     materialised once, by ``keep``. ``heading_info`` has the new sentences' part.
-    By the shipped words, tags and entities are made in one pass, when the
-    sentences are numbered, and kept with them."""
+    By the shipped words, tags, entities and the tokens with frames are made in
+    one pass, when the sentences are numbered, and kept with them."""
     words = words or Words()
     shipped = tag_map is None and words.lexicon is None and words.lemmas is None
     secs = keep(sections(kb_input, truncate), "sections")
@@ -241,8 +244,9 @@ def kb_rows(kb_input: DataFrame, base: KB | None = None, truncate: bool = False,
     numbered = new_sentences(section_sentences(secs.join(paths, "path")), base,
                              (lambda df, name: keep(analysed(df), name)) if shipped else keep)
     sentences = keep(tagged_sentences(numbered, tag_map, words, keep), "sentences")
+    made = numbered if shipped and frame_map is None and words.units is None else sentences
     entities, norms = new_entities(sentence_links(numbered if shipped else sentences, words), base, keep)
-    return KB(headings, sentences, entities, norms, build_frame_index(sentences, frame_map, words, keep), heading_info(sentences, known))
+    return KB(headings, sentences, entities, norms, build_frame_index(made, frame_map, words, keep), heading_info(sentences, known))
 
 
 def build_kb(kb_input: DataFrame, **options) -> KB:

@@ -111,3 +111,19 @@ def test_t12_sentence_template(spark):
     ]
     for pairs, want in cases:
         assert one(spark, G.sentence_template(_toks(pairs))) == want
+
+
+def test_lines_and_sentences_are_trimmed_as_by_the_pattern(spark):
+    """Forms that test for a sign first, or trim without a pattern, against the plain patterns."""
+    made = [a + b + c for a in ("", " ", "\t\x0b ", "\u0085", "\u00a0 ") for b in ("", "<a>", "x  y", "a. B\u2028 c", "[l](http://x) **b** + `<c`>", "*a* é  \u0085 d! E", "# h \x1c")
+            for c in ("", " ", "\r\x0c", " \u2029", "\n\u0085")]
+    df = spark.createDataFrame([(x,) for x in made], "s string")
+    s = F.col("s")
+    found = F.transform(F.regexp_extract_all(s, F.lit(T.SENTENCE_PATTERN), 0), T.py_strip)
+    marked = F.regexp_replace(F.regexp_replace(s, T.MD_LINK_PATTERN, "$1"), T.MD_MARK_PATTERN, " ")
+    lines = F.filter(F.transform(T.split_lines(s), T.sanitize), lambda x: x != "")
+    ascii_only = T.py_strip(F.regexp_replace(s, r"[^\x00-\x7F]", ""))
+    for r in df.select("s", T.sentences(s).alias("a"), F.filter(found, lambda x: F.length(x) >= T.MIN_SENT_LENGTH).alias("a2"),
+                       T.strip_markdown(s).alias("b"), T.py_strip(F.regexp_replace(marked, r"\s{2,}", " ")).alias("b2"),
+                       T.clean_lines(s).alias("c"), lines.alias("c2"), T.token_text(s).alias("d"), F.regexp_replace(ascii_only, r"\s+", " ").alias("d2")).collect():
+        assert (r.a, r.b, r.c, r.d) == (r.a2, r.b2, r.c2, r.d2), r.s

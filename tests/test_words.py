@@ -15,6 +15,7 @@ from kbspark.functions import frames as FR  # noqa: E402
 from kbspark.functions import tagging as G  # noqa: E402
 from kbspark.functions import text as T  # noqa: E402
 from kbspark.functions import words as W  # noqa: E402
+from kbspark.functions.analysis import analysed_texts  # noqa: E402
 from kbspark.operators import retrieval as R  # noqa: E402
 
 PARTS = ("-LRB- -RRB- the Tables classes is running etc. i.e. e.g. http://a.b <b {x a:12 Es Flies us stories big bigger quickly "
@@ -83,9 +84,12 @@ def test_analysis_in_one_pass_is_tags_and_entities(spark):
     made = [*(x for _, x in rows(300) if x is not None), "é\u00e9", "The 3 x2 big-tables", "-LRB- a"]
     df = spark.createDataFrame([*enumerate(made)], "i long, s string")
     toks = G.tag_sentence(F.col("s"))
-    a = W.analysed_texts("s")
-    for r in df.select("s", T.encode_tagged(toks).alias("x"), G.sentence_entities(toks).alias("e"), a["sentence"].alias("x2"), a["entities"].alias("e2")).collect():
-        assert (r.x, r.e) == (r.x2, r.e2), r.s
+    one = df.select("i", "s", T.encode_tagged(toks).alias("x"), G.sentence_entities(toks).alias("e"), FR.sentence_frames(toks).alias("f"),
+                    analysed_texts("s").alias("a")).checkpoint()
+    for r in one.collect():
+        assert (r.x, r.e) == (r.a.sentence, r.a.entities) and len(set(r.a["items"])) == len(r.a["items"]), r.s
+    items = one.select(F.col("i").alias("row_id"), F.explode("a.items").alias("item"))
+    assert sorted(FR.item_rows_frames(items).collect()) == sorted((r.i, f) for r in one.collect() for f in r.f)
 
 
 def test_frames_of_a_token_by_function_are_the_column_rules(spark):
