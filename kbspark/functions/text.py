@@ -11,6 +11,7 @@ loops such as ``[ac]*`` or ``.+?`` are used on whole lines.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -65,9 +66,13 @@ def canonical_url(url: Column) -> Column:
     return F.substring_index(url, "?", 1)
 
 
-def sanitize(text: Column, strip=py_strip) -> Column:
+def sanitize(text: Column) -> Column:
     """Blanks before closing / after opening marks removed, runs of
     blanks squeezed, trimmed; text in angle brackets wrapped in backticks."""
+    return _sanitized(text, py_strip)
+
+
+def _sanitized(text: Column, strip: Callable[[Column], Column]) -> Column:
     t = F.regexp_replace(text, SANITIZE_SPACE_PATTERN, "")
     t = strip(F.regexp_replace(t, r"\s{2,}", " "))
     return let(t, lambda x: F.when(x.startswith("<") & x.endswith(">"), F.concat(F.lit("`"), x, F.lit("`"))).otherwise(x))
@@ -80,7 +85,7 @@ def split_lines(text: Column) -> Column:
 
 def clean_lines(content: Column) -> Column:
     """Split into lines, sanitise each, drop empty lines."""
-    return F.filter(F.transform(split_lines(content), lambda line: sanitize(line, strip_line)), lambda x: x != "")
+    return F.filter(F.transform(split_lines(content), lambda line: _sanitized(line, strip_line)), lambda x: x != "")
 
 
 def product_key(url: Column, prefix: str = "/display/") -> Column:

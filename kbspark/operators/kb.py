@@ -6,8 +6,8 @@ keeps its id, the rest is numbered on from the largest id. Of the stored
 sentences only those under headings that the new documents touch are read for
 that. A build is the same over no KB.
 
-Shuffles: heading prefixes (distinct by path), section -> heading id join,
-lines by ranges of the text order, sentence de-duplication by (text, heading),
+Shuffles: heading prefixes (distinct by path), section -> heading id join (paths
+alone), lines by ranges of the text order, sentence de-duplication by (text, heading),
 one range sort for dense sentence ids and one by heading, entity first
 appearance, entity id join, and the frame index. Sections, sentences, tagging
 and entities are narrow, row-local work; frames are made once for each distinct
@@ -34,7 +34,6 @@ from kbspark.sources.tables import Catalog, Snapshot
 
 ROOT_ID = 1
 ROOT_NAME = "ROOT"
-ORDER = ["doc_order", "doc_id", "section_idx", "line_no"]
 
 
 @dataclass
@@ -52,15 +51,33 @@ class KB:
                 "heading_info": self.heading_info}
 
 
-def section_sentences(secs: DataFrame) -> DataFrame:
+#: Lines of a section that are dealt together.
+CHUNK_LINES = 256
+
+
+def section_sentences(secs: DataFrame, headings: DataFrame) -> DataFrame:
     """M4 + T2: (occ, heading_id, text), one row per sentence of sections
-    (doc_id, doc_order, section_idx, lines, heading_id); ``occ`` rises in text
-    order. Lines are dealt out by ranges of that order before the work on their
-    text: a document or a file that is read by one task does not keep it there."""
-    lines = secs.select("doc_id", "doc_order", "section_idx", "heading_id", F.posexplode("lines").alias("line_no", "line"))
+    (doc_id, doc_order, section_idx, path, lines) whose path is one of
+    ``headings`` (path, heading_id); ``occ`` rises in text order. Lines are
+    dealt out by ranges of that order before the work on their text: a document
+    or a file that is read by one task does not keep it there. Only paths are
+    joined to the headings: each ``CHUNK_LINES`` lines of a section get their
+    heading's id by a row of their own that is dealt to the same task."""
+    place = ["doc_order", "doc_id", "section_idx", "told", "chunk"]  # a place may come twice, with other paths
+    secs = secs.withColumn("told", F.substring(F.unhex(F.sha2(F.to_json(F.struct("path")), 256)), 1, 16))
+    chunk = F.floor(F.col("line_no") / CHUNK_LINES).cast("int").alias("chunk")
+    lines = (secs.select("doc_order", "doc_id", "section_idx", "told", F.posexplode("lines").alias("line_no", "line"))
+             .select("doc_order", "doc_id", "section_idx", "told", chunk, "line_no", "line", F.lit(None).cast("long").alias("heading_id")))
+    last = F.floor((F.size("lines") - 1) / CHUNK_LINES).cast("int")
+    heads = (secs.where(F.size("lines") > 0).select("doc_order", "doc_id", "section_idx", "path", "told", last.alias("last"))
+             .join(headings.select("path", "heading_id"), "path")
+             .select("doc_order", "doc_id", "section_idx", "told", F.explode(F.sequence(F.lit(0), "last")).alias("chunk"),
+                     F.lit(-1).alias("line_no"), F.lit(None).cast("string").alias("line"), "heading_id"))
     parts = int(secs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = lines.repartitionByRange(parts, *ORDER).sortWithinPartitions(*ORDER)
-    return dealt.select("heading_id", F.explode(T.sentences(F.col("line"))).alias("text")).select(
+    dealt = lines.unionByName(heads).repartitionByRange(parts, *place)
+    of = Window.partitionBy(*place).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = dealt.withColumn("heading_id", F.max("heading_id").over(of)).where("line IS NOT NULL AND heading_id IS NOT NULL")
+    return known.select("heading_id", F.explode(T.sentences(F.col("line"))).alias("text")).select(
         F.monotonically_increasing_id().alias("occ"), "heading_id", "text")
 
 
@@ -241,7 +258,7 @@ def kb_rows(kb_input: DataFrame, base: KB | None = None, truncate: bool = False,
     headings = keep(new_headings(secs, base, keep), "headings")
     known = headings if base is None else headings.unionByName(base.headings.select(*headings.columns))
     paths = known.where(F.col("heading_id") != ROOT_ID).select("path", "heading_id")
-    numbered = new_sentences(section_sentences(secs.join(paths, "path")), base,
+    numbered = new_sentences(section_sentences(secs, paths), base,
                              (lambda df, name: keep(analysed(df), name)) if shipped else keep)
     sentences = keep(tagged_sentences(numbered, tag_map, words, keep), "sentences")
     made = numbered if shipped and frame_map is None and words.units is None else sentences

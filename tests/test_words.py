@@ -116,3 +116,25 @@ def test_tags_and_entities_are_made_once_in_a_build(spark):
     assert {name for name, plan in plans.items() if "ArrowEvalPython" in plan} == {"numbered-sentence_id", "item-frames"}
     assert sorted(r.sentence for r in kb.sentences.collect()) == ["A__DT note.__NN", "The__DT big__NN table__JJ is__VBZ here.__RB"]
     assert sorted(r.entity for r in kb.entities.collect()) == ["big", "note"]
+
+
+def test_headings_are_joined_to_paths_alone(spark):
+    """A heading's id reaches its lines without a join of their text, also in long sections and where a place comes twice."""
+    from kbspark.operators import kb as K
+    long = [f"Line {i} is here. It ends." for i in range(2 * K.CHUNK_LINES + 1)]
+    secs = spark.createDataFrame(
+        [("a", 1, 0, ["p"], long), ("a", 1, 0, ["q"], ["Other text is here."]), (None, None, 0, ["p"], ["No place is here.", None]),
+         ("b", 2, 0, ["p", "x"], ["No heading is here."]), ("c", 3, 1, ["q"], ["Last one is here."])],
+        "doc_id string, doc_order long, section_idx int, path array<string>, lines array<string>")
+    headings = spark.createDataFrame([(["p"], 2), (["q"], 3)], "path array<string>, heading_id long")
+    out = K.section_sentences(secs, headings)
+    rows = sorted(out.collect())
+    assert [(r.heading_id, r.text) for r in rows if r.heading_id == 2] == [(2, "No place is here.")] + [
+        (2, x) for i in range(len(long)) for x in (f"Line {i} is here.", "It ends.")]
+    assert [r.text for r in rows if r.heading_id == 3] == ["Other text is here.", "Last one is here."] and len(rows) == 2 * len(long) + 3
+    plan = out._jdf.queryExecution().optimizedPlan()
+
+    def joins(node):
+        return ([node] if node.nodeName() == "Join" else []) + [j for i in range(node.children().size()) for j in joins(node.children().apply(i))]
+
+    assert [{"line", "lines", "text"} & {j.output().apply(i).name() for i in range(j.output().size())} for j in joins(plan)] == [set()]
