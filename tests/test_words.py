@@ -138,3 +138,17 @@ def test_headings_are_joined_to_paths_alone(spark):
         return ([node] if node.nodeName() == "Join" else []) + [j for i in range(node.children().size()) for j in joins(node.children().apply(i))]
 
     assert [{"line", "lines", "text"} & {j.output().apply(i).name() for i in range(j.output().size())} for j in joins(plan)] == [set()]
+
+
+def test_keys_of_distinct_tokens_are_the_keys_of_sentences(spark):
+    from kbspark.sources import tables as S
+    df = spark.createDataFrame([r for r in rows(300) if r[1] is not None], "row_id long, s string").withColumn("x", W.tagged_texts("s"))
+    items = FR.spread_items(df.select(F.explode(F.split("x", " ")).alias("item"))).select(F.col("item").alias("row_id"), T.decode_tagged(F.col("item")).alias("toks"))
+    keys = [sorted(FR.word_keys(x, "toks", S.lemmas(spark))[1].distinct().collect()) for x in (df.select("row_id", T.decode_tagged(F.col("x")).alias("toks")), items)]
+    assert keys[0] and keys[0] == keys[1]
+
+
+def test_frame_memo_query_cuts_distinct_tokens(spark, sf_dir):
+    from kbspark.plans import queries as Q
+    plan = Q.f5_frame_memo(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "Aggregate [item" in plan
